@@ -41,7 +41,7 @@ _PLAIN_AT = re.compile(rf"{_GAP}(?:AT|at|ät){_GAP}")
 
 # ---- numbers ----------------------------------------------------------------------------
 _SP = r"(?:[ .\-/ ‑]|[ \t]*\r?\n[ \t]*(?:(?:[>#*|]|//|--)+[ \t]*)*)"
-_DIGITS = re.compile(r"(?<![\w./+\-#@$])(?:\+|\(|00)?\d")
+_DIGITS = re.compile(r"\d+")
 _PHONES = (
     rf"(?:\+\d{{1,3}}|00[1-9]\d{{1,2}}(?={_SP})){_SP}?(?:\(0\){_SP}?)?(?:\(\d{{2,4}}\){_SP}?)?\d{{1,5}}(?:{_SP}?\d{{2,8}}){{1,5}}",
     rf"(?:1{_SP})?\(\d{{3}}\){_SP}?\d{{3}}{_SP}\d{{4}}",
@@ -84,7 +84,16 @@ _ADDRESSES = (
     re.compile(rf"(?<![\w-])(?:Am|An der|Auf dem|Im|In der|Zum|Zur|AM){_GAP}[{_UP}][{_UP}{_LOW}-]+{_GAP}\d{{1,4}}[a-z]?(?=[,;]?{_GAP}?\d{{5}}\b)"),
     re.compile(rf"(?<![\w-])(?:(?i:calle|avda\.?|avenida|paseo|plaza|camino|ronda|travesía|carretera|pza\.?|glorieta)|C/|c/){_GAP}?(?:(?:de|del|la|las|los|el|DE|DEL|LA|LAS|LOS|EL){_GAP})*[{_UP}][\w'’-]*(?:{_GAP}(?:(?:de|del|la|las|los|el){_GAP})*[{_UP}][\w-]*){{0,3}},?{_GAP}(?:n\.?[º°o]?{_GAP}?)?\d{{1,4}}(?:{_GAP}?(?:bis|[A-D]))?(?!\w)"),
 )
-_ADDRESS_ANCHORS = tuple("street avenue road lane drive close court crescent terrace square boulevard parade gardens mews st. ave. rd. ln. blvd rue avenue av. boulevard place chemin impasse allée quai cours route passage straße strasse str. weg gasse platz allee ufer damm ring stieg chaussee calle avda avenida paseo plaza camino ronda travesía carretera c/".split()) + ("am ", "zum ", "zur ", "an der ", "auf dem ", " hill", " way", " row")
+_ADDRESS_ANCHORS = {
+    "address_en": tuple("street avenue road lane drive close court crescent terrace square boulevard parade gardens mews st. ave. rd. ln. blvd dr.".split()) + (" st", " ave", " rd", " ln", " hill", " way", " row", " place"),
+    "address_fr": tuple("rue avenue av. boulevard bd place chemin impasse allée quai cours route passage square sentier".split()),
+    "address_de": tuple("straße strasse str. weg gasse platz allee ring ufer damm stieg steig markt hof graben chaussee".split()),
+    "address_am": ("am ", "zum ", "zur ", "an der ", "auf dem ", "im ", "in der ", "am\n", "zum\n"),
+    "address_es": tuple("calle avda avenida paseo plaza camino ronda travesía carretera pza glorieta c/".split()),
+}
+_NUMBER_NEAR_LEFT = re.compile(r"\d[A-Da-z]?,?[ \t\r\n>#*|/\u00a0-]+(?:(?:bis|ter|quater)[ \t\r\n>#*|/-]+)?$")
+_NUMBER_NEAR_RIGHT = re.compile(r"[ \t\r\n>#*|/\u00a0-]{1,12}\d")
+
 
 # ---- names ------------------------------------------------------------------------------
 _TITLES = ("mr", "mrs", "ms", "miss", "dr", "prof", "professor", "herr", "frau", "mme", "mlle", "monsieur", "madame", "mademoiselle", "sr", "sra", "srta", "señor", "señora", "don", "doña", "sir", "herrn", "m.")
@@ -133,8 +142,9 @@ class Finder:
             kinds[w].add("email")
         for w in _ID_ANCHORS:
             kinds[w].add("id")
-        for w in _ADDRESS_ANCHORS:
-            kinds[w].add("address")
+        for k, words in _ADDRESS_ANCHORS.items():
+            for w in words:
+                kinds[w].add(k)
         for w in _TITLES:
             for end in (" ", ".", "\n", "\r"):
                 kinds[w.rstrip(".") + end].add("title")
@@ -179,6 +189,8 @@ class Finder:
             yield m.start("local"), end, "email"
 
     def _id(self, t: str, a: int, b: int) -> Iterator[tuple[int, int, str]]:
+        if b - a == 3 and t[b : b + 1].isalpha():
+            return
         lo = max(0, a - 2)
         for cue, value in _ID_VALUES:
             for m in cue.finditer(t, lo, min(len(t), b + 30)):
@@ -189,14 +201,35 @@ class Finder:
                 if v and sum(c.isdigit() for c in v[0]) >= 3 - 2 * ("ausweis" in cue.pattern) and not re.match(r"[\w]", t[v.end() : v.end() + 1] or " ") and (j.end() > m.end()):
                     yield v.start(), v.end(), "id_number"
 
-    def _address(self, t: str, a: int, b: int) -> Iterator[tuple[int, int, str]]:
-        lo, hi = max(0, a - 70), min(len(t), b + 90)
-        for rx in _ADDRESSES:
-            for m in rx.finditer(t, lo, hi):
-                if m.start() <= b and m.end() >= a:
-                    yield m.start(), m.end(), "address"
+    def _near(self, rx: re.Pattern[str], t: str, a: int, b: int) -> Iterator[tuple[int, int, str]]:
+        for m in rx.finditer(t, max(0, a - 70), min(len(t), b + 90)):
+            if m.start() <= b and m.end() >= a:
+                yield m.start(), m.end(), "address"
+
+    def _address_en(self, t: str, a: int, b: int) -> Iterator[tuple[int, int, str]]:
+        if t[b - 1 - (t[b - 1] == ".")].isalpha() and (t[a].isupper() or t[a + 1].isupper()) and not t[b : b + 1].isalnum() and any(map(str.isdigit, t[max(0, a - 60) : a])):
+            yield from self._near(_ADDRESSES[0], t, a, b)
+
+    def _address_fr(self, t: str, a: int, b: int) -> Iterator[tuple[int, int, str]]:
+        if not t[a - 1 : a].isalnum() and not t[b : b + 1].isalnum() and _NUMBER_NEAR_LEFT.search(t, max(0, a - 24), a):
+            yield from self._near(_ADDRESSES[1], t, a, b)
+
+    def _address_de(self, t: str, a: int, b: int) -> Iterator[tuple[int, int, str]]:
+        if _NUMBER_NEAR_RIGHT.match(t, b):
+            yield from self._near(_ADDRESSES[2], t, a, b)
+
+    def _address_am(self, t: str, a: int, b: int) -> Iterator[tuple[int, int, str]]:
+        if t[a].isupper() and not t[a - 1 : a].isalnum() and any(map(str.isdigit, t[b : b + 40])):
+            yield from self._near(_ADDRESSES[2], t, a, b)
+            yield from self._near(_ADDRESSES[3], t, a, b)
+
+    def _address_es(self, t: str, a: int, b: int) -> Iterator[tuple[int, int, str]]:
+        if not t[a - 1 : a].isalnum() and any(map(str.isdigit, t[b : b + 80])):
+            yield from self._near(_ADDRESSES[4], t, a, b)
 
     def _title(self, t: str, a: int, b: int) -> Iterator[tuple[int, int, str]]:
+        if not t[a].isupper():
+            return
         m = _TITLE_RX.match(t, a)
         if not m:
             return
@@ -264,7 +297,7 @@ class Finder:
         if len(low) != len(text):
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         got: set[tuple[int, int, str]] = set()
-        parsers = {"email": self._email, "id": self._id, "address": self._address, "title": self._title, "cue": self._cue, "given": self._given, "family": self._family}
+        parsers = {"email": self._email, "id": self._id, **{k: getattr(self, "_" + k) for k in _ADDRESS_ANCHORS}, "title": self._title, "cue": self._cue, "given": self._given, "family": self._family}
         for last, (n, kinds) in self.auto.iter(low):
             a, b = last + 1 - n, last + 1
             for k in kinds:
@@ -273,15 +306,20 @@ class Finder:
                 got.update(parsers[k](text, a, b))
         for m in _DIGITS.finditer(text):
             a = m.start()
+            while a and text[a - 1] in "(+" and m.start() - a < 2:
+                a -= 1
+            if a and (text[a - 1].isalnum() or text[a - 1] in "_./+-#@$"):
+                continue
             n = _IDS_PLAIN.match(text, a)
             if n and (not n["check"] or _CHECK_LETTERS[int(text[a : a + 8]) % 23] == n["check"]):
                 got.add((a, n.end(), "id_number"))
                 continue
+            if m.end() - m.start() == 2 and (n := _NI_PLAIN.search(text, max(0, a - 5), a + 24)) and n.start() < a:
+                got.add((n.start(), n.end(), "id_number"))
+                continue
             n = _PHONE.match(text, a)
             if n and 7 <= sum(c.isdigit() for c in n[0]) <= 20 and not _PHONE_NOT_BEFORE.search(text, max(0, a - 30), a):
                 got.add((a, n.end(), "phone"))
-        for m in _NI_PLAIN.finditer(text):
-            got.add((m.start(), m.end(), "id_number"))
         out: list[tuple[int, int, str]] = []
         for a, b, k in sorted(got, key=lambda s: (_RANK[s[2]], s[0] - s[1], s[0])):
             if all(b <= x or a >= y for x, y, _ in out):
