@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import chunking, leakage, mixing, mojibake, pii, secrets, tokens
+from folio.llm import chunking, leakage, mixing, mojibake, pii, provenance, secrets, tokens
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def p1_restored(spark: SparkSession, sf: str) -> DataFrame:
     return mojibake.repair(_read(spark, sf, "packed_files"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p2_scores(spark, sf).where("NOT hand_written").select("id")
+
+
+def p2_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return provenance.classify(_read(spark, sf, "packed_files"), _read(spark, sf, "manifest_entries"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.found_lines(_read(spark, sf, "packed_files"))
 
@@ -76,7 +84,7 @@ def p9_masked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_masked, p5_found, p5_pieces, p6_record_tokens, p6_totals, p6_batches, p7_found, p7_leaks, p8_mix, p8_shares, p9_found, p9_masked)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_scores, p3_found, p3_masked, p5_found, p5_pieces, p6_record_tokens, p6_totals, p6_batches, p7_found, p7_leaks, p8_mix, p8_shares, p9_found, p9_masked)}
 
 
 def oracle_sql() -> dict[str, str]:
