@@ -1,0 +1,243 @@
+"""RTF and the text layer of PDF."""
+
+from __future__ import annotations
+
+import codecs
+import re
+import zlib
+
+from folio.operators.extract.common import Unreadable, decode, lines
+
+MAX_DEPTH = 1024
+# Destinations whose text is no part of the document.
+_SKIPPED = frozenset(
+    """fonttbl colortbl stylesheet listtable listoverridetable rsidtbl generator info pict object objdata themedata colorschememapping latentstyles
+datastore xmlnstbl filetbl revtbl header headerl headerr headerf footer footerl footerr footerf ftnsep ftnsepc aftnsep aftnsepc pntext pntxta pntxtb
+bkmkstart bkmkend fldinst nonshppict shpinst sp mmathPr wgrffmtfilter template passwordhash""".split()
+)
+_WORDS = {"par": "\n", "line": "\n", "sect": "\n", "page": "\n", "row": "\n", "nestrow": "\n", "tab": "\t", "cell": "\t", "nestcell": "\t", "emdash": "—", "endash": "–", "bullet": "•", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”", "emspace": " ", "enspace": " ", "qmspace": " "}
+# Code page of a font's character set.
+_CHARSETS = {0: 1252, 77: 10000, 128: 932, 129: 949, 134: 936, 136: 950, 161: 1253, 162: 1254, 163: 1258, 177: 1255, 178: 1256, 186: 1257, 204: 1251, 222: 874, 238: 1250, 254: 437, 255: 850}
+_RTF = re.compile(rb"\\([a-zA-Z]{1,32})(-?\d{1,10})? ?|\\'([0-9a-fA-F]{2})|\\([^a-zA-Z])|([{}])|[\r\n]+|([^\\{}\r\n]+)")
+
+
+def _page(number: int) -> str:
+    name = {10000: "mac_roman", 65001: "utf-8"}.get(number, f"cp{number}")
+    try:
+        return codecs.lookup(name).name
+    except LookupError:
+        return "cp1252"
+
+
+def rtf_text(data: bytes) -> str:
+    """Paragraphs of a document; footnotes as [n] with their text at the end."""
+    if not data.startswith(b"{\\rtf"):
+        return decode(data)
+    out: list[str] = []
+    notes: list[str] = []
+    fonts: dict[int, int] = {}
+    state = {"skip": False, "uc": 1, "page": "cp1252", "note": None, "dest": None, "font": 0}
+    stack: list[dict] = []
+    default, pending, fresh, drop, star = "cp1252", bytearray(), False, 0, False
+    buffers: list[list[str]] = [out]
+
+    def flush() -> None:
+        if pending:
+            if not state["skip"]:
+                buffers[-1].append(bytes(pending).decode(state["page"], "replace"))
+            pending.clear()
+
+    for m in _RTF.finditer(data):
+        word, arg, byte, symbol, brace, plain = m.groups()
+        if brace == b"{":
+            flush()
+            if len(stack) >= MAX_DEPTH:
+                raise Unreadable("groups are nested too deep")
+            stack.append(dict(state))
+            fresh, star = True, False
+            continue
+        if brace == b"}":
+            flush()
+            if not stack:
+                break
+            closed = state
+            state = stack.pop()
+            if closed["note"] is not None and state["note"] is None:
+                body = "".join(buffers.pop()).strip()
+                notes.append(f"[{closed['note']}] {body}")
+                buffers[-1].append(f"[{closed['note']}]")
+            fresh = False
+            drop = 0
+            continue
+        if word:
+            name, n = word.decode(), int(arg) if arg else None
+            if drop and name != "u":
+                drop = 0
+            if fresh and (name in _SKIPPED or star):
+                flush()
+                if name == "fonttbl":
+                    state["dest"] = "fonts"
+                state["skip"] = True
+            elif name == "footnote":
+                flush()
+                state["note"] = len(notes) + 1 + sum(1 for b in buffers[1:])
+                buffers.append([])
+            fresh = False
+            if name == "f" and n is not None:
+                flush()
+                state["font"] = n
+                if state["dest"] != "fonts" and n in fonts:
+                    state["page"] = _page(fonts[n])
+            elif name == "fcharset" and n is not None and state["dest"] == "fonts":
+                fonts[state["font"]] = _CHARSETS.get(n, 1252)
+            elif name == "ansicpg" and n:
+                flush()
+                default = state["page"] = _page(n)
+            elif name in ("pc", "pca", "mac"):
+                flush()
+                default = state["page"] = {"pc": "cp437", "pca": "cp850", "mac": "mac_roman"}[name]
+            elif name == "plain":
+                flush()
+                state["page"] = default
+            elif name == "uc" and n is not None:
+                state["uc"] = max(0, n)
+            elif name == "u" and n is not None:
+                flush()
+                if not state["skip"]:
+                    buffers[-1].append(chr(n & 0xFFFF))
+                drop = state["uc"]
+            elif name == "bin" and n:
+                pass
+            elif name in _WORDS:
+                flush()
+                if not state["skip"]:
+                    buffers[-1].append(_WORDS[name])
+            continue
+        if byte:
+            if drop:
+                drop -= 1
+            else:
+                pending += bytes([int(byte, 16)])
+        elif symbol:
+            flush()
+            if symbol == b"*":
+                star = fresh
+                continue
+            if drop and symbol in (b"\\", b"{", b"}"):
+                drop -= 1
+            elif not state["skip"]:
+                buffers[-1].append({"~": " ", "_": "-", "-": "", "\n": "\n", "\r": "\n"}.get(symbol.decode("latin-1"), symbol.decode("latin-1")))
+        elif plain:
+            k = min(drop, len(plain))
+            drop -= k
+            pending += plain[k:]
+        fresh = False
+    flush()
+    text = "".join(out).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    tidy = [" ".join(x.split(" ")).rstrip() for x in lines(text)]
+    body = re.sub(r"\n{3,}", "\n\n", "\n".join(tidy)).strip()
+    return body + ("\n\n" + "\n".join(notes) if notes else "")
+
+
+_OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
+_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
+_SHOW = re.compile(rb"\[((?:\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>|[^\]()<])*)\]\s*TJ|(\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>)\s*(Tj|'|\")|(-?[\d.]+)\s+(-?[\d.]+)\s+T[dD]\b|\bT\*|\bET\b|/(\w+)\s+-?[\d.]+\s+Tf|-?[\d.]+ -?[\d.]+ -?[\d.]+ -?[\d.]+ (-?[\d.]+) (-?[\d.]+) Tm", re.S)
+_PIECE = re.compile(rb"\(((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*)\)|<([0-9A-Fa-f\s]*)>|(-?[\d.]+)", re.S)
+_ESCAPED = re.compile(rb"\\([nrtbf()\\]|[0-7]{1,3}|\r?\n)")
+
+
+def _literal(raw: bytes) -> bytes:
+    def one(m: re.Match[bytes]) -> bytes:
+        c = m[1]
+        if c[:1].isdigit():
+            return bytes([int(c, 8) & 255])
+        return {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}.get(c, b"" if c in (b"\n", b"\r\n") else c)
+
+    return _ESCAPED.sub(one, raw)
+
+
+def _map(cmap: bytes) -> dict[bytes, str]:
+    out: dict[bytes, str] = {}
+
+    def uni(h: bytes) -> str:
+        return bytes.fromhex(re.sub(rb"\s", b"", h).decode()).decode("utf-16-be", "replace")
+
+    for block in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.S):
+        for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f\s]+)>", block):
+            out[bytes.fromhex(a.decode())] = uni(b)
+    for block in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.S):
+        for a, b, c in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
+            lo, hi, width = int(a, 16), int(b, 16), len(a) // 2
+            first = uni(c)
+            for k in range(min(hi - lo + 1, 65536)):
+                out[(lo + k).to_bytes(width, "big")] = first[:-1] + chr(ord(first[-1]) + k)
+    return out
+
+
+def pdf_text(data: bytes) -> str:
+    """The text that content streams show, in file order; no layout, no OCR."""
+    if b"/Encrypt" in data:
+        raise Unreadable("the document is encrypted")
+    objects: dict[int, bytes] = {int(m[1]): m[2] for m in _OBJECT.finditer(data)}
+
+    def stream(body: bytes) -> bytes | None:
+        m = _STREAM.search(body)
+        if not m:
+            return None
+        raw = m[1]
+        if b"FlateDecode" in body[: m.start()]:
+            d = zlib.decompressobj()
+            try:
+                raw = d.decompress(raw, 32 << 20)
+            except zlib.error:
+                return None
+        return raw
+
+    for body in list(objects.values()):
+        if b"/ObjStm" in body and (raw := stream(body)):
+            first = int((re.search(rb"/First\s+(\d+)", body) or [0, b"0"])[1])
+            pairs = list(map(int, raw[:first].split()))
+            for k in range(0, len(pairs) - 1, 2):
+                end = pairs[k + 3] if k + 3 < len(pairs) else len(raw) - first
+                objects.setdefault(pairs[k], raw[first + pairs[k + 1] : first + end])
+    if not objects:
+        raise Unreadable("no objects")
+    maps = {k: _map(s) for k, b in objects.items() if (s := stream(b)) and b"begincmap" in s}
+    fonts: dict[bytes, dict[bytes, str]] = {}
+    by_object = {k: maps[int(m[1])] for k, b in objects.items() if (m := re.search(rb"/ToUnicode\s+(\d+)\s+\d+\s+R", b)) and int(m[1]) in maps}
+    for b in objects.values():
+        for name, ref in re.findall(rb"/(\w+)\s+(\d+)\s+\d+\s+R", b):
+            if int(ref) in by_object:
+                fonts[name] = by_object[int(ref)]
+
+    def shown(raw: bytes, cmap: dict[bytes, str] | None) -> str:
+        if not cmap:
+            return raw.decode("cp1252", "replace")
+        width = max(map(len, cmap))
+        return "".join(cmap.get(raw[i : i + width], "") for i in range(0, len(raw), width))
+
+    out: list[str] = []
+    for body in objects.values():
+        if b"/Subtype /Image" in body or b"/Subtype/Image" in body:
+            continue
+        raw = stream(body)
+        if raw is None or (b"Tj" not in raw and b"TJ" not in raw) or b"begincmap" in raw:
+            continue
+        cmap: dict[bytes, str] | None = None
+        for m in _SHOW.finditer(raw):
+            if m[6]:
+                cmap = fonts.get(m[6])
+            elif m[1] is not None or m[2] is not None:
+                if m[3] in (b"'", b'"'):
+                    out.append("\n")
+                for lit, hexa, gap in _PIECE.findall(m[1] if m[1] is not None else m[2]):
+                    if gap:
+                        if float(gap) < -200:
+                            out.append(" ")
+                    else:
+                        digits = re.sub(rb"\s", b"", hexa)
+                        out.append(shown(bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()) if digits else _literal(lit), cmap))
+            elif m[0] in (b"T*", b"ET") or (m[5] and float(m[5]) != 0) or m[8]:
+                out.append("\n")
+    text = re.sub(r"[ \t]*\n[ \t]*", "\n", "".join(out))
+    return re.sub(r"\n{3,}", "\n\n", text).strip()
