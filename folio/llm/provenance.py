@@ -180,19 +180,37 @@ def vector(e: Evidence, path: str, copied: float, masked: bool = False) -> tuple
     return np.concatenate([p, v, idx]), np.concatenate([np.full(len(p), 1.5 * PATH_WEIGHT / max(1.0, len(p) ** 0.5)), np.full(len(v), EVIDENCE_WEIGHT), val])
 
 
-def fit_linear_svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, c: float = 4.0, epochs: int = 12, seed: int = SEED) -> np.ndarray:
+@dataclass
+class Example:
+    """A training vector: shared arrays plus a few evidence features of its own."""
+
+    idx: np.ndarray
+    val: np.ndarray
+    ev: np.ndarray
+
+    def dot(self, w: np.ndarray) -> float:
+        return float(w[self.idx] @ self.val) + EVIDENCE_WEIGHT * float(w[self.ev].sum())
+
+    def add_to(self, w: np.ndarray, step: float) -> None:
+        np.add.at(w, self.idx, step * self.val)
+        np.add.at(w, self.ev, step * EVIDENCE_WEIGHT)
+
+    def square(self) -> float:
+        return float(self.val @ self.val) + EVIDENCE_WEIGHT**2 * len(self.ev)
+
+
+def fit_linear_svm(rows: list[Example], y: np.ndarray, c: float = 0.3, epochs: int = 12, seed: int = SEED) -> np.ndarray:
     """L2-regularised hinge loss by dual coordinate descent; returns the weights."""
     w, alpha = np.zeros(DIM), np.zeros(len(rows))
-    q = np.array([float(v @ v) or 1.0 for _, v in rows])
+    q = np.array([r.square() or 1.0 for r in rows])
     balance = np.where(y > 0, c * len(y) / (2 * max(1, (y > 0).sum())), c * len(y) / (2 * max(1, (y < 0).sum())))
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            idx, val = rows[i]
-            g = y[i] * float(w[idx] @ val) - 1.0
+            g = y[i] * rows[i].dot(w) - 1.0
             new = min(max(alpha[i] - g / q[i], 0.0), balance[i])
             if new != alpha[i]:
-                np.add.at(w, idx, (new - alpha[i]) * y[i] * val)
+                rows[i].add_to(w, (new - alpha[i]) * y[i])
                 alpha[i] = new
     return w
 
@@ -268,27 +286,32 @@ def fit(packed: DataFrame, copied: DataFrame, sample: int = SAMPLE, seed: int =
             yield pd.DataFrame(out, columns=["id", "held_out", "strong", "n_path", "ev", "idx", "val"])
 
     feats = chosen.select("id", "root_id", "relative", "text").mapInPandas(run, "id string, held_out boolean, strong boolean, n_path int, ev array<int>, idx array<int>, val array<float>")
-    got = feats.join(copied, "id", "left").orderBy("id").toPandas()
-    w_copied = _name("E/copied")
-    rows: list[list[tuple[np.ndarray, np.ndarray]]] = [[], [], []]  # train, its labels aside; valid; all
-    ys: list[list[int]] = [[], [], []]
-    for r in got.itertuples(index=False):
-        idx, val = np.asarray(r.idx, np.int64), np.asarray(r.val, np.float64)
-        is_copy = r.copied is not None and r.copied >= 0.5
-        y = 1 if r.strong or is_copy else -1
-        ev = [int(x) for x in r.ev if x != _name("E/none")] + [w_copied] * is_copy
-        open_ = (np.concatenate([idx, np.array(ev, np.int64)]), np.concatenate([val, np.full(len(ev), EVIDENCE_WEIGHT)]))
-        if r.held_out:
-            rows[1].append((idx, val))
+    got = feats.join(copied, "id", "left").orderBy("id").toArrow().combine_chunks()
+    w_copied, w_tool, w_none = _name("E/copied"), _name("E/tool"), _name("E/none")
+
+    def lists(column: str) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets and values of a list column, without a copy a row."""
+        a = got[column].combine_chunks() if got.num_rows else None
+        return (a.offsets.to_numpy(), a.values.to_numpy()) if a is not None else (np.zeros(1, np.int32), np.empty(0))
+
+    (io, idx), (vo, val), (eo, ev) = lists("idx"), lists("val"), lists("ev")
+    rows: list[list[Example]] = [[], []]  # train, validation
+    ys: list[list[int]] = [[], []]
+    for r, (id_, held, strong, n_path, share) in enumerate(zip(*(got[c].to_pylist() for c in ("id", "held_out", "strong", "n_path", "copied")))):
+        i, v = idx[io[r] : io[r + 1]], val[vo[r] : vo[r + 1]]
+        is_copy = share is not None and share >= 0.5
+        y = 1 if strong or is_copy else -1
+        own = [int(x) for x in ev[eo[r] : eo[r + 1]] if x != w_none] + [w_copied] * is_copy
+        masked = Example(i, v, np.empty(0, np.int64))
+        if held:
+            rows[1].append(masked)
             ys[1].append(y)
-        else:
-            rows[0] += [open_, (idx, val)]
-            ys[0] += [y, y]
-            if xxhash.xxh64_intdigest(r.id) % 3 == 0:  # as an entry without packed text
-                n = r.n_path + 1
-                tool = [_name("E/tool")] * (_name("E/tool") in ev)
-                rows[0].append((np.concatenate([idx[:n], np.array(tool, np.int64)]), np.concatenate([val[:n], np.full(len(tool), EVIDENCE_WEIGHT)])))
-                ys[0].append(y)
+            continue
+        rows[0] += [Example(i, v, np.array(own, np.int64)), masked]
+        ys[0] += [y, y]
+        if xxhash.xxh64_intdigest(id_) % 3 == 0:  # as an entry without packed text
+            rows[0].append(Example(i[: n_path + 1], v[: n_path + 1], np.array([w_tool] * (w_tool in own), np.int64)))
+            ys[0].append(y)
     if len(set(ys[0])) < 2:  # nothing to learn from: the evidence alone decides
         w = np.zeros(DIM)
         for name in ("marker", "foreign", "tool", "min", "data", "regular", "copied"):
@@ -296,7 +319,7 @@ def fit(packed: DataFrame, copied: DataFrame, sample: int = SAMPLE, seed: int =
         w[_name("E/none")] = -1.0
         return Model(w, 2.0, len(ys[0]), len(ys[1]), float("nan"))
     w = fit_linear_svm(rows[0], np.array(ys[0]))
-    right = [(float(w[i] @ v) > 0) == (y > 0) for (i, v), y in zip(rows[1], ys[1])]
+    right = [(r.dot(w) > 0) == (y > 0) for r, y in zip(rows[1], ys[1])]
     return Model(w, float(w[w_copied]) * EVIDENCE_WEIGHT, len(ys[0]), len(ys[1]), float(np.mean(right)) if right else float("nan"))
 
 
