@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio import incremental
+from folio import incremental, queries_extract
 from folio.functions import classify, paths, tables, text
 from folio.operators import budget, joins, render, stats, tree
 from folio.plans.shared import numbered
@@ -366,6 +366,10 @@ def tree_lines(spark: SparkSession, sf: str) -> DataFrame:
     return tree.tree_lines(_manifest(spark, sf)).select(F.array_join("key", "/").alias("path"), "depth", "line")
 
 
+QUERIES |= queries_extract.QUERIES
+SQL |= queries_extract.SQL
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Packed files within a budget, in dump order, as XML sections."""
     fit = budget.apply_budgets(_packed(spark, sf).select("id", "relative", "size", "text", "kind", "status")).where("kept")
