@@ -54,7 +54,7 @@ def pieces(df: DataFrame, id_col: str = "id", text_col: str = "text", limit: int
     bodies = F.when(F.length("raw") <= limit, F.array("raw")).otherwise(F.regexp_extract_all("raw", F.lit(body_pattern(limit, overlap)), F.lit(0)))
     lengths = raw.withColumn("lens", F.transform(bodies, F.length))
     ends = F.aggregate("lens", F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    placed = lengths.select("id", "raw", "lens", ends.alias("starts"))
+    placed = lengths.select("id", "raw", "lens", F.slice(ends, F.lit(1), F.size("lens")).alias("starts"))
     cut = placed.select("id", "raw", F.size("lens").cast("bigint").alias("n_pieces"), F.posexplode(F.arrays_zip("lens", "starts")).alias("k", "b"))
 
     def lookback(start: Column) -> Column:
