@@ -113,6 +113,7 @@ _WEIGHTED = (
     (re.compile("[\u0370-\u03ff][\u00a1-\u00bf\u2500-\u259f]|[\u00a1-\u00bf\u2500-\u259f][\u0370-\u03ff]"), 2.0),
     (re.compile("[\u07c0-\u07ff\u0700-\u074f\u0780-\u07bf\u0250-\u02af\u02b0-\u02ff\u1400-\u167f\ua000-\ua4cf]"), 2.0),
 )
+_PAIR = re.compile(f"(?<![{_CYR}])[{_CYR}]{{2}}(?![\\w\u0080-\u00bf\u2010-\u2122])")
 _ACCENT_RUN = re.compile("[\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]{3,}")
 _MARK_IN_WORD = re.compile(f"(?<=[{_LATIN}])[\u00a3\u00b1\u00b3\u00b6\u00b9\u00bf\u00a1\u00bc\u00be\u00af](?=[^\\S]|[.,;:)\"']|$)|(?:(?<=\\s)|(?<=^))[\u00b3\u00b6\u00b1\u00b9\u00bc\u00be\u00af](?=[{_LATIN}])")
 _ENTITY = re.compile(r"&(?:#\d{2,7}|#[xX][0-9a-fA-F]{2,6}|[A-Za-z][A-Za-z0-9]{1,30});")
@@ -131,7 +132,8 @@ def implausibility(text: str) -> float:
 
 
 def _implausible(text: str) -> float:
-    cost = sum(w * n for rx, w in _WEIGHTED if (n := len(rx.findall(text))))
+    # a lone word of two Cyrillic letters may be a real one that happens to look like UTF-8
+    cost = sum(w * n for rx, w in _WEIGHTED if (n := len(rx.findall(_PAIR.sub(" ", text) if rx is _SHAPE else text))))
     for run in _ACCENT_RUN.findall(text):
         cost += 0.8 * (len(run) - 2)
     return cost + 1.5 * len(_MARK_IN_WORD.findall(text))

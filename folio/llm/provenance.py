@@ -29,6 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.plans.shared import materialized
+
 DIM = 1 << 16
 SAMPLE, SEED = 6_000, 17  # most labelled files that the fit may see, and their choice
 MIN_ROOTS = 3  # a block in so many projects is a copy
@@ -349,18 +351,5 @@ def score(packed: DataFrame, manifest: DataFrame, copied: DataFrame, model: Mode
 
 def classify(packed: DataFrame, manifest: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """id, score, hand_written for every candidate entry of the manifest."""
-    copied = _shared(copied_share(packed))
+    copied = materialized(copied_share(packed))
     return score(packed, manifest, copied, fit(packed, copied, sample)).withColumn("hand_written", F.col("score") <= 0)
-
-
-def _shared(df: DataFrame) -> DataFrame:
-    """Written once to the cluster's shared folder (spark.checkpoint.dir); read from there."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="folio-checkpoint-")  # only where no cluster names one
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
