@@ -60,6 +60,13 @@ def strip_tags(page: str) -> str:
     def text(raw: str) -> None:
         if not raw:
             return
+        if "&" not in raw:  # nothing decodes to a blank: fold the whole run at once
+            flat = _SPACES.sub(" ", raw)
+            if flat[0] == " " and (not out or out[-1][-1] in " \n"):
+                flat = flat[1:]
+            if flat:
+                out.append(flat)
+            return
         pos = 0
         for m in _SPACES.finditer(raw):
             if m.start() > pos:

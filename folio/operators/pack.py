@@ -24,6 +24,8 @@ from folio.options import Options
 SCHEMA = "id string, relative string, kind string, size bigint, text string, status string, status_limit bigint, status_detail string, archive_cut boolean"
 COLUMNS = ["id", "relative", "kind", "size", "text", "status", "status_limit", "status_detail", "archive_cut"]
 
+FLUSH_CHARS = 4 << 20  # text a batch may hold before it is handed on
+
 _KINDS = tables.kind_of_extension()
 
 
@@ -143,8 +145,19 @@ def pack_df(files: DataFrame, opts: Options = Options()) -> DataFrame:  # noqa:
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
+            rows: list[tuple] = []
+            held = 0
             for i, rel, raw in zip(pdf["id"], pdf["relative"], pdf["bytes"]):
-                rows = packer.pack(i, rel, bytes(raw)) if raw is not None else [(i, rel, kind_of_name(rel) or "unknown", 0, "[changed since scan: no longer there]", "changed", None, "no longer there", False)]
+                if raw is None:
+                    rows.append((i, rel, kind_of_name(rel) or "unknown", 0, "[changed since scan: no longer there]", "changed", None, "no longer there", False))
+                    continue
+                got = packer.pack(i, rel, bytes(raw))
+                rows += got
+                held += sum(len(r[4] or "") for r in got)
+                if held > FLUSH_CHARS:
+                    yield pd.DataFrame(rows, columns=COLUMNS)
+                    rows, held = [], 0
+            if rows:
                 yield pd.DataFrame(rows, columns=COLUMNS)
 
     return named.select("id", "relative", "bytes").mapInPandas(run, SCHEMA)

@@ -240,8 +240,12 @@ def with_bytes(files: DataFrame, max_size: int) -> DataFrame:
     """Adds bytes, read where the row is processed, at most one byte over the cap; null if the
     file cannot be opened any more."""
 
+    columns = ["id", "relative", "bytes", "size", "modified_ns"]
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
+            rows: list[tuple] = []
+            held = 0
             for row in pdf.itertuples(index=False):
                 body = None
                 try:
@@ -251,6 +255,12 @@ def with_bytes(files: DataFrame, max_size: int) -> DataFrame:
                         body = g.read(max_size + 1)
                 except OSError:
                     pass
-                yield pd.DataFrame([(row.id, row.relative, body, row.size, row.modified_ns)], columns=["id", "relative", "bytes", "size", "modified_ns"])
+                rows.append((row.id, row.relative, body, row.size, row.modified_ns))
+                held += len(body or b"")
+                if held > 16 << 20:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     return files.select("id", "relative", "root_relative", "absolute", "is_symlink", "size", "modified_ns").mapInPandas(run, "id string, relative string, bytes binary, size bigint, modified_ns bigint")
