@@ -134,13 +134,9 @@ def pack_df(files: DataFrame, opts: Options = Options()) -> DataFrame:  # noqa:
     named = files.select("id", "relative", "bytes", F.octet_length("bytes").cast("bigint").alias("size"))
     named = named.where(paths.keep_path("relative", opts.include, opts.exclude, opts.hidden, opts.default_excludes, unpacking=opts.follow_archives))
     if opts.selection is not None:
-        spark = files.sparkSession
-        names = spark.createDataFrame([(n,) for n in opts.selection], "name string")
-        keep = paths.select_files(named.select("id", "relative"), names).select("id")
-        named = named.join(keep.distinct(), "id", "left_semi")
+        named = _selected(named, opts.selection)
     if opts.max_entries or opts.max_total_bytes < 1 << 62:
-        fit = budget.apply_budgets(named.select("id", "relative", "size"), opts.max_total_bytes, opts.max_entries, opts.max_file_size).where("kept").select("id").distinct()
-        named = named.join(fit, "id", "left_semi")
+        named = _within_budget(named, opts)
     packer = Packer(opts)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,6 +159,31 @@ def pack_df(files: DataFrame, opts: Options = Options()) -> DataFrame:  # noqa:
     return named.select("id", "relative", "bytes").mapInPandas(run, SCHEMA)
 
 
+def _selected(named: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Rows a request's names select: by id, and by path for names that are nobody's id.  The
+    names come from the driver, so the sides sent to the executors are bounded by them."""
+    spark = named.sparkSession
+    wanted = spark.createDataFrame([(n,) for n in dict.fromkeys(names)], "id string")
+    ids = {r[0] for r in named.select("id").join(F.broadcast(wanted), "id", "left_semi").distinct().collect()}
+    loose = spark.createDataFrame([(n,) for n in dict.fromkeys(names) if n not in ids], "relative string")
+    flagged = named.join(F.broadcast(wanted.withColumn("_id", F.lit(True))), "id", "left").join(F.broadcast(loose.withColumn("_rel", F.lit(True))), "relative", "left")
+    return flagged.where("_id OR _rel").select(*named.columns)
+
+
+def _within_budget(named: DataFrame, opts: Options) -> DataFrame:
+    """Rows up to the last one the budget keeps.  What is kept is a prefix of the path order, so
+    one row, its end, decides for all; the bytes are neither sorted nor joined."""
+    fit = budget.apply_budgets(named.select("id", "relative", "size"), opts.max_total_bytes, opts.max_entries, opts.max_file_size)
+    key = F.struct(paths.path_order("relative").alias("p"), F.col("id"))
+    got = fit.agg(F.max(F.when(F.col("kept"), key)).alias("last"), F.count_if(~F.col("kept")).alias("cut")).head()
+    if not got["cut"]:
+        return named
+    if got["last"] is None:
+        return named.where(F.lit(False))
+    order, end = paths.path_order("relative"), F.array(*map(F.lit, got["last"]["p"]))
+    return named.where((order < end) | ((order == end) & (F.col("id") <= F.lit(got["last"]["id"]))))
+
+
 def scan_df(files: DataFrame, opts: Options = Options()) -> DataFrame:  # noqa: B008
     """The manifest of rows (id, relative, size[, head]): kind, language, default_on, oversized.
 
