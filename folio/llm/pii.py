@@ -286,8 +286,10 @@ class Finder:
                 yield n.start(), b, "name"
                 return
         n = _COMMA_GIVEN.match(t, b)
-        if n and not common and (n["first"].lower() in self.given or re.fullmatch(_INITIAL, n["first"])):
-            yield a, n.end(), "name"
+        if n and not common:
+            first = n["first"].lower()
+            if first in self.given or re.fullmatch(_INITIAL, n["first"]) or ("\n" not in n[0] and len(first) > 3 and first not in _NOT_GIVEN):
+                yield a, n.end(), "name"
 
     def find(self, text: str | None) -> list[tuple[int, int, str]]:
         """Items of a text, in order, without overlaps."""

@@ -37,6 +37,7 @@ CASES = [
     ("Thanks to Corlela Castrevel for", [("name", "Corlela Castrevel")]),
     ("by TALENE OSTERMANN on", [("name", "TALENE OSTERMANN")]),
     ("(Ostermann, Salemo)", [("name", "Ostermann, Salemo")]),
+    ("Reported by Ostermann, Ullovin on Monday", [("name", "Ostermann, Ullovin")]),
     ("Dear Ms Unlisted, hello", [("name", "Unlisted")]),
     ("Hola Sr.\nOstermann,", [("name", "Ostermann")]),
     ("Assigned to: Jorin Ostermann", [("name", "Jorin Ostermann")]),
