@@ -19,11 +19,13 @@ def materialized(df: DataFrame) -> DataFrame:
 
 
 def running(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
-    """Adds inclusive running sums (name -> value) along a total order of the whole table.
+    """Adds inclusive running sums (name -> value) along a total order of the whole table; columns
+    of the same names are replaced.
 
     Range partitioning spreads the order over tasks; each partition's sums are added up over
     the partitions before it.  What is joined back is one row a partition.
     """
+    df = df.drop(*sums)
     keyed = df.select("*", *(c.alias(f"_o{i}") for i, c in enumerate(order)), *(v.alias(f"_v_{k}") for k, v in sums.items()))
     keys = [F.col(f"_o{i}") for i in range(len(order))]
     parts = materialized(keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id()))

@@ -273,12 +273,12 @@ def human_bytes(spark: SparkSession, sf: str) -> DataFrame:
     return _read(spark, sf, "part").select("p_partkey", text.human_bytes(F.col("p_partkey") * F.col("p_partkey") * F.col("p_partkey")).alias("human"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_size WHEN 1 THEN p_size::BIGINT * 1024 WHEN 2 THEN p_size::BIGINT * 1048576 WHEN 3 THEN p_size::BIGINT * 1073741824 WHEN 4 THEN p_size::BIGINT * 1000 ELSE NULL END::BIGINT AS bytes FROM part""")
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_size WHEN 1 THEN p_size::BIGINT * 1024 WHEN 2 THEN p_size::BIGINT * 1048576 WHEN 3 THEN p_size::BIGINT * 1073741824 WHEN 4 THEN p_size::BIGINT * 1000 ELSE -1 END::BIGINT AS bytes FROM part""")
 def parse_size(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("p_size").cast("string")
     k = F.col("p_partkey") % 6
     size = F.when(k == 0, n).when(k == 1, F.concat(n, F.lit("k"))).when(k == 2, F.concat(n, F.lit(" MiB"))).when(k == 3, F.concat(n, F.lit("gb"))).when(k == 4, F.concat(n, F.lit("_000"))).otherwise(F.concat(n, F.lit("x")))
-    return _read(spark, sf, "part").select("p_partkey", text.parse_size(size).alias("bytes"))
+    return _read(spark, sf, "part").select("p_partkey", F.coalesce(text.parse_size(size), F.lit(-1)).cast("bigint").alias("bytes"))
 
 
 @query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes, md5(text) AS text_md5 FROM documents")

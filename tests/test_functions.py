@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,3 +154,18 @@ def test_empty_tables_give_defined_totals(spark):
     assert stats.with_summary(stats.pack_stats(empty)).head()["summary"] == "packed 0 files (0 B read, 0 chars, ~0 tokens)"
     assert tree.tree_lines(empty).count() == 0
     assert render.sections(empty).count() == 0
+
+
+def test_registered_queries_and_flagship(spark):
+    import __spark_entry__ as e
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    out = e.entry(spark)
+    assert out.columns == ["ordinal", "id", "section"] and out.count() > 0
+    assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_running_sums_replace_columns_of_their_name(spark):
+    df = spark.createDataFrame([("b", 7), ("a", 9)], "k string, ordinal bigint")
+    assert sorted(map(tuple, numbered(df, [F.col("k")]).collect())) == [("a", 1), ("b", 2)]
