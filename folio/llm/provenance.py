@@ -13,15 +13,18 @@ rows (id, score parts, block hashes) are shuffled.
 
 Defined results: a manifest entry without packed text is judged by its path alone; null paths
 and texts count as empty; repeated rows are one entry; prose, plain data and binary files are
-never candidates (a lock or map file is); files of any length are read whole.
+never candidates (a lock or map file is); files of any length are read whole; a tool's marker
+counts on every comment line of the file, but not inside a string literal or here-document.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -47,6 +50,11 @@ _MARKER = re.compile(
       | this\ (?:file|code)\ (?:is|was|has\ been)\ (?:auto-?)?(?:generated|produced|written)\ (?:by|from|with) (?!\ hand) | created\ (?:with|by)\ \S+.*(?:overwritten|lost) | !!\ *output\ of | output\ of\ \S+.*!! | machine-?\ ?(?:written|generated|made) | generated\ (?:from|by|with)\ (?!hand\b|our\b|us\b)\S+ | do\ not\ (?:edit|modify)\W*(?:$|\W*(?:this|manually|by\ hand|generated)) 
       | (?:fichier|code)\ g[ée]n[ée]r[ée] | (?:ce\ fichier\ (?:a\ [ée]t[ée]|est)\ g) | (?:datei|code)?\ ?(?:automatisch|maschinell)\ (?:erzeugt|generiert|erstellt) | (?:diese\ datei\ (?:wurde|ist)\ (?:automatisch\ )?(?:erzeugt|generiert)) | (?:generierte|erzeugte)\ datei | (?:archivo|fichero|c[óo]digo)\ (?:autogenerado|generado) | generado\ (?:por|autom) | (?:arquivo|ficheiro|c[óo]digo)\ gerado | gerado\ (?:por|autom) | (?:plik|kod)\ wygenerowan | wygenerowan[oy] | сгенерирован | автоматически\ с | 自动生成 | 自動生成 | ここは自動 )"""
 )
+_OWN_WORK = re.compile(r"(?i)by hand|by us\b|our template")
+_HASH = frozenset("py pyi rb sh bash zsh ps1 php pl pm r jl ex exs".split())
+_DASH = frozenset("sql lua hs lean".split())
+_HEREDOC = frozenset("sh bash zsh rb php pl pm".split())
+_OPEN_QUOTES = frozenset("sh bash zsh rb php pl pm ps1 r jl ex exs rs sql lua".split())  # "..." may hold line breaks
 _PEM = re.compile(r"-----BEGIN [A-Z0-9 ]+-----.*?-----END [A-Z0-9 ]+-----", re.S)
 _ANYWHERE = re.compile(r"(?i)edits get overwritten|changes will be lost|\bdo not (?:edit|modify|change)\b|\bne pas modifier\b|\bnicht (?:bearbeiten|ändern|editieren)\b|\bno (?:editar|modificar)\b|\bnão (?:editar|modificar)\b")
 _NOTICE = re.compile(
@@ -84,6 +92,48 @@ def extension(path: str) -> str:
     return parts[-1] if len(parts) > 1 else ""
 
 
+def _marks(comment: str) -> bool:
+    return bool(_MARKER.match(comment)) and not _OWN_WORK.search(comment.replace("modify by hand", "").replace("edit by hand", ""))
+
+
+@lru_cache(maxsize=64)
+def _syntax(ext: str) -> re.Pattern[str]:
+    """Comments (c), triple-quoted texts (t) and other literals of a language, as far as they hide line starts from each other."""
+    comment = [r"<!--.*?(?:-->|\Z)"]
+    if ext in _HASH:
+        comment += [r"(?<![^\s;)\]}])\#[^\n]*"]
+    if ext in _DASH:
+        comment += [r"--\[(?P<eq>=*)\[.*?(?:\](?P=eq)\]|\Z)", r"--[^\n]*", r"/-.*?(?:-/|\Z)", r"\{-.*?(?:-\}|\Z)"]
+    if ext not in _HASH | _DASH or ext == "php":
+        comment += [r"//[^\n]*", r"^[ \t]*(?:\#+!?|;+|%+|--+)[^\n]*"]
+    if ext not in _HASH or ext == "php":
+        comment += [r"/\*.*?(?:\*/|\Z)", r"\(\*\s.*?(?:\*\)|\Z)"]
+    literal = [r"R\"(?P<d>\w*)\(.*?\)(?P=d)\"", r"r(?P<h>\#+)\".*?\"(?P=h)", r"'(?:\\.|[^'\\\n])'"]
+    if ext in _HEREDOC:
+        literal += [r"<<<?[-~]?[ \t]*(?P<q>[\"']?)(?P<w>[A-Za-z_]\w*)(?P=q)[^\n]*\n.*?^[ \t]*(?P=w)\b"]
+    if ext in _WEB or ext in ("tsx", "go", "vue", "svelte"):
+        literal += [r"`(?:\\.|[^`\\])*`"]
+    if ext in _OPEN_QUOTES:
+        literal += [r"\"(?:\\.|[^\"\\])*\"", r"'(?:\\.|[^'\\])*'"] if ext != "rs" else [r"\"(?:\\.|[^\"\\])*\""]
+    literal += [r"\"(?:\\.|[^\"\\\n])*\"", r"'(?:\\.|[^'\\\n])*'"]
+    return re.compile("(?sm)(?P<c>" + "|".join(comment) + r")|(?P<t>\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z))|(?:" + "|".join(literal) + ")")
+
+
+def _comment_lines(text: str, ext: str) -> set[int]:
+    """Numbers of the lines that begin in a comment, or in a docstring that only comments precede."""
+    starts = [m.start(1) for m in re.finditer(r"(?m)^[^\S\n]*(\S|$)", text)]
+    out: set[int] = set()
+    at, code = 0, False
+    for m in _syntax(ext).finditer(text):
+        code = code or bool(text[at : m.start()].strip())
+        at = m.end()
+        if m["c"] or (m["t"] and not code):
+            out.update(range(bisect_left(starts, m.start()), bisect_left(starts, at)))
+        else:
+            code = True
+    return out
+
+
 def evidence(path: str, text: str) -> Evidence:
     tool_file = bool(_TOOL_FILES.search(path))
     ext = extension(path)
@@ -105,7 +155,7 @@ def evidence(path: str, text: str) -> Evidence:
                 break
             continue
         rest = line[m.end() :]
-        if _MARKER.search(rest) and not re.search(r"(?i)by hand|by us\b|our template", rest.replace("modify by hand", "").replace("edit by hand", "")):
+        if _marks(rest):
             marker = True
             hidden.add(k)
         elif n := _NOTICE.search(rest):
@@ -115,6 +165,11 @@ def evidence(path: str, text: str) -> Evidence:
                 foreign = True
         elif _ANYWHERE.search(rest) or re.search(r"(?i)licen[cs]e|redistribution|copyright", rest):
             hidden.add(k)
+    if code or tool_file:  # a marker may also stand past the header, mostly at the end
+        far = [k for k, line in enumerate(lines) if k not in hidden and _marks(line[m.end() :] if (m := _COMMENT.match(line)) else line)]
+        if far and (far := _comment_lines(text, ext).intersection(far)):
+            marker = True
+            hidden |= far
     body = "\n".join(x for k, x in enumerate(lines) if k not in hidden) if hidden else text
     data = regular = 0.0
     minified = False

@@ -23,6 +23,34 @@ def test_no_markers(line):
     assert not e.strong
 
 
+CODE = "".join(f"let a{k} = f({k});\n" for k in range(40))
+
+
+@pytest.mark.parametrize("line", MARKED[:1] + MARKED[4:8:2])
+def test_marker_as_the_last_line(line):
+    e = evidence("own-label/src/a.rs", f"{CODE}\n{line}\n")
+    assert e.marker and line not in e.body
+
+
+def test_markers_past_the_header():
+    licence = "// A line of the licence.\n" * 40
+    for path, text in [
+        ("o/a.rs", f"{licence}// @generated by uiforge\n{CODE}"), ("o/a.c", f"{CODE}/*\n   This file was automatically created by x.\n*/\n"), ("o/a.sh", "echo \"it's\"\n" * 9 + "# Automatisch erzeugt von bindsmith. Nicht bearbeiten!\r\n"),
+        ("o/a.py", "# of the licence\n" * 40 + '"""Text.\n\nCode generated by x. DO NOT EDIT.\n"""\nA = 1\n'), ("o/a.lean", "def x := 'a'\n" * 9 + "-- Code generated by tsmelt. DO NOT EDIT.\r"), ("o/a.js", f"const t = `x\n`;\n{CODE}// Code generated by swagdraw. DO NOT EDIT."),
+    ]:
+        assert evidence(path, text).marker, (path, text)
+
+
+def test_markers_in_literals_past_the_header_are_none():
+    head = "x = 1\n" * 9
+    for path, text in [
+        ("o/a.py", f'{head}T = """\n# Code generated by x. DO NOT EDIT.\n"""\n'), ("o/a.js", f"{head}const t = `\n// @generated by x\n`;\n"), ("o/a.sh", f"{head}cat > f <<'EOF'\n# Code generated by x. DO NOT EDIT.\nEOF\n"),
+        ("o/a.rs", f'{head}let t = "\n// @generated by x\n";\nlet u = r#"\n// @generated "by" x\n"#;\n'), ("o/a.py", f"{head}# generated by hand from measurements\n"), ("o/a.py", f'{head}banner = "@generated"\n'),
+    ]:
+        e = evidence(path, text)
+        assert not e.marker and e.body == text, (path, text)
+
+
 def test_shapes():
     assert evidence("l/a.rs", "// (c) the other contributors\nfn a(){}").foreign
     assert evidence("l/go.sum", "x").strong and evidence("l/a.js.map", "{}").strong
