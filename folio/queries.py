@@ -245,6 +245,14 @@ def looks_binary(spark: SparkSession, sf: str) -> DataFrame:
     return _packed(spark, sf).where("octet_length(text) BETWEEN 1 AND 8192").select("id", classify.looks_binary(F.encode("text", "UTF-8")).alias("binary_like"))
 
 
+# byte by byte in hexadecimal, so the cut at byte 8192 is exact for every text
+@query(f"""WITH {_P}, b AS (SELECT id, regexp_replace(left(hex(encode(text)), 16384), '(..)', '\\1 ', 'g') AS h FROM p)
+SELECT id, coalesce((length(h) - length(regexp_replace(h, '(0[0-8EF]|1[0-9AC-F]) ', '', 'g'))) * 32 > length(h), false) AS binary_like FROM b""")
+def looks_binary_all(spark: SparkSession, sf: str) -> DataFrame:
+    """looks_binary for every packed record: texts of any length, empty and null ones too."""
+    return _packed(spark, sf).select("id", classify.looks_binary(F.encode("text", "UTF-8")).alias("binary_like"))
+
+
 # ---- text ----------------------------------------------------------------------------------------
 
 

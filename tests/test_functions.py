@@ -169,3 +169,21 @@ def test_registered_queries_and_flagship(spark):
 def test_running_sums_replace_columns_of_their_name(spark):
     df = spark.createDataFrame([("b", 7), ("a", 9)], "k string, ordinal bigint")
     assert sorted(map(tuple, numbered(df, [F.col("k")]).collect())) == [("a", 1), ("b", 2)]
+
+
+def test_looks_binary_of_all_packed_texts(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    import __spark_entry__ as e
+
+    odd = "\x01\x0e\x1a\x1f"
+    texts = ["", None, "a", "\x00" * 40, "a" * 200 + "\x00", odd * 2048, odd * 2049, "a" * 8192 + odd * 9000, odd * 65 + "a" * 9000, odd * 64 + "a" * 9000, "é" * 4096 + odd * 9000, "x" + "é" * 4095 + odd * 9000, "a" * 7936 + odd * 64 + "é" * 9000, "a" * 7935 + odd * 64 + "\x02" + "é" * 9000, "漢" * 9000, "\t\r\n\x0b\x0c\x1b" * 3000]
+    spark.createDataFrame([(f"i{k:02}", t, 1) for k, t in enumerate(texts)], "id string, text string, packed_at int").write.parquet(str(tmp_path / "packed_files.parquet"))
+    want = []
+    for k, t in enumerate(texts):
+        head = (t or "").encode()[:8192]
+        want.append((f"i{k:02}", sum(b < 32 and b not in b"\t\n\x0b\x0c\r\x1b" for b in head) * 32 > len(head)))
+    assert len({w for _, w in want}) == 2
+    assert sorted(map(tuple, e.queries()["looks_binary_all"](spark, str(tmp_path)).collect())) == want
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW packed_files AS SELECT * FROM '{tmp_path}/packed_files.parquet/*.parquet'")
+    assert sorted(db.execute(e.oracle_sql()["looks_binary_all"]).fetchall()) == want
