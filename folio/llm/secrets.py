@@ -16,7 +16,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -69,7 +69,7 @@ _PLACEHOLDER = re.compile(
 )
 _SECRET_LAST = frozenset("password passwd passwort passphrase kennwort contrasena contraseña passe senha secret token pwd pass pw bearer authtoken apikey haslo wachtwoord accesstoken refreshtoken accesskey secretkey privatekey".split())
 _KEY_BEFORE = frozenset("api access secret signing encryption account private auth client master shared".split())
-_IDENT_LEFT = re.compile(r"[A-Za-z0-9_.\-\xc0-\xff]*$")
+_IDENT_LEFT = re.compile(r"[A-Za-z0-9_.\-\xc0-\xff]*")  # of the text backwards
 _IDENT_RIGHT = re.compile(r"[A-Za-z0-9_\-\xc0-\xff]*")
 _AFTER = re.compile(
     r"""(?x) (?P<close> ["'`\])]* ) (?: \s* : \s* &?(?:'static\s+)? (?:str|String|string|text|Text|&str)\b )?
@@ -78,6 +78,9 @@ _AFTER = re.compile(
 )
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z\xdf-\xff]+|\d+")
 _JOINED = re.compile(r"""["'`]\s*[+.]?\s*["'`]""")
+_BARE, _BARE_IN_QUERY = re.compile(r"[^\s\"'`,;)\]}<]*"), re.compile(r"[^\s\"'`,;)\]}&]*")
+_SETTING = re.compile(r"\s*(?:#define|ENV|set |setenv)")
+_FIRST_CELL = re.compile(r"\s*\"?")
 _CODE_VALUE = re.compile(r"^[A-Za-z_][\w.]*[\[(]|^[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+$|^&|^\*\w|^function|^lambda|^new$")
 
 
@@ -141,13 +144,37 @@ def _line(text: str, at: int) -> tuple[int, int]:
     return a, len(text) if b < 0 else b
 
 
-def _assign(text: str, at: int) -> tuple[int, int, str] | None:
-    """``at`` is just after the credential word and one more character."""
+def _name_start(text: str, a: int, end: int) -> int:
+    """Where the identifier that ends at ``end`` begins; ``a`` is its line's start."""
+    width = 128
+    while True:
+        low = max(a, end - width)
+        n = _IDENT_LEFT.match(text[low:end][::-1]).end()
+        if n < end - low or low == a:
+            return end - n
+        width *= 8
+
+
+def _after_login(text: str, a: int, left: int) -> bool:
+    """Whether nothing, or a keyword of a login file and its value, stands before on the line."""
+    words = text[a:left].rsplit(None, 2)
+    return not words or (len(words) > 1 and words[-2].endswith(("machine", "login", "default")))
+
+
+def _after_comma(text: str, a: int, left: int) -> bool:
+    if left > a and text[left - 1] == '"':
+        left -= 1
+    while left > a and text[left - 1].isspace():
+        left -= 1
+    return left > a and text[left - 1] == ","
+
+
+def _assign(text: str, at: int, known: tuple[int, int] = (0, 0)) -> tuple[int, int, str] | None:
+    """``at`` is just after the credential word and one more character; ``known`` is the assigned secret found last."""
     a, b = _line(text, at - 1)
-    a, b = max(a, at - 100), min(b, at + 600)
     word_end = at - 1
     right = _IDENT_RIGHT.match(text, word_end, b).end()
-    left = a + _IDENT_LEFT.search(text[a:word_end]).start()
+    left = _name_start(text, a, word_end)
     name = text[left:right]
     is_auth = name.lower() in ("auth", "_auth") and text[left - 1 : left] in "\"'/: \t\n"
     if not (_names_secret(name) or is_auth):
@@ -167,13 +194,15 @@ def _assign(text: str, at: int) -> tuple[int, int, str] | None:
         if m["close"] and not sep:
             return None
         in_query = left > 0 and text[left - 1] in "?&"
-        value = re.match(r"[^\s\"'`,;)\]}&]*" if in_query else r"[^\s\"'`,;)\]}<]*", text[start:b])[0]
+        if not in_query and known[0] <= start < known[1]:
+            return None  # it would end with the secret that it is a part of
+        value = (_BARE_IN_QUERY if in_query else _BARE).match(text, start, b)[0]
         if value.startswith("{") or text[start : start + 2] in ("{{", "${"):
             return None
         end = start + len(value)
-        if not sep and not (name.lower() in ("password", "passwd", "token") and re.search(r"(?:machine|login|default)\s+\S+\s*$|^\s*$", text[max(0, left - 80) : left].rsplit("\n", 1)[-1])) and not text[a:left].lstrip().startswith(("#define", "ENV", "set ", "setenv")):
+        if not sep and not (name.lower() in ("password", "passwd", "token") and _after_login(text, a, left)) and not _SETTING.match(text, a, left):
             return None
-        if sep == "," and not re.fullmatch(r"\s*\"?", text[a:left]) and not re.search(r",\s*\"?$", text[a:left]):
+        if sep == "," and not _FIRST_CELL.fullmatch(text, a, left) and not _after_comma(text, a, left):
             return None
     if is_auth:
         plain = _decoded(value)
@@ -181,20 +210,40 @@ def _assign(text: str, at: int) -> tuple[int, int, str] | None:
     return (start, end, "assigned_secret") if _usable(value, bool(m["q"]), name) else None
 
 
+#: command, and the option of its line that carries the login; None where it follows at once
 _COMMANDS = (
-    re.compile(r"sshpass\s+(?:-\w+\s+)*-p\s*(['\"]?)(?P<v>[^\s'\"]+)\1"),
-    re.compile(r"docker login\s[^\n]*?(?:-p|--password)[ =](['\"]?)(?P<v>[^\s'\"]+)\1"),
-    re.compile(r"mysql(?:dump)?\s[^\n]*?(?:-p|--password=)(['\"]?)(?P<v>[^\s'\"]+)\1"),
-    re.compile(r"(?:curl|wget)\s[^\n]*?(?:-u|--user)[ =]?(['\"]?)[^\s:'\"]+:(?P<v>[^\s'\"]+)\1"),
-    re.compile(r"(?:wget|psql)\s[^\n]*?--password[ =](['\"]?)(?P<v>[^\s'\"]+)\1"),
-    re.compile(r"\blogin\s+\S{2,40}\s+/\s+()(?P<v>\S+)"),
+    (re.compile(r"sshpass\s+(?:-\w+\s+)*-p\s*(['\"]?)(?P<v>[^\s'\"]+)\1"), None),
+    (re.compile(r"docker login\s"), re.compile(r"(?=(?:-p|--password)[ =](['\"]?)(?P<v>[^\s'\"]+)\1)")),
+    (re.compile(r"mysql(?:dump)?\s"), re.compile(r"(?=(?:-p|--password=)(['\"]?)(?P<v>[^\s'\"]+)\1)")),
+    (re.compile(r"(?:curl|wget)\s"), re.compile(r"(?=(?:-u|--user)[ =]?(['\"]?)[^\s:'\"]+:(?P<v>[^\s'\"]+)\1)")),
+    (re.compile(r"(?:wget|psql)\s"), re.compile(r"(?=--password[ =](['\"]?)(?P<v>[^\s'\"]+)\1)")),
+    (re.compile(r"\blogin\s+\S{2,40}\s+/\s+()(?P<v>\S+)"), None),
 )
+
+
+@lru_cache(maxsize=4)
+def _logins(text: str, a: int, b: int) -> list[tuple[list[int], list[tuple[int, int]]]]:
+    """For each form of command on the line: where commands begin, and the span of each one's login.
+
+    A line is searched once for all its hits, so its length costs no more than its reading.
+    """
+    out = []
+    for command, option in _COMMANDS:
+        found = list(command.finditer(text, a, b))
+        logins = list(option.finditer(text, a, b)) if option else found
+        at = [m.start() for m in logins]
+        place = [bisect_left(at, m.end()) for m in found] if option else range(len(found))
+        pairs = [(m.start(), logins[k].span("v")) for m, k in zip(found, place) if k < len(logins)]
+        out.append(([p for p, _ in pairs], [v for _, v in pairs]))
+    return out
+
+
 _HEADER_VALUE = re.compile(r"[A-Za-z0-9+/_=.\-~]+")
 _BODY = re.compile(r"(?:\\r|\\n|[A-Za-z0-9+/=\s\"'+,#*;:>|.\-]|//)*")
 _ARMOR_END = re.compile(r"-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----")
 
 
-def _resolve(kind: str, text: str, at: int, relative: str) -> tuple[int, int, str] | None:
+def _resolve(kind: str, text: str, at: int, relative: str, known: tuple[int, int]) -> tuple[int, int, str] | None:
     if kind in _TOKENS:
         m = _token_rx(kind).search(text, max(0, at - 520), at)
         start = None
@@ -239,13 +288,14 @@ def _resolve(kind: str, text: str, at: int, relative: str) -> tuple[int, int, st
         return m.start(), m.end(), "header"
     if kind == "command":
         a, b = _line(text, at - 1)
-        a, b = max(a, at - 20), min(b, at + 400)
-        for rx in _COMMANDS:
-            m = rx.search(text, a, b)
-            if m and len(m["v"]) >= 5 and not _placeholder(m["v"]) and not m["v"].startswith("$"):
-                return m.start("v"), m.end("v"), "command"
+        for begun, spans in _logins(text, a, b):
+            k = bisect_left(begun, at - 20)
+            if k < len(spans):
+                value = text[slice(*spans[k])]
+                if len(value) >= 5 and not _placeholder(value) and not value.startswith("$"):
+                    return *spans[k], "command"
         return None
-    return _assign(text, at)
+    return _assign(text, at, known)
 
 
 _PASSWORD_FILE = re.compile(r"(?m)^[^\s:#]+:[\d*]+:[^\s:]+:[^\s:]+:(\S+)")
@@ -265,6 +315,7 @@ def find_in_texts(texts: list[str | None], relatives: list[str | None]) -> list[
         starts.append(at + 1)
         at += len(parts[-1])
     raw: list[dict[tuple[int, int], str]] = [{} for _ in texts]
+    known = [(0, 0)] * len(texts)
     for end, mask in auto.scan(b"".join(parts)):
         k = bisect_right(starts, end - 1) - 1
         if k < 0:
@@ -275,8 +326,10 @@ def find_in_texts(texts: list[str | None], relatives: list[str | None]) -> list[
         bit = 0
         while mask:
             if mask & 1:
-                got = _resolve(auto.names[bit], text, here, relatives[k] or "")
+                got = _resolve(auto.names[bit], text, here, relatives[k] or "", known[k])
                 if got:
+                    if got[2] == "assigned_secret":
+                        known[k] = got[:2]
                     raw[k].setdefault(got[:2], got[2])
             mask >>= 1
             bit += 1

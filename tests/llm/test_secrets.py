@@ -37,6 +37,23 @@ def test_other_lines_are_no_cases(text):
     assert find_in_texts([text], ["a/x.py"]) == [[]]
 
 
+LONG = "".join(random.Random(3).choices("ABCDEFGHabcdefgh0123456789+/", k=2000))
+
+
+@pytest.mark.parametrize(
+    ("before", "value", "after"),
+    [
+        ('private_key = "', LONG, '"; x'), ("client_secret=", LONG, " x"), ("?token=", LONG, "&x=1"), ("x, y, kennwort,", LONG, ",z"), ("machine h login " + "l" * 200 + " password ", RND, ""), ("a_" * 90 + 'password = "', RND, '"'),
+        ("curl " + "-H 'X: y' " * 60 + "-u deploy:", RND, " https://h.example/"), ("mysql " + "--verbose " * 100 + "-p", RND, " -h h"), ("wget " + "-q " * 200 + "--password=", LONG, " x"),
+    ],
+)
+def test_long_values_and_lines_are_masked_whole(before, value, after):
+    text = f"first\n{before}{value}{after}\nlast"
+    (spans,) = find_in_texts([text], ["a/x.py"])
+    assert [text[a:b] for a, b, _ in spans] == [value]
+    assert value[-20:] not in mask(text, spans)
+
+
 def test_hits_on_chunk_borders_count_once():
     rnd = random.Random(5)
     for size in (1000, 1023, 1024, 1025, 2047, 2048, 4090, 1 << 21):
