@@ -125,11 +125,12 @@ class Packer:
         return [(*r[:-1], spent.cut) for r in out] if depth == 0 else out
 
 
-def pack_df(files: DataFrame, opts: Options = Options()) -> DataFrame:  # noqa: B008
+def pack_df(files: DataFrame, opts: Options = Options(), owner: bool = False) -> DataFrame:  # noqa: B008
     """Packs rows (id, relative, bytes): filters, selection, budgets in path order, readers.
 
     Defined results: null bytes are status 'changed' (no longer there); repeated ids are kept
-    apart by their rows; empty tables give an empty result; extra columns are ignored.
+    apart by their rows; empty tables give an empty result; extra columns are ignored.  With
+    ``owner`` each row also names the id of the file it came from.
     """
     named = files.select("id", "relative", "bytes", F.octet_length("bytes").cast("bigint").alias("size"))
     named = named.where(paths.keep_path("relative", opts.include, opts.exclude, opts.hidden, opts.default_excludes, unpacking=opts.follow_archives))
@@ -138,6 +139,7 @@ def pack_df(files: DataFrame, opts: Options = Options()) -> DataFrame:  # noqa:
     if opts.max_entries or opts.max_total_bytes < 1 << 62:
         named = _within_budget(named, opts)
     packer = Packer(opts)
+    columns = [*COLUMNS, "owner"] if owner else COLUMNS
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -145,18 +147,18 @@ def pack_df(files: DataFrame, opts: Options = Options()) -> DataFrame:  # noqa:
             held = 0
             for i, rel, raw in zip(pdf["id"], pdf["relative"], pdf["bytes"]):
                 if raw is None:
-                    rows.append((i, rel, kind_of_name(rel) or "unknown", 0, "[changed since scan: no longer there]", "changed", None, "no longer there", False))
-                    continue
-                got = packer.pack(i, rel, bytes(raw))
-                rows += got
+                    got = [(i, rel, kind_of_name(rel) or "unknown", 0, "[changed since scan: no longer there]", "changed", None, "no longer there", False)]
+                else:
+                    got = packer.pack(i, rel, bytes(raw))
+                rows += [(*r, i) for r in got] if owner else got
                 held += sum(len(r[4] or "") for r in got)
                 if held > FLUSH_CHARS:
-                    yield pd.DataFrame(rows, columns=COLUMNS)
+                    yield pd.DataFrame(rows, columns=columns)
                     rows, held = [], 0
             if rows:
-                yield pd.DataFrame(rows, columns=COLUMNS)
+                yield pd.DataFrame(rows, columns=columns)
 
-    return named.select("id", "relative", "bytes").mapInPandas(run, SCHEMA)
+    return named.select("id", "relative", "bytes").mapInPandas(run, f"{SCHEMA}, owner string" if owner else SCHEMA)
 
 
 def _selected(named: DataFrame, names: tuple[str, ...]) -> DataFrame:

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from folio.incremental import VersionedTable
+from folio.incremental import VersionedTable, latest
 from folio.operators.joins import is_settled
-from folio.operators.pack import pack_df
+from folio.operators.pack import COLUMNS, pack_df
 from folio.options import Options
 
 
+def _may_last(status: Column) -> Column:
+    return F.coalesce(status, F.lit("error")).isin("extracted", "skipped_binary", "too_large", "skipped_archive", "unreadable")
+
+
 def lasting(packed: DataFrame) -> DataFrame:
     """Outcomes that may be cached: errors and changed files are read again next time."""
-    return packed.where(F.coalesce("status", F.lit("error")).isin("extracted", "skipped_binary", "too_large", "skipped_archive", "unreadable"))
+    return packed.where(_may_last(F.col("status")))
 
 
 def repack(spark: SparkSession, files: DataFrame, cache_path: str, opts: Options) -> DataFrame:
@@ -41,11 +45,39 @@ def repack(spark: SparkSession, files: DataFrame, cache_path: str, opts: Options
 
 
 def watch(spark: SparkSession, folder: str, schema: StructType, target: str, checkpoint: str, opts: Options) -> StreamingQuery:
-    """Packs rows (id, relative, bytes) as files of them arrive; each batch is published once."""
-    table = VersionedTable(spark, target, "id", ["relative"])
-    stream = spark.readStream.schema(schema).parquet(folder)
+    """Packs rows (id, relative, bytes) as files of them arrive; each batch is published once.
+
+    Every row of the target carries its owner's id, path and a digest of the owner's bytes, so a
+    file or archive delivered again is packed again only if its path or bytes differ.  Of several
+    deliveries in one batch the one that arrived last counts (then the largest ``modified``, if
+    there is that column, then the largest digest).  A file that leaves no row, and one whose
+    outcome may not be cached, has a null digest and is packed whenever it is delivered;
+    ``watched`` reads what the target holds now.
+    """
+    table = VersionedTable(spark, target, "owner", ["path", "digest"])
+    stream = spark.readStream.schema(schema).parquet(folder).select("*", F.col("_metadata.file_modification_time").alias("_arrived"))
+    order = ["_arrived", *(c for c in ("modified",) if c in schema.fieldNames()), "digest"]
+
+    def process(changed: DataFrame) -> DataFrame:
+        packed = pack_df(changed.select(F.col("owner").alias("id"), F.col("path").alias("relative"), "bytes"), opts, owner=True)
+        outcome = packed.groupBy("owner").agg(F.collect_list(F.struct(*COLUMNS)).alias("outcomes"))
+        joined = changed.select("owner", "path", "digest").join(outcome, "owner", "left")
+        known = F.when(F.forall("outcomes", lambda r: _may_last(r["status"])), F.col("digest")).alias("digest")
+        rows = joined.select("owner", "path", known, F.inline_outer("outcomes"))
+        return rows.withColumns({"id": F.coalesce("id", "owner"), "relative": F.coalesce("relative", "path")})
 
     def publish(batch: DataFrame, _number: int) -> None:
-        table.run(batch, lambda changed: pack_df(changed.select("id", "relative", "bytes"), opts))
+        keyed = batch.withColumnsRenamed({"id": "owner", "relative": "path"}).withColumn("digest", F.sha2("bytes", 256))
+        table.run(latest(keyed, ["owner"], order, ["path", "bytes", "digest"]), process)
 
     return stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def watched(spark: SparkSession, target: str) -> DataFrame | None:
+    """The rows of each file's newest delivery; members that an archive no longer holds are gone."""
+    parts = VersionedTable(spark, target, "owner", []).published()
+    if not parts:
+        return None
+    rows = spark.read.parquet(*(f"{target.rstrip('/')}/{d}" for _, d in parts))
+    newest = rows.groupBy("owner").agg(F.max("_version").alias("_version"))
+    return rows.join(newest, ["owner", "_version"], "left_semi").where("status IS NOT NULL").select(*COLUMNS)

@@ -1,14 +1,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import io
 import os
+import zipfile
 
 import pytest
 
 from folio.incremental import VersionedTable, latest, pending_files
 from folio.options import Options
 from folio.sources.files import labels, open_beneath, rules, ignored, scan, with_bytes
-from folio.streaming.repack import repack, watch
+from folio.streaming.repack import repack, watch, watched
 
 
 def test_walk_ignores_and_labels(spark, tmp_path):
@@ -123,3 +125,45 @@ def test_watch_publishes_each_batch_once(spark, tmp_path):
         watch(spark, str(tmp_path / "in"), src.schema, str(tmp_path / "out"), str(tmp_path / "cp"), Options()).awaitTermination()
     t = VersionedTable(spark, str(tmp_path / "out"), "id", ["relative"])
     assert [v for v, _ in t.published()] == [1] and t.state().head()["text"] == "one"
+
+
+def zipped(**files: str) -> bytearray:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, body in files.items():
+            z.writestr(zipfile.ZipInfo(f"{name}.txt"), body)
+    return bytearray(out.getvalue())
+
+
+def test_watch_takes_changed_bytes_and_archives_over_batches(spark, tmp_path):
+    schema = "id string, relative string, bytes binary"
+    batches = [
+        [("a", "a.txt", bytearray(b"one")), ("b!c", "b.txt", bytearray(b"same")), ("z", "z.zip", zipped(x="1", y="2")), ("n", "n.txt", None)],
+        [("a", "a.txt", bytearray(b"two")), ("b!c", "b.txt", bytearray(b"same")), ("z", "z.zip", zipped(x="1", y="2")), ("n", "n.txt", bytearray(b"now"))],
+        [("a", "a.txt", bytearray(b"one")), ("z", "z.zip", zipped(x="3"))],
+        [("z", "z.zip", zipped())],
+    ]
+    new, texts = [], []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        df = spark.createDataFrame(rows, schema)
+        watch(spark, str(tmp_path / "in"), df.schema, str(tmp_path / "out"), str(tmp_path / "cp"), Options(follow_archives=True)).awaitTermination()
+        last = VersionedTable(spark, str(tmp_path / "out"), "owner", []).published()[-1][1]
+        new.append(sorted({r["owner"] for r in spark.read.parquet(f"{tmp_path}/out/{last}").collect()}))
+        texts.append({r["id"]: r["text"] for r in watched(spark, str(tmp_path / "out")).collect()})
+    assert new == [["a", "b!c", "n", "z"], ["a", "n"], ["a", "z"], ["z"]]
+    assert [t["a"] for t in texts] == ["one", "two", "one", "one"] and texts[1]["n"] == "now" and texts[3]["b!c"] == "same"
+    members = [{i: x for i, x in t.items() if i.startswith("z")} for t in texts]
+    assert members == [{"z!z.zip/x.txt": "1", "z!z.zip/y.txt": "2"}] * 2 + [{"z!z.zip/x.txt": "3"}, {}]
+
+
+def test_watch_keeps_the_last_delivery_of_a_batch(spark, tmp_path):
+    schema = spark.createDataFrame([("a", "a.txt", bytearray(b""))], "id string, relative string, bytes binary").schema
+    for k, body in enumerate((b"old", b"new", b"mid")):
+        spark.createDataFrame([("a", "a.txt", bytearray(body))], schema).coalesce(1).write.parquet(str(tmp_path / f"d{k}"))
+        (part,) = (tmp_path / f"d{k}").glob("part*")
+        (tmp_path / "in").mkdir(exist_ok=True)
+        os.rename(part, tmp_path / "in" / f"{k}.parquet")
+        os.utime(tmp_path / "in" / f"{k}.parquet", (1e9 + k, 1e9 + k))
+    watch(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "cp"), Options()).awaitTermination()
+    assert [r["text"] for r in watched(spark, str(tmp_path / "out")).collect()] == ["mid"]
