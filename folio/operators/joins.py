@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ def owners(entries: DataFrame, inputs: DataFrame) -> DataFrame:
     return entries.select("id").distinct().join(hit, "id", "left")
 
 
-def shared_root(paths: DataFrame, col: str = "relative") -> DataFrame:
-    """One row: the first component if all paths share it and none is a file there, else null."""
+def shared_root(paths: DataFrame, col: str = "relative", by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one for each group: the first component if all paths share it and none is a file there, else null."""
     p = F.split(F.col(col), "/")
-    return paths.agg(F.when((F.min(p[0]) == F.max(p[0])) & (F.min(F.size(p)) > 1), F.min(p[0])).alias("root"))
+    return paths.groupBy(*by).agg(F.when((F.min(p[0]) == F.max(p[0])) & (F.min(F.size(p)) > 1), F.min(p[0])).alias("root"))

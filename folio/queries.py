@@ -193,6 +193,12 @@ def grant_root(spark: SparkSession, sf: str) -> DataFrame:
     return joins.shared_root(_read(spark, sf, "manifest_entries").where("root_id = 'r0007'"))
 
 
+@query("SELECT root_id, CASE WHEN min(split_part(relative, '/', 1)) = max(split_part(relative, '/', 1)) AND min(length(relative) - length(replace(relative, '/', ''))) > 0 THEN min(split_part(relative, '/', 1)) END AS root FROM manifest_entries GROUP BY root_id")
+def grant_roots(spark: SparkSession, sf: str) -> DataFrame:
+    """grant_root for every project."""
+    return joins.shared_root(_read(spark, sf, "manifest_entries"), by=["root_id"])
+
+
 @query("SELECT id, relative, CASE WHEN n = 1 THEN id ELSE id || '#' || n END AS unique_id FROM (SELECT id, relative, row_number() OVER (PARTITION BY id ORDER BY seen_at, scan_no) AS n, seen_at, scan_no FROM (SELECT DISTINCT id, relative, seen_at, scan_no FROM walked_files))")
 def unique_ids(spark: SparkSession, sf: str) -> DataFrame:
     rows = _read(spark, sf, "walked_files").select("id", "relative", "seen_at", "scan_no").distinct().withColumn("o", F.struct("seen_at", "scan_no"))

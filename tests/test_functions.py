@@ -187,3 +187,15 @@ def test_looks_binary_of_all_packed_texts(spark, tmp_path):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW packed_files AS SELECT * FROM '{tmp_path}/packed_files.parquet/*.parquet'")
     assert sorted(db.execute(e.oracle_sql()["looks_binary_all"]).fetchall()) == want
+
+
+def test_shared_root_of_every_project(spark, tmp_path):
+    import __spark_entry__ as e
+
+    rows = [("r1", "a/x"), ("r1", "a/b/y"), ("r2", "a/x"), ("r2", "b/x"), ("r3", "a/x"), ("r3", "a"), ("r4", "x"), ("r5", "c/x"), ("r5", None), (None, "d/x"), ("r6", None)]
+    df = spark.createDataFrame(rows, "root_id string, relative string")
+    df.write.parquet(str(tmp_path / "manifest_entries.parquet"))
+    want = {"r1": "a", "r2": None, "r3": None, "r4": None, "r5": "c", None: "d", "r6": None}
+    assert dict(map(tuple, e.queries()["grant_roots"](spark, str(tmp_path)).collect())) == want
+    assert joins.shared_root(df.where("root_id = 'r1'")).collect() == [("a",)]
+    assert joins.shared_root(df.where("false")).collect() == [(None,)] and joins.shared_root(df.where("false"), by=["root_id"]).count() == 0
