@@ -204,10 +204,15 @@ class Automaton:
         self.byte_class = self.byte_class.astype(np.uint8)
 
     def scan(self, data: bytes, chunk: int = 1024, block: int = 1 << 21) -> list[tuple[int, int]]:
-        """(absolute end offset, bit mask of the patterns that end there), each offset once."""
+        """(absolute end offset, bit mask of the patterns that end there), each offset once.
+
+        Chunks run in parallel, each from ``longest`` bytes before it.  Where that is not the state
+        in which the chunk before ended, a match is open for longer than this lead, and the chunk
+        is run again from the right state until both ways meet.
+        """
         raw = self.byte_class[np.frombuffer(data, np.uint8)]
         found: list[tuple[int, int]] = []
-        lead = self.longest
+        lead, carried = self.longest, self._start
         for at in range(0, len(raw), block):
             before = min(at, lead)
             part = raw[at - before : at + block]
@@ -220,12 +225,28 @@ class Automaton:
             trace = np.empty((chunk, rows), np.intp)
             for j in range(lead + chunk):
                 np.add(state, wide[j], out=index)
+                if j == lead:
+                    begin = state
                 if j >= lead:
                     state = trace[j - lead]
                 np.take(self.table, index, out=state, mode="clip")
+            differs = begin != np.concatenate([[carried], trace[-1, :-1]])
+            for row in map(int, np.flatnonzero(differs)):
+                self._again(trace, wide, lead, row, carried if row == 0 else int(trace[-1, row - 1]))
+            carried = int(trace[(len(part) - before - 1) % chunk, -1])
             j, i = np.nonzero(trace >= self._hot)
             ends = at + i * chunk + j + 1
             order = np.argsort(ends, kind="stable")
             masks = self.accepts[trace[j, i] // self._n]
             found += [(int(e), int(m)) for e, m in zip(ends[order], masks[order]) if e <= len(raw)]
         return found
+
+    def _again(self, trace: np.ndarray, wide: np.ndarray, lead: int, row: int, state: int) -> None:
+        """Replaces the states from ``row`` on by those that follow from ``state``, up to where they agree."""
+        while row < trace.shape[1]:
+            for j in range(len(trace)):
+                state = int(self.table[state + int(wide[lead + j, row])])
+                if trace[j, row] == state:
+                    return
+                trace[j, row] = state
+            row += 1

@@ -239,19 +239,26 @@ def _logins(text: str, a: int, b: int) -> list[tuple[list[int], list[tuple[int,
 
 
 _HEADER_VALUE = re.compile(r"[A-Za-z0-9+/_=.\-~]+")
-_BODY = re.compile(r"(?:\\r|\\n|[A-Za-z0-9+/=\s\"'+,#*;:>|.\-]|//)*")
+_BODY = re.compile(r"(?:\\[rn]|[A-Za-z0-9+/=\s\"',#*;:>|.\-]++)*+")
+_ARMOR_FIELDS = re.compile(r"\s*(?:[A-Za-z-]+: [^\n]*\n)*")
+_KEY_LINES = re.compile(r"[A-Za-z0-9+/=]*(?:(?:\\[rn]|[\s\"'+,#*;>|])++[A-Za-z0-9+/=]{32,})*+")
+_NEAR_END = 20_000  # an END line nearer than this closes the block whatever lies between
 _ARMOR_END = re.compile(r"-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----")
 
 
+def _token_start(kind: str, text: str, a: int, at: int) -> int | None:
+    """Where the first token in the text from ``a`` begins that reaches ``at``."""
+    m = _token_rx(kind).search(text, a, at)
+    while m and m.end() != at:
+        m = _token_rx(kind).search(text, m.start() + 1, at)
+    return m.start() if m else None
+
+
 def _resolve(kind: str, text: str, at: int, relative: str, known: tuple[int, int]) -> tuple[int, int, str] | None:
     if kind in _TOKENS:
-        m = _token_rx(kind).search(text, max(0, at - 520), at)
-        start = None
-        while m:
-            if m.end() == at:
-                start = m.start()
-                break
-            m = _token_rx(kind).search(text, m.start() + 1, at)
+        start = _token_start(kind, text, max(0, at - 520), at)
+        if start is None and at > 520:
+            start = _token_start(kind, text, _line(text, at - 1)[0], at)
         if start is None:
             return None
         end = _TOKEN_TAIL.match(text, at).end()
@@ -263,8 +270,13 @@ def _resolve(kind: str, text: str, at: int, relative: str, known: tuple[int, int
         return start, start + len(value), kind
     if kind == "armor":
         start = text.rfind("-----BEGIN", 0, at)
-        m = _ARMOR_END.search(text, at, at + 20_000)
-        body_end = m.start() if m else _BODY.match(text, at, at + 20_000).end()
+        m = _ARMOR_END.search(text, at, at + _NEAR_END)
+        if not m:  # a longer key holds nothing but the lines of a key
+            m = _ARMOR_END.search(text, at, _BODY.match(text, _ARMOR_FIELDS.match(text, at).end()).end())
+            m = None if m and text.find("-----BEGIN", at, m.start()) >= 0 else m
+        body_end = m.start() if m else _BODY.match(text, at, at + _NEAR_END).end()
+        if body_end == at + _NEAR_END and not m:
+            body_end = _KEY_LINES.match(text, body_end).end()
         body = re.sub(r"\\[nr]", "", text[at:body_end])
         solid = re.sub(r"[^A-Za-z0-9+/=]", "", body)
         if len(solid) < 30 or len(set(solid)) < 10:

@@ -62,6 +62,37 @@ def test_hits_on_chunk_borders_count_once():
         assert find_in_texts([text], [None]) == [[(size + 13, size + 13 + len(RND), "assigned_secret")]]
 
 
+def test_matches_longer_than_the_lead_are_found_on_any_border():
+    for size in (0, 300, 511, 512, 900, 1023):
+        for secret in ("Zx9" * 300, "Zx9" * 1500):
+            text = f"{'a ' * size}\npostgres://svc:{secret}@h.example/db and more {'b ' * 2000}"
+            (spans,) = find_in_texts([text], [None])
+            assert [text[a:b] for a, b, _ in spans] == [secret], (size, len(secret))
+    long = f"https://hooks.{'sub.' * 900}example/services/T0AB12CD3/B0AB12CD3/{RND}{RND}"
+    assert [k for _, _, k in find_in_texts([f"x {long} y"], [None])[0]] == ["webhook"]
+
+
+def test_long_keys_are_masked_whole():
+    lines = "\n".join("".join(random.Random(k).choices("ABCDEFGHabcdefgh0123456789+/", k=64)) for k in range(700))
+    for fields in ("", "Version: GnuPG v2 (Linux)\n\n"):
+        key = f"-----BEGIN PGP PRIVATE KEY BLOCK-----\n{fields}{lines}\n-----END PGP PRIVATE KEY BLOCK-----"
+        for text in (f"a\n{key}\nb (c)", f"a\n{key}\n{KEY}\n"):
+            (spans,) = find_in_texts([text], [None])
+            assert spans[0] == (2, 2 + len(key), "private_key")
+    cut = f"a\n-----BEGIN RSA PRIVATE KEY-----\n{lines}\nso it ends here (truncated)"
+    assert cut[: find_in_texts([cut], [None])[0][0][1]].endswith(lines)
+    parser = f'begin = "-----BEGIN RSA PRIVATE KEY-----"\n{"f(x); " * 5000}\nend = "-----END RSA PRIVATE KEY-----"\n'
+    assert all(b < 100 for _, b, _ in find_in_texts([parser], [None])[0])
+
+
+def test_automaton_carries_states_over_chunks_and_blocks():
+    auto = Automaton([("long", r"<[a-z]*>", False)], longest=8)
+    rnd = random.Random(2)
+    text = "".join(rnd.choices(["<", ">", "ab" * 20, "Q"], k=2000))
+    brute = {m.end() for m in re.finditer(r"<[a-z]*>", text)}
+    assert {e for e, _ in auto.scan(text.encode(), chunk=16, block=777)} == brute
+
+
 def test_automaton_equals_regular_expressions():
     patterns = [("a", r"ab+c{2,3}", False), ("b", r"[x-z]\d?q", True), ("c", r"(foo|ba)r", True)]
     auto = Automaton(patterns, longest=32)
