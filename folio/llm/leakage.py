@@ -30,7 +30,9 @@ MIN_WORDS, K = 10, 5
 _WORD = re.compile(r"\w+")
 # Unicode's format characters (category Cf) outside the tag block.
 _FORMAT = re.compile("[­؀-؅؜۝܏࢐࢑࣢᠎​-‏‪-‮⁠-⁤⁦-⁯﻿￹-￻]")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,400}>|<!--|-->")
+_TAG = re.compile(r"</?[A-Za-z](?:[^<>]{0,400}|[\w:.-]*\s[^<>=]*=[^<>]*)>|<!--|-->")  # a longer one has attributes
+_PARTING = re.compile(r"</?(?:address|article|aside|blockquote|br|caption|dd|details|div|dl|dt|figcaption|figure|footer|form|h[1-6]|header|hr|img|input|label|legend|li|main|nav|ol|option|p|pre|section|select|summary|table|tbody|td|textarea|tfoot|th|thead|title|tr|ul)\b(?:[^<>]{0,400}|\s[^<>=]*=[^<>]*)>")
+_EMPHASIS = re.compile(r"(?<=\w)(?:\*{1,3}|~~|`)(?=\w)")
 _MARKED = re.compile(r"[<&]|\b_|_\b|-\s*\n")
 
 
@@ -46,7 +48,7 @@ _hashes = _Hashes()
 
 
 def readings(text: str | None) -> list[list[str]]:
-    """The words of a text; a second reading without markup if it has any."""
+    """The words of a text; if it has markup, a reading without it and one where block tags part words."""
     if not text:
         return []
     low = text.lower()
@@ -59,6 +61,12 @@ def readings(text: str | None) -> list[list[str]]:
         words = [w for w in (x.strip("_") for x in _WORD.findall(bare)) if w]
         if words != out[0]:
             out.append(words)
+    if _EMPHASIS.search(low) or _PARTING.search(html.unescape(low)):  # block tags part words, marks inside a word do not
+        bare = re.sub(r"-\s*\n\s*(?:[>#*|/]+\s*)*", "", low) if "-" in low else low
+        bare = _FORMAT.sub("", _EMPHASIS.sub("", _TAG.sub("", _PARTING.sub(" ", html.unescape(bare)))))
+        words = [w for w in (x.strip("_") for x in _WORD.findall(bare)) if w]
+        if words not in out:
+            out.append(words)
     return out
 
 

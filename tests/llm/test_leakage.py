@@ -53,3 +53,13 @@ def test_tables_and_blocks(spark):
         assert got == [(1, 10, 20), (1, 11, 15), (5, 10, 20), (5, 11, 15)]
     assert leaks(docs, items.where("false")).count() == 0
     assert leaks(docs.where("false"), items).count() == 0
+
+
+def test_tags_and_emphasis_between_and_inside_words():
+    from folio.llm.leakage import Index
+
+    words = [f"word{k}x" for k in range(12)]
+    index = Index([(1, " ".join(words))])
+    wide = '<td title="' + "t" * 600 + '">'
+    for text in ("<br>".join(words), "</td><td>".join(words), "</li>\n<li>".join(words), f"</td>{wide}".join(words), " ".join(w.replace("rd", "**rd**") for w in words), "<br>".join(w.replace("rd", "<b>rd</b>") for w in words)):
+        assert [h[1] for h in index.hits([text])].count(1) >= 1, text
