@@ -30,11 +30,13 @@ from pyspark.sql import functions as F
 
 # Single-byte code pages a reader may have used by mistake; undefined bytes map to C1 controls.
 _READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "koi8_r", "cp866", "cp1253", "cp1254", "iso8859_15")
+_READ_AS_WIDE = ("gb18030", "shift_jis", "euc_jp", "big5", "euc_kr")
 # Encodings whose bytes may have been read as one of the above.
-_LEGACY = ("cp1251", "koi8_r", "iso8859_2", "cp1250", "cp866", "cp1253", "shift_jis", "euc_jp", "gb18030", "big5", "euc_kr")
+_LEGACY = ("cp1251", "koi8_r", "iso8859_2", "cp1250", "cp866", "cp1253", "shift_jis", "euc_jp", "gb18030", "big5", "euc_kr", "cp1252", "cp437", "cp850", "mac_roman", "cp1254", "cp1255", "cp1256", "iso8859_5")
 _PRICE_UTF8, _PRICE_LEGACY, _PRICE_UNESCAPE = 0.4, 2.5, 0.4
-_MAX_EXPANSIONS = 48
 _GAIN_UTF8, _GAIN_LEGACY = 1.5, 1.4
+#: Damage that no step undoes is reported from this cost on, all told and for each suspicious character.
+_BEYOND_DOUBT, _BEYOND_DOUBT_EACH = 12.0, 0.75
 
 
 def _byte_chars(codec: str) -> list[str]:
@@ -113,6 +115,14 @@ _WEIGHTED = (
     (re.compile("[\u0370-\u03ff][\u00a1-\u00bf\u2500-\u259f]|[\u00a1-\u00bf\u2500-\u259f][\u0370-\u03ff]"), 2.0),
     (re.compile("[\u07c0-\u07ff\u0700-\u074f\u0780-\u07bf\u0250-\u02af\u02b0-\u02ff\u1400-\u167f\ua000-\ua4cf]"), 2.0),
 )
+_WEIGHTED += (
+    (re.compile(f"(?<=[{_LATIN}])[\u2264\u2265\u2261\u2219\u2229\u03b1-\u03c9\u02c6\u02c7\u02d8-\u02dd](?=[a-z])"), 2.0),
+    (re.compile("[\ufb00-\ufb06\u2202\u2206\u220f\u2211\u221a\u221e\u222b\u25ca\u2044](?=\\w)|(?<=\\w)[\ufb00-\ufb06\u2202\u2206\u220f\u2211\u221a\u221e\u222b\u25ca\u2044]"), 1.5),
+    (re.compile("[\u2100-\u2115\u2117-\u2121\u2123-\u214f\u3200-\u33ff]"), 1.5),
+    (re.compile("(?<=[a-z])[\u00c0-\u00d6\u00d8-\u00de\u0178](?=[a-z])"), 2.0),
+)
+# Letters that are seldom in running text of their script; they only decide between equally cheap texts.
+_SELDOM = re.compile("[\u0444\u0446\u0448-\u044a\u044d\u044e\u0445\u0436\u0451-\u045f\u0490-\u052f\u0424\u0426\u0428-\u042a\u042d\u042e\u0402-\u040f\u0100-\u024f\u0370-\u03ff\u0590-\u06ff\u2100-\u214f\u3200-\u33ff]")
 _PAIR = re.compile(f"(?<![{_CYR}])[{_CYR}]{{2}}(?![\\w\u0080-\u00bf\u2010-\u2122])")
 _ACCENT_RUN = re.compile("[\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]{3,}")
 _MARK_IN_WORD = re.compile(f"(?<=[{_LATIN}])[\u00a3\u00b1\u00b3\u00b6\u00b9\u00bf\u00a1\u00bc\u00be\u00af](?=[^\\S]|[.,;:)\"']|$)|(?:(?<=\\s)|(?<=^))[\u00b3\u00b6\u00b1\u00b9\u00bc\u00be\u00af](?=[{_LATIN}])")
@@ -139,18 +149,17 @@ def _implausible(text: str) -> float:
     return cost + 1.5 * len(_MARK_IN_WORD.findall(text))
 
 
+def oddity(state: tuple[str, ...]) -> int:
+    """Letters of the state that are seldom in their script, capitals inside words counted twice."""
+    return sum(len(_SELDOM.findall(t)) + 2 * sum(a.islower() and b.isupper() for a, b in zip(t, t[1:])) for t in state)
+
+
 def _to_bytes(token: str, codec: str) -> bytes | None:
-    if codec == "gbk":
-        parts = []
-        for piece in re.split("(\ufffd)", token):
-            if piece == "\ufffd":
-                parts.append(b"\xff")
-                continue
-            try:
-                parts.append(piece.encode("gb18030"))
-            except UnicodeEncodeError:
-                return None
-        return b"".join(parts)
+    if codec == "gbk" or codec in _READ_AS_WIDE:
+        try:
+            return b"\xff".join(piece.encode(codec) for piece in token.split("\ufffd"))
+        except UnicodeEncodeError:
+            return None
     out = token.translate(_ENCODE[codec])
     if "\ufffd" in out:
         out = out.replace("\ufffd", "\xff")
@@ -181,21 +190,31 @@ def _step(token: str, read_as: str, really: str) -> str | None:
     return _from_bytes(raw, really, "\ufffd" in token)
 
 
-_NEAR_STEPS = [("unescape", "", _PRICE_UNESCAPE), *((b, "utf-8", _PRICE_UTF8) for b in (*_READ_AS, "gbk"))]
-_FAR_STEPS = [(b, a, _PRICE_LEGACY) for b in ("cp1252", "cp1251", "koi8_r", "cp866", "mac_roman") for a in _LEGACY if a != b]
+_NEAR_STEPS = (("unescape", "", _PRICE_UNESCAPE), *((b, "utf-8", _PRICE_UTF8) for b in (*_READ_AS, *_READ_AS_WIDE)))
+#: What a legacy step costs more whose pages are seldom met.
+_SELDOM_PAGE = {"mac_roman": 0.6, "cp437": 0.6, "cp850": 0.6, "cp1254": 0.4, "cp1255": 0.6, "cp1256": 0.6, "iso8859_5": 0.4, "big5": 0.4, "euc_kr": 0.2}
+_SELDOM_READER = {"cp1252": 0.0, "latin-1": 0.0, "cp1251": 0.0, "koi8_r": 0.2, "cp866": 0.2, "cp437": 0.1, "cp850": 0.1, "mac_roman": 0.1, "gbk": 0.5, "shift_jis": 0.8, "euc_jp": 0.8, "big5": 0.8, "euc_kr": 0.8}
+_FAR_STEPS = tuple((b, a, _SELDOM_PAGE.get(a, 0.0) + _SELDOM_READER.get(b, 0.3)) for b in (*_READ_AS, "gbk", *_READ_AS_WIDE[1:]) for a in _LEGACY if a != b)
 
 
 def _apply(state: tuple[str, ...], step: tuple[str, str, float]) -> tuple[str, ...] | None:
+    """The state with the step undone in every token where that is possible.
+
+    A step into UTF-8 or out of references is taken even where a token looks worse for it, since
+    the next step may need it: few wrong readings survive a strict decoder.  A legacy page decodes
+    anything, so there a token must not look worse.
+    """
     read_as, really, _ = step
     out, changed = [], False
     if read_as == "unescape" and not any("&" in t for t in state):
         return None
+    strict = really != "utf-8"
     for token in state:
         if read_as == "unescape":
             new = html.unescape(token)
         else:
             new = None if token.isascii() else _step(token, read_as, really)
-        if new is not None and new != token and (read_as == "unescape" or implausibility(new) <= implausibility(token)) and "\n" not in new:
+        if new is not None and new != token and (read_as == "unescape" or _fits(token, new, strict)) and "\n" not in new:
             out.append(new)
             changed = True
         else:
@@ -203,39 +222,51 @@ def _apply(state: tuple[str, ...], step: tuple[str, str, float]) -> tuple[str, .
     return tuple(out) if changed else None
 
 
+def _fits(token: str, new: str, strict: bool) -> bool:
+    return implausibility(new) <= implausibility(token) + (0.0 if strict or "\ufffd" in new else len(new) * 3.0 if _SHAPE.search(new) else 0.0)
+
+
 @lru_cache(maxsize=1 << 15)
 def repair_tokens(state: tuple[str, ...]) -> tuple[tuple[str, ...], float, tuple[str, ...]]:
     """Cheapest reachable tokens, the gain in plausibility and the steps that lead there.
 
     Steps into UTF-8 are cheap and expanded with their state; steps between legacy pages are
     dear, so each state enters the frontier a second time at their price and is expanded with
-    them only if nothing cheaper is left.
+    them only if nothing cheaper is left.  The search ends when the frontier is empty or all that
+    is left in it has paid as much as the best text costs; it has no other limit.  It is finite:
+    every step into UTF-8 or out of references makes the text shorter, and a legacy step has to
+    make it more plausible, each time by more than the one before it on the path.
     """
     start = sum(map(implausibility, state))
-    best, best_cost, best_path = state, start, ()
-    frontier, seen, serial = [(start, 0, 0.0, state, (), _NEAR_STEPS)], {state}, 0
-    heapq.heappush(frontier, (start + _PRICE_LEGACY, -1, 0.0, state, (), _FAR_STEPS))
-    for _ in range(_MAX_EXPANSIONS):
-        if not frontier:
-            break
-        cost, _, price, here, path, steps = heapq.heappop(frontier)
-        if steps is _NEAR_STEPS and cost < best_cost:
-            best, best_cost, best_path = here, cost, path
-            if cost - price == 0.0:
-                break
-        if best_path and cost >= best_cost and steps is _FAR_STEPS:
-            break
-        if len(path) >= 4:
+    best, best_cost, best_path, best_odd = state, start, (), oddity(state)
+    serial, seen = 0, {state: 0.0}
+    frontier: list[tuple] = [(start, 0, 0.0, state, (), start, _PRICE_LEGACY, _NEAR_STEPS), (start + _PRICE_LEGACY, -1, 0.0, state, (), start, _PRICE_LEGACY, _FAR_STEPS)]
+    while frontier:
+        _, _, price, here, path, looks, least, steps = heapq.heappop(frontier)
+        far = steps is _FAR_STEPS
+        if not far and path and looks + price <= best_cost + 1e-9:
+            odd = oddity(here)
+            if looks + price < best_cost - 1e-9 or odd < best_odd:
+                best, best_cost, best_path, best_odd = here, looks + price, path, odd
+        if price + (least if far else _PRICE_UTF8) > best_cost + 1e-9:
             continue
         for step in steps:
             there = _apply(here, step)
-            if there is None or there in seen:
+            if there is None:
+                continue
+            paid = price + step[2] + (least if far else 0.0)
+            if paid >= seen.get(there, float("inf")):
+                continue
+            seen[there] = paid
+            now = sum(map(implausibility, there))
+            if far and looks - now < least:
                 continue
-            seen.add(there)
             serial += 1
-            paid = price + step[2]
-            entry = (sum(map(implausibility, there)) + paid, serial, paid, there, (*path, f"{step[0]}>{step[1]}".rstrip(">")), _NEAR_STEPS)
-            heapq.heappush(frontier, entry)
+            after = least * 2 if far else least
+            way = (*path, f"{step[0]}>{step[1]}".rstrip(">"))
+            heapq.heappush(frontier, (now + paid, serial, paid, there, way, now, after, _NEAR_STEPS))
+            if now:
+                heapq.heappush(frontier, (now + paid + after, serial, paid, there, way, now, after, _FAR_STEPS))
     return best, start - best_cost, best_path
 
 
@@ -256,7 +287,8 @@ def repair_line(line: str) -> tuple[str, bool, tuple[str, ...]]:
         return "".join(out) + line[at:], True, path
     if "\ufffd" in line and not _NAMES_MARK.search(line) and "\ufffd" in _QUOTED_MARK.sub("", line):
         return line, True, ("lost",)
-    if re.search("[\x80-\x84\x86-\x9f]", line):
+    left = sum(map(implausibility, state))
+    if re.search("[\x80-\x84\x86-\x9f]", line) or (left >= _BEYOND_DOUBT and left >= _BEYOND_DOUBT_EACH * sum(not c.isascii() for c in joined)):
         return line, True, ("unknown",)
     return line, False, ()
 

@@ -48,7 +48,7 @@ def test_wrong_decodings_come_back(text, really, read):
     assert repair_text(f"x {bad}\nplain")[0] == f"x {text}\nplain"
 
 
-@pytest.mark.parametrize("times", [2, 3])
+@pytest.mark.parametrize("times", range(2, 8))
 def test_repeated_wrong_decodings(times):
     text = bad = "Si la configuración está vacía."
     for _ in range(times):
@@ -56,6 +56,21 @@ def test_repeated_wrong_decodings(times):
     assert repair_text(bad)[0] == text
 
 
+@pytest.mark.parametrize(("text", "really", "read"), [("Si la configuración está vacía, señor.", "cp437", "cp1252"), ("Si la configuración está vacía, señor.", "cp1252", "cp437"), ("Файл закрывает ошибка и узел.", "iso8859_5", "latin-1"), ("Файл закрывает ошибка и узел.", "iso8859_5", "cp1251"), ("Файл закрывает ошибка и узел.", "cp1251", "koi8_r"), ("記録の更新を確認", "utf-8", "gb18030")])
+def test_pairs_of_legacy_pages(text, really, read):
+    try:
+        bad = text.encode(really).decode(read)
+    except UnicodeDecodeError:
+        pytest.skip("undefined bytes")
+    assert repair_text(f"x {bad} y")[0] == f"x {text} y"
+
+
+def test_damage_that_nothing_undoes_is_reported_and_kept():
+    bad = "ÃƒxÃ¢y Â¬Ã½ÂzÐ¿ÑÑÂ Ã±Ãç"
+    new, n, _ = repair_text(f"ok\n{bad}\nok")
+    assert n == 1 and new.split("\n")[::2] == ["ok", "ok"]
+
+
 def test_lost_marks_are_found_but_kept():
     assert repair_text("don�t trust")[:2] == ("don�t trust", 1)
 
