@@ -193,7 +193,7 @@ def _step(token: str, read_as: str, really: str) -> str | None:
 _NEAR_STEPS = (("unescape", "", _PRICE_UNESCAPE), *((b, "utf-8", _PRICE_UTF8) for b in (*_READ_AS, *_READ_AS_WIDE)))
 #: What a legacy step costs more whose pages are seldom met.
 _SELDOM_PAGE = {"mac_roman": 0.6, "cp437": 0.6, "cp850": 0.6, "cp1254": 0.4, "cp1255": 0.6, "cp1256": 0.6, "iso8859_5": 0.4, "big5": 0.4, "euc_kr": 0.2}
-_SELDOM_READER = {"cp1252": 0.0, "latin-1": 0.0, "cp1251": 0.0, "koi8_r": 0.2, "cp866": 0.2, "cp437": 0.1, "cp850": 0.1, "mac_roman": 0.1, "gbk": 0.5, "shift_jis": 0.8, "euc_jp": 0.8, "big5": 0.8, "euc_kr": 0.8}
+_SELDOM_READER = {"cp1252": 0.0, "latin-1": 0.0, "cp1251": 0.0, "koi8_r": 0.0, "cp866": 0.0, "cp437": 0.1, "cp850": 0.1, "mac_roman": 0.1, "gbk": 0.5, "shift_jis": 0.8, "euc_jp": 0.8, "big5": 0.8, "euc_kr": 0.8}
 _FAR_STEPS = tuple((b, a, _SELDOM_PAGE.get(a, 0.0) + _SELDOM_READER.get(b, 0.3)) for b in (*_READ_AS, "gbk", *_READ_AS_WIDE[1:]) for a in _LEGACY if a != b)
 
 
