@@ -3,8 +3,9 @@
 The UTF-8 bytes of a text are viewed as a Latin-1 string, one character a byte.  One regular
 expression then extracts the bodies: its alternatives are ordered by the strength of the
 boundary, each consumes up to the limit by a bounded quantifier, the last falls back to single
-characters and never ends inside one.  Array functions turn the bodies into offsets, look back
-for the overlap and slice the pieces; no text leaves the JVM.
+characters and never ends inside one.  Array functions turn the bodies into offsets and join
+each body to the end of those before it, the overlap; no text leaves the JVM, and no piece is
+cut out of the whole text again, so the work grows with the text's length.
 
 Defined results: null or empty text gives no piece; a text of at most ``limit`` bytes is one
 piece; pieces of repeated rows repeat with them; a text of any length is cut whole, and every
@@ -52,28 +53,28 @@ def pieces(df: DataFrame, id_col: str = "id", text_col: str = "text", limit: int
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") > (limit if only_oversized else 0))
     raw = rows.withColumn("raw", F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")).drop("text")
     bodies = F.when(F.length("raw") <= limit, F.array("raw")).otherwise(F.regexp_extract_all("raw", F.lit(body_pattern(limit, overlap)), F.lit(0)))
-    lengths = raw.withColumn("lens", F.transform(bodies, F.length))
-    ends = F.aggregate("lens", F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    placed = lengths.select("id", "raw", "lens", F.slice(ends, F.lit(1), F.size("lens")).alias("starts"))
-    cut = placed.select("id", "raw", F.size("lens").cast("bigint").alias("n_pieces"), F.posexplode(F.arrays_zip("lens", "starts")).alias("k", "b"))
+    cut = raw.select("id", bodies.alias("bodies"))
+    parts = cut.select("id", "bodies", F.transform("bodies", F.length).alias("lens"), F.transform("bodies", lambda b: F.right(b, F.lit(overlap))).alias("tails"))
+    starts = F.aggregate("lens", F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    # of three neighbouring bodies one fills at least half of its room, so this many reach over the overlap
+    reach = 3 * -(-2 * overlap // (limit - overlap)) + 3
 
-    def lookback(start: Column) -> Column:
-        """Bytes of overlap: ``overlap`` or the next fewer that start a character."""
-        most = F.least(start, F.lit(overlap))
-        inside = F.length(F.regexp_extract(F.substring(F.col("raw"), start - most + 1, F.lit(4)), f"^{_CONT}*", 0))
-        return F.when(start > 0, most - inside).otherwise(F.lit(0))
+    def before(i: Column) -> Column:
+        """The last ``overlap`` bytes before body ``i`` (from 0), or the next fewer that start a character."""
+        joined = F.array_join(F.slice("tails", F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach))), "")
+        return F.regexp_replace(F.right(joined, F.lit(overlap)), f"^{_CONT}+", "")
 
-    out = cut.withColumn("ov", lookback(F.col("b.starts")))
-    begin = F.col("b.starts") - F.col("ov")
-    size = F.col("ov") + F.col("b.lens")
+    placed = parts.select("id", "bodies", F.size("lens").cast("bigint").alias("n_pieces"), F.slice(starts, F.lit(1), F.size("lens")).alias("starts"), F.transform("tails", lambda _, i: before(i)).alias("overlaps"))
+    out = placed.select("id", "n_pieces", F.posexplode(F.arrays_zip("bodies", "starts", "overlaps")).alias("k", "b"))
+    ov = F.length("b.overlaps")
     return out.select(
         "id",
         (F.col("k") + 1).cast("bigint").alias("piece_no"),
         "n_pieces",
-        begin.cast("bigint").alias("byte_start"),
-        size.cast("bigint").alias("n_bytes"),
-        F.col("ov").cast("bigint").alias("overlap_bytes"),
-        F.decode(F.encode(F.substring(F.col("raw"), begin + 1, size), "ISO-8859-1"), "UTF-8").alias("piece"),
+        (F.col("b.starts") - ov).cast("bigint").alias("byte_start"),
+        (ov + F.length("b.bodies")).cast("bigint").alias("n_bytes"),
+        ov.cast("bigint").alias("overlap_bytes"),
+        F.decode(F.encode(F.concat("b.overlaps", "b.bodies"), "ISO-8859-1"), "UTF-8").alias("piece"),
     )
 
 
