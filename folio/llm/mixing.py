@@ -7,7 +7,9 @@ and a record is emitted once for each whole number its interval crosses.  The pr
 levels: sums of small buckets, then positions inside a bucket, so that a source with a third of
 all rows is spread over many tasks.
 
-Defined results: a source without a target gets no copies and is reported with share 0; a record
+Defined results: a source without a target gets no copies and is reported with share 0; a target
+whose source has no records cannot be met and is reported with nothing used, and the others keep
+their proportions to each other, so their shares grow by what is missing; a record
 without tokens gets none; the same text delivered under several ids is one record, its smallest
 id; null or differently spelled sources are brought to one spelling ('unknown' for null).
 """
@@ -19,18 +21,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folio.llm.tokens import VOCABULARY, spelled, token_count
+from folio.plans.shared import materialized
 
-SEED, SUB_BUCKETS = 20_240_601, 64
+SEED, BUCKET_ROWS = 20_240_601, 1 << 20  # records of a size class that one sub-bucket may hold, about
 
 
 def counted(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """doc_id, source, n_tokens; exact repeats of a text are one record (the smallest id)."""
+    """doc_id, source, n_tokens; exact repeats of a text are one record (the smallest id).
+
+    The narrow rows are written once, so the texts are read and counted once.
+    """
     rows = docs.where(F.length("text") > 0).select("doc_id", spelled("source").alias("source"), F.sha2("text", 256).alias("h"), token_count("text", path).alias("n_tokens"))
-    return rows.groupBy("h").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("r")).select("r.doc_id", "r.source", "r.n_tokens").where("n_tokens > 0")
+    return materialized(rows.groupBy("h").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("r")).select("r.doc_id", "r.source", "r.n_tokens").where("n_tokens > 0"))
+
 
+def copies(records: DataFrame, targets: DataFrame, seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """doc_id, source, n_tokens, copies (0 or more) of every record whose source has a target.
 
-def copies(records: DataFrame, targets: DataFrame, seed: int = SEED, sub_buckets: int = SUB_BUCKETS) -> DataFrame:
-    """doc_id, source, n_tokens, copies (0 or more) of every record whose source has a target."""
+    A size class is divided into as many sub-buckets as the number of all records asks for, so a
+    bucket, the largest group that one task sorts, does not grow with the data.
+    """
+    sub_buckets = -(-records.count() // bucket_rows) or 1
     targets = targets.select(spelled("source").alias("source"), "target_share", "max_repeats").where("target_share > 0")
     bucket = F.struct(F.floor(F.log2("n_tokens") * 4).cast("int").alias("c"), F.pmod(F.xxhash64("doc_id"), F.lit(sub_buckets)).cast("int").alias("s"))
     placed = records.withColumn("b", bucket)

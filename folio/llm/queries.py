@@ -54,6 +54,10 @@ def p6_totals(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.totals(p6_record_tokens(spark, sf), _read(spark, sf, "manifest_entries"), _read(spark, sf, "scan_roots"))
 
 
+def p6_cross(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.cross_totals(p6_record_tokens(spark, sf), _read(spark, sf, "manifest_entries"), _read(spark, sf, "scan_roots"))
+
+
 def p6_batches(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.batch_totals(p6_record_tokens(spark, sf), _read(spark, sf, "pack_stats"))
 
@@ -84,7 +88,7 @@ def p9_masked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_scores, p3_found, p3_masked, p5_found, p5_pieces, p6_record_tokens, p6_totals, p6_batches, p7_found, p7_leaks, p8_mix, p8_shares, p9_found, p9_masked)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_scores, p3_found, p3_masked, p5_found, p5_pieces, p6_record_tokens, p6_totals, p6_cross, p6_batches, p7_found, p7_leaks, p8_mix, p8_shares, p9_found, p9_masked)}
 
 
 def oracle_sql() -> dict[str, str]:

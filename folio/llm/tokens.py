@@ -7,6 +7,9 @@ every neighbouring pair is (a pair is exact if merging its joined bytes gives th
 Words that fail this are merged by rank.  A word's count is kept, so the cost a text is
 one split and a sum of lookups.
 
+The vocabulary file travels with the job (``MAX_VOCABULARY`` bytes at most), so executors need
+no copy of their own.
+
 Defined results: null text counts as null, empty text as 0; each row is counted whole.
 """
 
@@ -21,11 +24,13 @@ from functools import lru_cache
 import ahocorasick
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 VOCABULARY = os.environ.get("FOLIO_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+MAX_VOCABULARY = 64 << 20
 # The split of the public byte-level vocabularies, in full and for ASCII text.
 _SPLIT = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 _SPLIT_ASCII = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^ \t\n\r\f\vA-Za-z0-9]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+")
@@ -146,12 +151,22 @@ def counter(path: str = VOCABULARY, ranked: bool = True) -> Counter:
         return Counter({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}, ranked)
 
 
+def _shipped(path: str) -> str:
+    """Sends the vocabulary file along with the session's jobs; its name there."""
+    size = os.path.getsize(path)
+    if size > MAX_VOCABULARY:
+        raise ValueError(f"{path} has {size} bytes, more than {MAX_VOCABULARY}")
+    SparkSession.active().sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def token_count(text: str | Column, path: str = VOCABULARY) -> Column:
     """Column: exact tokens of a text."""
+    name = _shipped(path)
 
     @F.pandas_udf(LongType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = counter(path)
+        c = counter(SparkFiles.get(name))
         for s in batches:
             yield pd.Series([c.text(t) for t in s], dtype="Int64")
 
@@ -173,20 +188,27 @@ def spelled(c: str | Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(F.lower(F.trim(col)), r"[\s-]+", "_"), F.lit("")), F.lit("unknown"))
 
 
-def totals(records: DataFrame, manifest: DataFrame, roots: DataFrame) -> DataFrame:
-    """Totals by project, language and domain: slice, value, n_records, n_tokens.
+def cross_totals(records: DataFrame, manifest: DataFrame, roots: DataFrame) -> DataFrame:
+    """Totals of every project, language and domain that occur together: n_records, n_tokens.
 
     Member ids (``parent!member``) have no manifest row and count under 'unknown'.  The records
     are first summed by project and language, so what is joined and regrouped is small however
     hot a project is.
     """
     newest = manifest.groupBy("id").agg(F.max(F.struct("scanned_at", "language")).alias("m")).select("id", F.col("m.language").alias("language"))
-    summed = records.join(newest, "id", "left").groupBy("root_id", spelled("language").alias("language")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t"))
-    placed = summed.join(roots.groupBy("root_id").agg(F.max("domain").alias("domain")), "root_id", "left").select("root_id", "language", spelled("domain").alias("domain"), "n", "t")
+    summed = records.join(newest, "id", "left").groupBy("root_id", spelled("language").alias("language")).agg(F.count(F.lit(1)).alias("n_records"), F.sum("n_tokens").alias("n_tokens"))
+    domains = roots.groupBy("root_id").agg(F.max("domain").alias("domain"))
+    return summed.join(domains, "root_id", "left").select(F.coalesce("root_id", F.lit("unknown")).alias("root_id"), "language", spelled("domain").alias("domain"), "n_records", "n_tokens")
+
+
+def totals(records: DataFrame, manifest: DataFrame, roots: DataFrame) -> DataFrame:
+    """Totals by project, by language and by domain: slice, value, n_records, n_tokens."""
+    slices = F.array(*(F.struct(F.lit(s).alias("slice"), F.col(c).alias("value")) for s, c in (("project", "root_id"), ("language", "language"), ("domain", "domain"))))
     return (
-        placed.select(F.explode(F.array(*(F.struct(F.lit(s).alias("slice"), F.coalesce(F.col(c), F.lit("unknown")).alias("value")) for s, c in (("project", "root_id"), ("language", "language"), ("domain", "domain"))))).alias("s"), "n", "t")
+        cross_totals(records, manifest, roots)
+        .select(F.explode(slices).alias("s"), "n_records", "n_tokens")
         .groupBy("s.slice", "s.value")
-        .agg(F.sum("n").alias("n_records"), F.sum("t").alias("n_tokens"))
+        .agg(F.sum("n_records").alias("n_records"), F.sum("n_tokens").alias("n_tokens"))
     )
 
 

@@ -50,6 +50,8 @@ def test_totals(spark):
     roots = spark.createDataFrame([("r1", "Web-Dev"), ("r2", None)], "root_id string, domain string")
     got = {(r["slice"], r["value"]): r["n_tokens"] for r in tokens.totals(rec, manifest, roots).collect()}
     assert got[("project", "r1")] == 2 and got[("language", "python")] == 2 and got[("domain", "web_dev")] == 2 and got[("domain", "unknown")] == 1
+    cross = {(r["root_id"], r["language"], r["domain"]): (r["n_records"], r["n_tokens"]) for r in tokens.cross_totals(rec, manifest, roots).collect()}
+    assert cross == {("r1", "python", "web_dev"): (1, 2), ("r1", "unknown", "web_dev"): (2, 0), ("r2", "unknown", "unknown"): (1, 1)}
     stats = spark.createDataFrame([(1, 4.0), (3, None)], "batch_id bigint, tokens_est double")
     by = {r["batch_id"]: r for r in tokens.batch_totals(rec, stats).collect()}
     assert by[1]["est_ratio"] == 2.0 and by[3]["n_tokens"] == 0 and by[2]["tokens_est"] is None
@@ -68,6 +70,11 @@ def test_mixing_reaches_shares_within_caps(spark):
         assert r["most_copies"] <= r["max_repeats"]
     # the tightest source is used up
     assert any(r["used_tokens"] == r["max_repeats"] * r["have_tokens"] for r in out.values())
+    small = {r["source"]: r for r in mixing.shares(mixing.copies(records, targets, bucket_rows=100), records, targets).collect()}
+    assert all(abs(r["reached_share"] - r["target_share"]) < 0.01 for r in small.values())
+    more = targets.union(spark.createDataFrame([("absent", 0.5, 1)], targets.schema))
+    reached = {r["source"]: r["reached_share"] for r in mixing.shares(mixing.copies(records, more), records, more).collect()}
+    assert reached["absent"] == 0.0 and abs(reached["mid"] - 0.4) < 0.01
     again = mixing.copies(records.repartition(13), targets)
     assert sorted(map(tuple, mixed.collect())) == sorted(map(tuple, again.collect()))
 
