@@ -5,9 +5,12 @@ is kept, in both texts by the same rule, so any shared run of at least k + w - 1
 fingerprint.  The documents' fingerprints are joined with the items' and every hit is extended
 word by word to both sides; a run of ``min_words`` or more is a leak.  k = 5, w = 6: ten words.
 
-The items are the stated query set: they are read in blocks of bounded size, each block's
-fingerprints and words go to the executors as sorted arrays, and a document is probed where it
-is read.  Nothing of the documents is shuffled or collected but the leaks.
+Both sides' fingerprints are DataFrames and meet in an equi join.  A document is reduced to its
+passages where it is read: a bitmap of the items' fingerprints, of bounded size, tells which of
+its own may be shared; shared runs of ``min_words`` lie within chains of such fingerprints, and only
+the words around a chain leave the stage.  The bitmap only saves shuffling: a false alarm is
+dropped by the join, and a true one is never missed.  Equal passages are one, however many documents
+hold them, and are joined and extended once; fingerprints that many items share are salted.
 
 Defined results: null or empty texts and items shorter than ``min_words`` leak nothing; each
 (document, item) pair comes once with its longest run; ties go to the first run; documents
@@ -26,7 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.plans.shared import materialized
+
 MIN_WORDS, K = 10, 5
+MAX_FILTER_BITS = 1 << 27  # of the bitmap every executor gets: 16 MB; with more items it only filters less
+HOT_ITEMS, SALTS = 256, 8  # items of a fingerprint in one group; groups of a passage's fingerprints and of its documents
 _WORD = re.compile(r"\w+")
 # Unicode's format characters (category Cf) outside the tag block.
 _FORMAT = re.compile("[­؀-؅؜۝܏࢐࢑࣢᠎​-‏‪-‮⁠-⁤⁦-⁯﻿￹-￻]")
@@ -93,108 +100,148 @@ def winnow(h: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     return g[at], at
 
 
-class Index:
-    """A block of items: sorted fingerprints with their places, and each item's word hashes."""
-
-    def __init__(self, items: list[tuple[int, str | None]], min_words: int = MIN_WORDS, k: int = K) -> None:
-        self.min_words, self.k, self.window = min_words, k, min_words - k + 1
-        self.words: list[np.ndarray] = []
-        self.ids: list[int] = []
-        prints, places = [], []
-        for item, text in items:
-            for words in readings(text):
-                if len(words) < min_words:
-                    continue
-                h = np.array([_hashes[w] for w in words], np.uint64)
-                f, at = winnow(h, k, self.window)
-                prints.append(f)
-                places.append(np.stack([np.full(len(at), len(self.ids)), at], 1))
-                self.ids.append(item)
-                self.words.append(h)
-        self.prints = np.concatenate(prints) if prints else np.empty(0, np.uint64)
-        order = np.argsort(self.prints, kind="stable")
-        self.prints = self.prints[order]
-        self.places = np.concatenate(places)[order] if places else np.empty((0, 2), np.int64)
-
-    def hits(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text number, item id, first word in the text, words shared, words of the item).
-
-        The texts of a batch are fingerprinted as one array; runs never cross their borders.
-        """
-        owner, bounds, flat = [], [0], []
-        for t, text in enumerate(texts):
-            for words in readings(text):
-                if len(words) >= self.min_words:
-                    owner.append(t)
-                    flat += words
-                    bounds.append(len(flat))
-        if not flat or not len(self.prints):
-            return
-        h = np.fromiter(map(_hashes.__getitem__, flat), np.uint64, len(flat))
-        f, at = winnow(h, self.k, self.window)
-        lo = np.searchsorted(self.prints, f, "left")
-        known = np.flatnonzero((lo < len(self.prints)) & (self.prints[np.minimum(lo, len(self.prints) - 1)] == f))
-        edges = np.array(bounds)
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        reached: dict[tuple[int, int, int], int] = {}  # how far a diagonal has been extended
-        for q in known[np.argsort(at[known], kind="stable")]:
-            pos = int(at[q])
-            r = int(np.searchsorted(edges, pos, "right")) - 1
-            left, right = bounds[r], bounds[r + 1]
-            p = int(lo[q])
-            while p < len(self.prints) and self.prints[p] == f[q]:
-                item, there = map(int, self.places[p])
-                p += 1
-                diagonal = (item, pos - there, r)
-                if pos < reached.get(diagonal, 0):
+def hashed(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of the reading, its word hashes) of every reading that is long enough."""
+    for r, words in enumerate(readings(text)):
+        if len(words) >= min_words:
+            yield r, np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
+def item_texts(items: DataFrame, item_id: str, text_col: str, min_words: int, k: int) -> DataFrame:
+    """item_id, variant, words (hashes as bytes), prints, places of each reading of each item."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            out = []
+            for i, text in zip(pdf["item_id"], pdf["text"]):
+                for r, h in hashed(text, min_words):
+                    f, at = winnow(h, k, min_words - k + 1)
+                    out.append((i, r, h.tobytes(), f.view(np.int64), at))
+            yield pd.DataFrame(out, columns=["item_id", "variant", "words", "prints", "places"])
+
+    rows = items.select(F.col(item_id).alias("item_id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
+    return rows.mapInPandas(run, f"item_id {items.schema[item_id].dataType.simpleString()}, variant int, words binary, prints array<bigint>, places array<bigint>")
+
+
+def bitmap(prints: DataFrame) -> np.ndarray:
+    """One bit for each fingerprint, by its low bits; collected as at most ``MAX_FILTER_BITS`` / 64 rows."""
+    n = prints.count()
+    bits = min(MAX_FILTER_BITS, 1 << max(16, (16 * n - 1).bit_length() if n else 0))
+    place = F.col("print").bitwiseAND(F.lit(bits - 1))
+    cells = prints.groupBy(F.shiftrightunsigned(place, 6).cast("int").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(print & 63L as int))")).alias("mask"))
+    out = np.zeros(bits // 64, np.int64)
+    got = cells.toArrow()
+    out[got["cell"].to_numpy()] = got["mask"].to_numpy()
+    return out.view(np.uint64)
+
+
+def chains(h: np.ndarray, known: np.ndarray, min_words: int, k: int) -> Iterator[tuple[int, int]]:
+    """Borders of the stretches that hold every run shared with an item, from the sorted places
+    of a text's known fingerprints."""
+    window = min_words - k + 1
+    breaks = np.flatnonzero(np.diff(known) > window) + 1
+    for chain in np.split(known, breaks):
+        a, b = max(0, int(chain[0]) - window + 1), min(len(h), int(chain[-1]) + k + window - 1)
+        if b - a >= min_words:
+            yield a, b
+
+
+def passages(docs: DataFrame, filled: np.ndarray, doc_id: str, text_col: str, min_words: int, k: int) -> DataFrame:
+    """doc_id, reading, first (word), words, prints, places of every stretch that may be shared."""
+    shared = docs.sparkSession.sparkContext.broadcast(filled)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells = shared.value
+        low = np.uint64(len(cells) * 64 - 1)
+        for pdf in it:
+            ids, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
+            for begin in range(0, len(texts), 512):
+                owner, bounds, flat = [], [0], []
+                for t in range(begin, min(begin + 512, len(texts))):
+                    for r, words in enumerate(readings(texts[t])):
+                        if len(words) >= min_words:
+                            owner.append((t, r))
+                            flat += words
+                            bounds.append(len(flat))
+                if not flat:
                     continue
-                w = self.words[item]
-                a, i, b, j = pos, there, pos, there
-                while a > left and i > 0 and h[a - 1] == w[i - 1]:
-                    a, i = a - 1, i - 1
-                while b < right and j < len(w) and h[b] == w[j]:
-                    b, j = b + 1, j + 1
-                reached[diagonal] = b
-                pair = (owner[r], self.ids[item])
-                if b - a >= self.min_words and b - a > best.get(pair, (0, 0, 0))[0]:
-                    best[pair] = (b - a, a - left, len(w))
-        for (t, item), (n, a, size) in best.items():
-            yield t, item, a, n, size
-
-
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", min_words: int = MIN_WORDS, block_chars: int = 32_000_000) -> DataFrame:
-    """Each leaked pair once: doc_id, item_id, n_words (longest shared run), first_word, item_share.
-
-    ``block_chars`` bounds what one block of items sends to the executors; more items make more
-    blocks, each probed against all documents.
-    """
-    blocks: list[list[tuple[int, str | None]]] = [[]]
-    size = 0
-    for row in items.select(F.col(item_id), F.col(text_col)).where(F.length(text_col) > 0).orderBy(item_id).toLocalIterator():
-        if size > block_chars:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row[0], row[1]))
-        size += len(row[1])
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
-    spark = docs.sparkSession
-    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}, n_words bigint, first_word bigint, item_share double"
-
-    def probe(block: list[tuple[int, str | None]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            index = Index(shared.value, min_words)
-            for pdf in it:
-                ids, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
+                # the texts of a batch are fingerprinted as one array; what crosses a border is dropped
+                h = np.fromiter(map(_hashes.__getitem__, flat), np.uint64, len(flat))
+                f, at = winnow(h, k, min_words - k + 1)
+                place = f & low
+                known = np.flatnonzero(cells[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1))
+                edges = np.array(bounds)
+                text_of = np.searchsorted(edges, at[known], "right") - 1
+                inside = at[known] + k <= edges[text_of + 1]
+                known, text_of = known[inside], text_of[inside]
                 out = []
-                for a in range(0, len(texts), 512):
-                    out += [(ids[a + t], item, n, first, round(n / size, 6)) for t, item, first, n, size in index.hits(texts[a : a + 512])]
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_words", "first_word", "item_share"])
-
-        return rows.mapInPandas(run, schema)
+                for group in np.split(np.arange(len(known)), np.flatnonzero(np.diff(text_of)) + 1):
+                    if not len(group):
+                        continue
+                    q = int(text_of[group[0]])
+                    left, right = bounds[q], bounds[q + 1]
+                    own, prints = at[known[group]] - left, f[known[group]].view(np.int64)
+                    words = h[left:right]
+                    for a, b in chains(words, own, min_words, k):
+                        mine = (own >= a) & (own + k <= b)
+                        out.append((ids[owner[q][0]], owner[q][1], a, words[a:b].tobytes(), prints[mine], own[mine] - a))
+                if out:
+                    yield pd.DataFrame(out, columns=["doc_id", "reading", "first", "words", "prints", "places"])
 
-    out = probe(blocks[0])
-    for block in blocks[1:]:
-        out = out.unionByName(probe(block))
-    return out
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
+    return rows.mapInPandas(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, reading int, first bigint, words binary, prints array<bigint>, places array<bigint>")
+
+
+def longest_run(doc: np.ndarray, item: np.ndarray, shifts: list[int]) -> tuple[int, int]:
+    """(words, first word in the document) of the longest equal run on the given diagonals; ties go to the first."""
+    best, first = 0, 0
+    for d in sorted(set(shifts)):
+        a, b = max(0, d), min(len(doc), len(item) + d)
+        equal = np.concatenate([[False], doc[a:b] == item[a - d : b - d], [False]])
+        edges = np.flatnonzero(equal[1:] != equal[:-1])
+        sizes = edges[1::2] - edges[::2]
+        if len(sizes):
+            at = int(np.argmax(sizes))
+            n, start = int(sizes[at]), a + int(edges[2 * at])
+            if n > best or (n == best and start < first):
+                best, first = n, start
+    return best, first
+
+
+def _extend(it: Iterator[pd.DataFrame], min_words: int) -> Iterator[pd.DataFrame]:
+    for pdf in it:
+        out = []
+        for key, item, doc, words, shifts in zip(pdf["key"], pdf["item_id"], pdf["doc_words"], pdf["item_words"], pdf["shifts"]):
+            own = np.frombuffer(words, np.uint64)
+            n, first = longest_run(np.frombuffer(doc, np.uint64), own, list(map(int, shifts)))
+            if n >= min_words:
+                out.append((key, item, n, first, round(n / len(own), 6)))
+        yield pd.DataFrame(out, columns=["key", "item_id", "n_words", "at", "item_share"])
+
+
+def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", min_words: int = MIN_WORDS, k: int = K) -> DataFrame:
+    """Each leaked pair once: doc_id, item_id, n_words (longest shared run), first_word, item_share."""
+    known = materialized(item_texts(items, item_id, text_col, min_words, k))
+    prints = known.select("item_id", "variant", F.explode(F.arrays_zip("prints", "places")).alias("p")).select("item_id", "variant", F.col("p.prints").alias("print"), F.col("p.places").alias("there"))
+    found = materialized(passages(docs, bitmap(prints), doc_id, text_col, min_words, k).withColumn("key", F.sha2("words", 256)))
+    once = found.groupBy("key").agg(F.max(F.struct("words", "prints", "places")).alias("p")).select("key", "p.*")
+
+    # the fingerprint join: hot fingerprints are split by their items, every fingerprint by its passages
+    groups = prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ITEMS).select("print", F.ceil(F.col("n") / HOT_ITEMS).cast("int").alias("n_groups"))
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.join(groups, "print", "left").withColumn("n_groups", F.coalesce("n_groups", F.lit(1)))
+
+    left = grouped(once.select("key", F.explode(F.arrays_zip("prints", "places")).alias("p")).select("key", F.col("p.prints").alias("print"), F.col("p.places").alias("here")))
+    left = left.select("key", "print", "here", F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt"), F.explode(F.sequence(F.lit(0), F.col("n_groups") - 1)).alias("g"))
+    right = grouped(prints).select("item_id", "variant", "print", "there", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt"), F.pmod(F.xxhash64("item_id"), F.col("n_groups")).cast("int").alias("g"))
+    hits = left.join(right, ["print", "salt", "g"]).groupBy("key", "item_id", "variant").agg(F.collect_set(F.col("here") - F.col("there")).alias("shifts"))
+
+    pairs = hits.join(once.select("key", F.col("words").alias("doc_words")), "key").join(known.select("item_id", "variant", F.col("words").alias("item_words")), ["item_id", "variant"])
+    id_type = items.schema[item_id].dataType.simpleString()
+    runs = pairs.select("key", "item_id", "doc_words", "item_words", "shifts").mapInPandas(lambda it: _extend(it, min_words), f"key string, item_id {id_type}, n_words bigint, at bigint, item_share double")
+    runs = runs.select("*", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt"))
+    members = found.select("doc_id", "reading", "first", "key", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    first = F.col("first") + F.col("at")
+    best = members.join(runs, ["key", "salt"]).groupBy("doc_id", "item_id").agg(F.max(F.struct("n_words", (-F.col("reading")).alias("r"), (-first).alias("f"), "item_share")).alias("b"))
+    return best.select("doc_id", "item_id", "b.n_words", (-F.col("b.f")).alias("first_word"), "b.item_share")

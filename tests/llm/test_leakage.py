@@ -3,7 +3,10 @@ from __future__ import annotations
 import random
 import re
 
-from folio.llm.leakage import Index, leaks, readings
+import numpy as np
+
+from folio.llm import leakage
+from folio.llm.leakage import leaks, longest_run, readings
 
 WORDS = [f"w{k}" for k in range(60)]
 
@@ -14,11 +17,17 @@ def brute(doc: str, item: str, n: int = 10) -> bool:
     return any(tuple(d[k : k + n]) in grams for k in range(len(d) - n + 1))
 
 
-def test_every_shared_run_of_ten_words_is_found():
+def pairs(spark, docs: list, items: list) -> set:
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    i = spark.createDataFrame(items, "item_id bigint, text string")
+    return {(r["doc_id"], r["item_id"]) for r in leaks(d, i).collect()}
+
+
+def test_every_shared_run_of_ten_words_is_found(spark, monkeypatch):
     rnd = random.Random(4)
     items = [(k, " ".join(rnd.choice(WORDS) for _ in range(rnd.randint(8, 50)))) for k in range(25)]
     docs = []
-    for _ in range(300):
+    for _ in range(600):
         d = [rnd.choice(WORDS) for _ in range(rnd.randint(0, 80))]
         for _ in range(rnd.randint(0, 2)):
             src = items[rnd.randrange(25)][1].split()
@@ -26,40 +35,49 @@ def test_every_shared_run_of_ten_words_is_found():
             at = rnd.randint(0, len(d))
             d[at:at] = src[a : a + n]
         docs.append(rnd.choice([" ", "\n", ", ", "* "]).join(d).upper())
-    got = {(t, item) for t, item, *_ in Index(items).hits(docs)}
-    assert got == {(t, k) for t, d in enumerate(docs) for k, i in items if brute(d, i)}
+    want = {(t, k) for t, d in enumerate(docs) for k, i in items if brute(d, i)}
+    assert pairs(spark, docs, items) == want
+    monkeypatch.setattr(leakage, "MAX_FILTER_BITS", 64)  # every fingerprint passes the bitmap
+    monkeypatch.setattr(leakage, "HOT_ITEMS", 2)  # and many are split
+    assert pairs(spark, docs, items) == want
 
 
-def test_few_different_words_and_ties():
+def test_few_different_words_and_ties(spark):
     items = [(1, "a " * 12), (2, "a b " * 8)]
     docs = ["a " * 9, "a " * 10, "b a " * 5, "x"]
-    got = {(t, item) for t, item, *_ in Index(items).hits(docs)}
-    assert got == {(t, k) for t, d in enumerate(docs) for k, i in items if brute(d, i)} == {(1, 1), (2, 2)}
+    assert pairs(spark, docs, items) == {(t, k) for t, d in enumerate(docs) for k, i in items if brute(d, i)} == {(1, 1), (2, 2)}
+
+
+def test_longest_run():
+    a, b = np.array([1, 2, 3, 4, 9, 5, 6], np.uint64), np.array([0, 2, 3, 4, 5, 6], np.uint64)
+    assert longest_run(a, b, [0, 1, 0]) == (3, 1)
+    assert longest_run(a, b, [1]) == (2, 5) and longest_run(a, b, [-3]) == (0, 0)
+
+
+def test_wording_that_all_items_share(spark):
+    common = " ".join(WORDS[:12])
+    items = [(k, f"{common} own{k}") for k in range(700)]
+    assert len(pairs(spark, [f"x {common} y", f"x {common} z", "none"], items)) == 1400
+
 
+ITEM = "show that the lexer cannot observe the parser twice before noon"
 
-def test_markup_and_invisible_characters_do_not_count():
-    item = "show that the lexer cannot observe the parser twice before noon"
-    for doc in ("show **that** the <em>lexer</em> can​not observe\n> the parser, twice; before _noon_", "SHOW THAT the lexer cannot ob­serve the &#112;arser twice before noon"):
-        assert [(t, i) for t, i, *_ in Index([(7, item)]).hits([doc])] == [(0, 7)], doc
+
+def test_markup_and_invisible_characters_do_not_count(spark):
+    words = [f"word{k}x" for k in range(12)]
+    wide = '<td title="' + "t" * 600 + '">'
+    marked = ["show **that** the <em>lexer</em> can\u200bnot observe\n> the parser, twice; before _noon_", "SHOW THAT the lexer cannot ob\u00adserve the &#112;arser twice before noon"]
+    tagged = ["<br>".join(words), "</td><td>".join(words), "</li>\n<li>".join(words), f"</td>{wide}".join(words), " ".join(w.replace("rd", "**rd**") for w in words), "<br>".join(w.replace("rd", "<b>rd</b>") for w in words)]
+    got = pairs(spark, marked + tagged, [(7, ITEM), (8, " ".join(words))])
+    assert got == {(k, 7) for k in range(2)} | {(k, 8) for k in range(2, 8)}
     assert readings(None) == [] and readings("") == []
 
 
-def test_tables_and_blocks(spark):
+def test_tables(spark):
     item = " ".join(WORDS[:20])
     docs = spark.createDataFrame([(1, f"x {item} y", 1), (2, None, 2), (3, "", 3), (4, " ".join(WORDS[5:14]), 4), (5, f"x {item} y", 5)], "doc_id bigint, text string, item_id int")
     items = spark.createDataFrame([(10, item), (11, " ".join(WORDS[5:30])), (12, None), (13, "short")], "item_id bigint, text string")
-    for block in (10, 1 << 20):
-        got = sorted((r["doc_id"], r["item_id"], r["n_words"]) for r in leaks(docs, items, block_chars=block).collect())
-        assert got == [(1, 10, 20), (1, 11, 15), (5, 10, 20), (5, 11, 15)]
+    got = sorted(tuple(r) for r in leaks(docs, items).collect())
+    assert got == [(1, 10, 20, 1, 1.0), (1, 11, 15, 6, 0.6), (5, 10, 20, 1, 1.0), (5, 11, 15, 6, 0.6)]
     assert leaks(docs, items.where("false")).count() == 0
     assert leaks(docs.where("false"), items).count() == 0
-
-
-def test_tags_and_emphasis_between_and_inside_words():
-    from folio.llm.leakage import Index
-
-    words = [f"word{k}x" for k in range(12)]
-    index = Index([(1, " ".join(words))])
-    wide = '<td title="' + "t" * 600 + '">'
-    for text in ("<br>".join(words), "</td><td>".join(words), "</li>\n<li>".join(words), f"</td>{wide}".join(words), " ".join(w.replace("rd", "**rd**") for w in words), "<br>".join(w.replace("rd", "<b>rd</b>") for w in words)):
-        assert [h[1] for h in index.hits([text])].count(1) >= 1, text
