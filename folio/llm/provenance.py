@@ -1,15 +1,22 @@
 """Which source files were not written by hand: generated, minified, vendored, data as code.
 
-A linear support-vector classifier on hashed features decides.  Features of a file are character
-4-grams of its text with the giveaway header taken out, components and character 4-grams of its
-path, and a few evidence features (marker in the header, foreign notice, shape of the lines,
-blocks that also occur in other projects).  There are no labels, so files with strong evidence
-are the positives and files with none the negatives of a bounded sample; in training the header
-evidence is masked on every second file, so the model must also find the rest by text and path.
-Projects are split between training and validation by their hash.
+Two linear support-vector classifiers on hashed features decide, and nothing else does:
 
-Features are computed where a text is read and reduced to one number a file at once; only narrow
-rows (id, score parts, block hashes) are shuffled.
+* one judges a file by the character 4-grams of its text, as they are and with all letters of a
+  case alike (which shows random and minified text by its shape), and the components, words and character
+  4-grams of its path; giveaway lines (tool markers, notices) are masked in its text, in training
+  and in scoring alike, so it finds what the text itself and its place show;
+* one judges comment lines by their character 4-grams, the own project's name replaced, and finds
+  the giveaway lines, which some files have as the only difference from hand-written ones.
+
+A file's score is the larger of its own and of its best comment line's.  There are no labels, so
+patterns of evidence label a bounded sample: files with evidence are positives, files with none
+negatives, files with nothing but a giveaway line are left to the second classifier.  Projects are
+split between training and validation by their hash; ``validation`` reports what the classifiers
+find among all files of projects that the fit has not seen, by kind.
+
+The texts are read twice, for the sample and for the scores; features are made where a text is
+read and reduced to one number a file at once, so only narrow rows are shuffled.
 
 Defined results: a manifest entry without packed text is judged by its path alone; null paths
 and texts count as empty; repeated rows are one entry; prose, plain data and binary files are
@@ -32,11 +39,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.plans.shared import materialized
-
-DIM = 1 << 16
+BITS = 17
+DIM = 1 << BITS
 SAMPLE, SEED = 6_000, 17  # most labelled files that the fit may see, and their choice
-MIN_ROOTS = 3  # a block in so many projects is a copy
+SAME_LINES, SAMPLE_LINES = 30, 20_000  # most training lines of one wording, and of each label
 
 # ---- evidence (fixed values: names and phrases tools write) --------------------------------
 _TOOL_FILES = re.compile(
@@ -76,11 +82,20 @@ class Evidence:
     data: float
     regular: float
     candidate: bool
-    body: str  # the text without its giveaway header
+    body: str  # the text without its giveaway lines
+    given_away: tuple[int, ...]  # lines that say it
+
+    @property
+    def kind(self) -> str:
+        """What the evidence says; '' if there is none."""
+        if not self.candidate:
+            return ""
+        named = (("tool_file", self.tool_file), ("vendored", self.foreign), ("minified", self.minified), ("data", self.data > 0.5), ("generated", self.regular > 0.8), ("marked", self.marker))
+        return next((k for k, v in named if v), "")
 
     @property
     def strong(self) -> bool:
-        return self.candidate and (self.marker or self.foreign or self.tool_file or self.minified or self.data > 0.5 or self.regular > 0.8)
+        return self.kind != ""
 
 
 def extension(path: str) -> str:
@@ -142,6 +157,7 @@ def evidence(path: str, text: str) -> Evidence:
     own = re.sub(r"[^a-z0-9]+", "", path.split("/", 1)[0].lower())
     marker = foreign = False
     hidden: set[int] = set()
+    told: set[int] = set()
     seen = 0
     for k, line in enumerate(lines):
         if seen >= 12 or k >= 30:
@@ -158,11 +174,13 @@ def evidence(path: str, text: str) -> Evidence:
         if _marks(rest):
             marker = True
             hidden.add(k)
+            told.add(k)
         elif n := _NOTICE.search(rest):
             holder = re.sub(r"[^a-z0-9]+", "", next(g for g in n.groups() if g).lower())
             hidden.add(k)
             if holder != own and holder not in own:
                 foreign = True
+                told.add(k)
         elif _ANYWHERE.search(rest) or re.search(r"(?i)licen[cs]e|redistribution|copyright", rest):
             hidden.add(k)
     if code or tool_file:  # a marker may also stand past the header, mostly at the end
@@ -170,6 +188,7 @@ def evidence(path: str, text: str) -> Evidence:
         if far and (far := _comment_lines(text, ext).intersection(far)):
             marker = True
             hidden |= far
+            told |= far
     body = "\n".join(x for k, x in enumerate(lines) if k not in hidden) if hidden else text
     data = regular = 0.0
     minified = False
@@ -187,20 +206,24 @@ def evidence(path: str, text: str) -> Evidence:
             shapes = Counter(filter(None, map(str.strip, re.sub(r"\d+", "0", "\n".join(lines)).split("\n"))))
             n = sum(shapes.values())
             regular = max(shapes.values(), default=0) / n if n >= 12 else 0.0
-    return Evidence(marker, foreign, tool_file, minified, data, regular, code or tool_file, body)
+    return Evidence(marker, foreign, tool_file, minified, data, regular, code or tool_file, body, tuple(sorted(told)))
 
 
 # ---- hashed features -------------------------------------------------------------------------
 _P = np.uint64(0x9E3779B97F4A7C15)
+_SAME_DIGIT = bytes.maketrans(b"123456789", b"000000000")
+_SAME_CASE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz123456789", b"A" * 26 + b"a" * 26 + b"000000000")
+PATH_WEIGHT, SHAPE_WEIGHT, BIAS = 0.3, 1.0, 0.5
 
 
-def _grams(raw: bytes) -> np.ndarray:
-    a = np.frombuffer(raw, np.uint8).astype(np.uint64)
+def _grams(raw: bytes, alike: bytes = _SAME_DIGIT) -> np.ndarray:
+    """Hashed 4-grams of bytes, all digits alike, by place."""
+    a = np.frombuffer(raw.translate(alike), np.uint8).astype(np.uint64)
     if len(a) < 4:
         return np.empty(0, np.int64)
     g = a[:-3] | (a[1:-2] << np.uint64(8)) | (a[2:-1] << np.uint64(16)) | (a[3:] << np.uint64(24))
     with np.errstate(over="ignore"):
-        g = (g * _P) >> np.uint64(64 - 16)
+        g = (g * _P) >> np.uint64(64 - BITS)
     return g.astype(np.int64)
 
 
@@ -208,68 +231,86 @@ def _name(feature: str) -> int:
     return xxhash.xxh64_intdigest(feature) & (DIM - 1)
 
 
-def path_features(path: str) -> np.ndarray:
-    parts = path.lower().split("/")[1:] or [path.lower()]
-    names = [f"P/{p}" for p in parts[:-1]]
-    stem = parts[-1]
-    names += [f"F/{x}" for x in stem.split(".")[1:]] + [f"W/{w}" for w in re.split(r"[^a-z0-9]+", stem) if w] + [f"G/{stem[i : i + 4]}" for i in range(len(stem) - 3)]
-    return np.array([_name(n) for n in names], np.int64)
+def path_vector(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Folders and their words, extensions, words and 4-grams of the name; the project's own folder aside."""
+    parts = [re.sub(r"\d", "0", p) for p in path.lower().split("/")]
+    folders, stem = parts[1:-1], parts[-1]
+    names = [f"P/{p}" for p in folders] + [f"P/{w}" for p in folders for w in re.split(r"[^a-z0-9]+", p) if w]
+    names += [f"F/{x}" for x in stem.split(".")[1:]] + [f"W/{w}" for w in re.split(r"[^a-z0-9]+", stem) if w]
+    ended = f"^{stem}$"
+    names += [f"G/{ended[i : i + 4]}" for i in range(len(ended) - 3)]
+    return np.array([_name(n) for n in names], np.int32), np.full(len(names), PATH_WEIGHT / max(1, len(names)) ** 0.5, np.float32)
 
 
-def evidence_features(e: Evidence, copied: float) -> np.ndarray:
-    on = [("E/marker", e.marker), ("E/foreign", e.foreign), ("E/tool", e.tool_file), ("E/min", e.minified), ("E/data", e.data > 0.5), ("E/regular", e.regular > 0.8), ("E/copied", copied >= 0.5), ("E/none", True)]
-    return np.array([_name(n) for n, v in on if v], np.int64)
+def text_vector(body: str) -> tuple[np.ndarray, np.ndarray]:
+    raw = body.encode("utf-8", "replace")
+    idx, n = np.unique(_grams(raw), return_counts=True)
+    val = 1.0 + np.log(n)
+    shapes, m = np.unique(_grams(raw, _SAME_CASE) ^ 0x5A5A, return_counts=True)
+    share = np.sqrt(m)
+    return np.concatenate([idx, shapes]).astype(np.int32), np.concatenate([val / (np.linalg.norm(val) or 1.0), SHAPE_WEIGHT * share / (np.linalg.norm(share) or 1.0)]).astype(np.float32)
 
 
-TEXT_WEIGHT, PATH_WEIGHT, EVIDENCE_WEIGHT = 1.0, 0.35, 2.0
+_OWN = "\x01\x02\x03\x04\x05\x06"
 
 
-def vector(e: Evidence, path: str, copied: float, masked: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(feature numbers, values), path first: each group has its own norm, so long texts do not drown paths."""
-    t = _grams(e.body.encode("utf-8", "replace"))
-    idx, n = np.unique(t, return_counts=True)
-    val = np.sqrt(n)
-    val = TEXT_WEIGHT * val / (np.linalg.norm(val) or 1.0)
-    p = path_features(path)
-    v = evidence_features(e, copied)
-    if masked:
-        v = v[-1:]
-    return np.concatenate([p, v, idx]), np.concatenate([np.full(len(p), 1.5 * PATH_WEIGHT / max(1.0, len(p) ** 0.5)), np.full(len(v), EVIDENCE_WEIGHT), val])
-
-
-@dataclass
-class Example:
-    """A training vector: shared arrays plus a few evidence features of its own."""
-
-    idx: np.ndarray
-    val: np.ndarray
-    ev: np.ndarray
+def _plain_lines(text: str, path: str) -> list[str]:
+    """Lines as the second classifier sees them: stripped, lower case, the project's name replaced."""
+    low = text.lower()
+    own = path.split("/", 1)[0].lower()
+    if len(own) > 3:
+        low = low.replace(own, _OWN)
+    return list(map(str.strip, low.split("\n")))
 
-    def dot(self, w: np.ndarray) -> float:
-        return float(w[self.idx] @ self.val) + EVIDENCE_WEIGHT * float(w[self.ev].sum())
 
-    def add_to(self, w: np.ndarray, step: float) -> None:
-        np.add.at(w, self.idx, step * self.val)
-        np.add.at(w, self.ev, step * EVIDENCE_WEIGHT)
+def line_vector(line: str) -> tuple[np.ndarray, np.ndarray]:
+    g = _grams(line.encode("utf-8", "replace"))
+    idx, n = np.unique(g, return_counts=True)
+    return idx.astype(np.int32), (n / max(1, len(g)) ** 0.5).astype(np.float32)
 
-    def square(self) -> float:
-        return float(self.val @ self.val) + EVIDENCE_WEIGHT**2 * len(self.ev)
 
-
-def fit_linear_svm(rows: list[Example], y: np.ndarray, c: float = 0.3, epochs: int = 12, seed: int = SEED) -> np.ndarray:
-    """L2-regularised hinge loss by dual coordinate descent; returns the weights."""
-    w, alpha = np.zeros(DIM), np.zeros(len(rows))
-    q = np.array([r.square() or 1.0 for r in rows])
-    balance = np.where(y > 0, c * len(y) / (2 * max(1, (y > 0).sum())), c * len(y) / (2 * max(1, (y < 0).sum())))
+@dataclass
+class Weights:
+    """Of one classifier."""
+
+    w: np.ndarray
+    bias: float
+
+    def score(self, idx: np.ndarray, val: np.ndarray) -> float:
+        return float(self.w[idx] @ val) + self.bias
+
+    def lines(self, lines: list[str]) -> np.ndarray:
+        """The score of every line, all lines at once."""
+        raw = "\n".join(lines).encode("utf-8", "replace")
+        g = _grams(raw)
+        out = np.full(len(lines), self.bias)
+        if len(g):
+            line = np.cumsum(np.frombuffer(raw, np.uint8) == 10)
+            a = np.frombuffer(raw, np.uint8)
+            whole = (line[: len(g)] == line[3:]) & (a[: len(g)] != 10)
+            line = line[: len(g)][whole]
+            total, n = np.bincount(line, self.w[g[whole]], len(lines)), np.bincount(line, minlength=len(lines))
+            out += total / np.sqrt(np.maximum(n, 1))
+        return out
+
+
+def fit_linear_svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, c: float = 1.0, epochs: int = 12, seed: int = SEED) -> Weights:
+    """L2-regularised hinge loss by dual coordinate descent, both labels of equal weight."""
+    w, alpha, bias = np.zeros(DIM), np.zeros(len(rows)), 0.0
+    q = np.array([float(v @ v) + BIAS * BIAS for _, v in rows])
+    most = np.where(y > 0, c * len(y) / (2 * max(1, (y > 0).sum())), c * len(y) / (2 * max(1, (y < 0).sum())))
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            g = y[i] * rows[i].dot(w) - 1.0
-            new = min(max(alpha[i] - g / q[i], 0.0), balance[i])
+            idx, val = rows[i]
+            g = y[i] * (float(w[idx] @ val) + BIAS * bias) - 1.0
+            new = min(max(alpha[i] - g / q[i], 0.0), most[i])
             if new != alpha[i]:
-                rows[i].add_to(w, (new - alpha[i]) * y[i])
+                step = (new - alpha[i]) * y[i]
+                np.add.at(w, idx, step * val)
+                bias += BIAS * step
                 alpha[i] = new
-    return w
+    return Weights(w, BIAS * bias)
 
 
 # ---- Spark -------------------------------------------------------------------------------------
@@ -278,133 +319,143 @@ def fit_linear_svm(rows: list[Example], y: np.ndarray, c: float = 0.3, epochs: i
 _CANDIDATE_PATH = r"(?i)\.(?:" + "|".join(sorted(_CODE)) + r"|lock|sum|json|map|tsbuildinfo|yaml)(?:\.[A-Za-z0-9]+)?$"
 
 
-def _blocks(body: str) -> set[int]:
-    """Hashes of the paragraphs of code, comments and short lines aside."""
-    out = set()
-    for block in body.replace("\r", "").split("\n\n"):
-        if len(block) >= 60:
-            lines = map(str.strip, block.split("\n"))
-            solid = "\n".join(x for x in lines if x and x.isascii() and not x.startswith(("//", "#", "--", "/*", "*")))
-            if len(solid) >= 60:
-                out.add(xxhash.xxh64_intdigest(solid) - (1 << 63))
-    return out
+def _candidates(packed: DataFrame) -> DataFrame:
+    return packed.where(F.col("status") == "extracted").where(F.col("relative").rlike(_CANDIDATE_PATH))
 
 
 def _texts(packed: DataFrame) -> DataFrame:
-    return packed.where(F.col("status") == "extracted").where(F.col("relative").rlike(_CANDIDATE_PATH)).where(F.col("text").isNotNull())
-
+    return _candidates(packed).where(F.col("text").isNotNull())
 
-def copied_share(packed: DataFrame, min_roots: int = MIN_ROOTS, salts: int = 16) -> DataFrame:
-    """id, copied: share of a file's blocks that also occur in other projects.
-
-    (block, project) pairs are made distinct and counted, both combined before the shuffle; the
-    join back is salted against blocks that very many files share.
-    """
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            out = []
-            for i, root, rel, text in zip(pdf["id"], pdf["root_id"], pdf["relative"], pdf["text"]):
-                if extension(rel) in _CODE:
-                    out += [(i, root, h) for h in _blocks(text)]
-            yield pd.DataFrame(out, columns=["id", "root_id", "h"])
 
-    blocks = _texts(packed).select("id", "root_id", "relative", "text").mapInPandas(run, "id string, root_id string, h bigint")
-    shared = blocks.groupBy("h", "root_id").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("one").alias("roots")).where(F.col("roots") >= min_roots)
-    left = blocks.select("id", "h", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
-    right = shared.select("h", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(1).alias("hit"))
-    return left.join(right, ["h", "salt"], "left").groupBy("id").agg((F.count("hit") / F.count(F.lit(1))).alias("copied"))
+def held_out(root: str | None) -> bool:
+    """A fifth of the projects is kept for validation."""
+    return xxhash.xxh64_intdigest(root or "") % 5 == 0
 
 
 @dataclass
 class Model:
-    weights: np.ndarray
-    copied_weight: float
-    n_train: int
-    n_valid: int
-    valid_accuracy: float  # on projects the fit has not seen, header evidence masked
-
-
-def fit(packed: DataFrame, copied: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> Model:
-    """Fit on at most ``sample`` files, chosen by the hash of their id among the candidates."""
-    texts = _texts(packed)
-    n = texts.count()
+    files: Weights
+    comments: Weights
+
+    def judge(self, path: str, text: str | None, e: Evidence) -> float:
+        """Above 0: not written by hand.  Without its text a file is judged by its path."""
+        idx, val = path_vector(path)
+        if text is None:
+            return self.files.score(idx, val)
+        t_idx, t_val = text_vector(e.body)
+        best = self.files.score(np.concatenate([idx, t_idx]), np.concatenate([val, t_val]))
+        by_line = self.comments.lines(_plain_lines(text, path))
+        told = np.flatnonzero(by_line > max(best, 0.0))
+        if len(told):
+            inside = _comment_lines(text, extension(path))
+            best = max([best, *(float(by_line[k]) for k in told if int(k) in inside)])
+        return best
+
+
+def _examples(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Features, kind and training lines of the sample's files."""
+    for pdf in it:
+        out = []
+        for i, rel, text in zip(pdf["id"], pdf["relative"], pdf["text"]):
+            e = evidence(rel, text)
+            if not e.candidate:
+                continue
+            lines = _plain_lines(text, rel)
+            given = [lines[k] for k in e.given_away]
+            # lines of code seldom, comment lines past the header now and then: as counter-examples
+            rest = [x for k, x in enumerate(lines) if x and k not in e.given_away and xxhash.xxh64_intdigest(x) % ((1 if k < 12 else 8) if _COMMENT.match(x) else 32) == 0]
+            p_idx, p_val = path_vector(rel)
+            idx, val = text_vector(e.body)
+            out.append((i, e.kind, p_idx, p_val, idx, val, given, rest))
+        yield pd.DataFrame(out, columns=["id", "kind", "p_idx", "p_val", "idx", "val", "given", "rest"])
+
+
+def fit(packed: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> Model:
+    """Fit on about ``sample`` files of projects not held out, chosen by the hash of their id."""
+    n = _candidates(packed).count()
     share = min(1.0, sample / max(1, n))
-    chosen = texts.where(F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            out = []
-            for i, root, rel, text in zip(pdf["id"], pdf["root_id"], pdf["relative"], pdf["text"]):
-                e = evidence(rel, text)
-                if e.candidate:
-                    idx, val = vector(e, rel, 0.0, masked=True)
-                    out.append((i, xxhash.xxh64_intdigest(root or "") % 5 == 0, e.strong, len(path_features(rel)), evidence_features(e, 0.0).astype(np.int32), idx.astype(np.int32), val.astype(np.float32)))
-            yield pd.DataFrame(out, columns=["id", "held_out", "strong", "n_path", "ev", "idx", "val"])
-
-    feats = chosen.select("id", "root_id", "relative", "text").mapInPandas(run, "id string, held_out boolean, strong boolean, n_path int, ev array<int>, idx array<int>, val array<float>")
-    got = feats.join(copied, "id", "left").orderBy("id").toArrow().combine_chunks()
-    w_copied, w_tool, w_none = _name("E/copied"), _name("E/tool"), _name("E/none")
+    chosen = _texts(packed).where(F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    known = chosen.select("id", "root_id", "relative", "text").mapInPandas(lambda it: (pdf[[not held_out(r) for r in pdf["root_id"]]] for pdf in it), "id string, root_id string, relative string, text string")
+    schema = "id string, kind string, p_idx array<int>, p_val array<float>, idx array<int>, val array<float>, given array<string>, rest array<string>"
+    got = known.select("id", "relative", "text").mapInPandas(_examples, schema).toArrow().combine_chunks()
 
     def lists(column: str) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and values of a list column, without a copy a row."""
         a = got[column].combine_chunks() if got.num_rows else None
         return (a.offsets.to_numpy(), a.values.to_numpy()) if a is not None else (np.zeros(1, np.int32), np.empty(0))
 
-    (io, idx), (vo, val), (eo, ev) = lists("idx"), lists("val"), lists("ev")
-    rows: list[list[Example]] = [[], []]  # train, validation
-    ys: list[list[int]] = [[], []]
-    for r, (id_, held, strong, n_path, share) in enumerate(zip(*(got[c].to_pylist() for c in ("id", "held_out", "strong", "n_path", "copied")))):
-        i, v = idx[io[r] : io[r + 1]], val[vo[r] : vo[r + 1]]
-        is_copy = share is not None and share >= 0.5
-        y = 1 if strong or is_copy else -1
-        own = [int(x) for x in ev[eo[r] : eo[r + 1]] if x != w_none] + [w_copied] * is_copy
-        masked = Example(i, v, np.empty(0, np.int64))
-        if held:
-            rows[1].append(masked)
-            ys[1].append(y)
+    columns = {c: lists(c) for c in ("p_idx", "p_val", "idx", "val")}
+
+    def cell(column: str, r: int) -> np.ndarray:
+        at, values = columns[column]
+        return values[at[r] : at[r + 1]]
+
+    ids, kinds = (got[c].to_pylist() for c in ("id", "kind"))
+    order = sorted(range(len(ids)), key=lambda r: ids[r])  # the fit must not depend on how Spark returns the rows
+    rows: list[tuple[np.ndarray, np.ndarray]] = []
+    labels: list[int] = []
+    for r in order:
+        if kinds[r] == "marked":
             continue
-        rows[0] += [Example(i, v, np.array(own, np.int64)), masked]
-        ys[0] += [y, y]
-        if xxhash.xxh64_intdigest(id_) % 3 == 0:  # as an entry without packed text
-            rows[0].append(Example(i[: n_path + 1], v[: n_path + 1], np.array([w_tool] * (w_tool in own), np.int64)))
-            ys[0].append(y)
-    if len(set(ys[0])) < 2:  # nothing to learn from: the evidence alone decides
-        w = np.zeros(DIM)
-        for name in ("marker", "foreign", "tool", "min", "data", "regular", "copied"):
-            w[_name(f"E/{name}")] = 2.0
-        w[_name("E/none")] = -1.0
-        return Model(w, 2.0, len(ys[0]), len(ys[1]), float("nan"))
-    w = fit_linear_svm(rows[0], np.array(ys[0]))
-    right = [(r.dot(w) > 0) == (y > 0) for r, y in zip(rows[1], ys[1])]
-    return Model(w, float(w[w_copied]) * EVIDENCE_WEIGHT, len(ys[0]), len(ys[1]), float(np.mean(right)) if right else float("nan"))
-
-
-def score(packed: DataFrame, manifest: DataFrame, copied: DataFrame, model: Model) -> DataFrame:
+        y = 1 if kinds[r] else -1
+        p_idx, p_val = cell("p_idx", r), cell("p_val", r)
+        rows.append((np.concatenate([p_idx, cell("idx", r)]), np.concatenate([p_val, cell("val", r)])))
+        labels.append(y)
+        if xxhash.xxh64_intdigest(ids[r]) % 3 == 0:  # as an entry without packed text
+            rows.append((p_idx, p_val))
+            labels.append(y)
+    lines: dict[int, list[str]] = {1: [], -1: []}
+    for y, column in ((1, "given"), (-1, "rest")):
+        times: Counter = Counter()
+        texts = got[column].to_pylist()
+        for line in (x for r in order for x in texts[r]):
+            times[line] += 1
+            if times[line] <= SAME_LINES and len(lines[y]) < SAMPLE_LINES:
+                lines[y].append(line)
+    return Model(_fitted(rows, labels), _fitted([line_vector(x) for y in lines for x in lines[y]], [y for y in lines for _ in lines[y]], 2.0))
+
+
+def _fitted(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], c: float = 1.0) -> Weights:
+    """A classifier that has seen one label only says that one's opposite is absent."""
+    return fit_linear_svm(rows, np.array(labels), c) if len(set(labels)) == 2 else Weights(np.zeros(DIM), 1.0 if labels and labels[0] > 0 else -1.0)
+
+
+def score(packed: DataFrame, manifest: DataFrame, model: Model) -> DataFrame:
     """id, score of every manifest entry that is a candidate; above 0 it is not hand-written."""
-    spark = packed.sparkSession
-    shared = spark.sparkContext.broadcast(model.weights)
+    shared = packed.sparkSession.sparkContext.broadcast(model)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = shared.value
+        m = shared.value
         for pdf in it:
             out = []
             for i, rel, text in zip(pdf["id"], pdf["relative"], pdf["text"]):
                 e = evidence(rel, text or "")
                 if e.candidate:
-                    idx, val = vector(e, rel, 0.0)
-                    out.append((i, float(w[idx] @ val)))
-            yield pd.DataFrame(out, columns=["id", "base"])
+                    out.append((i, m.judge(rel, text, e)))
+            yield pd.DataFrame(out, columns=["id", "score"])
 
     known = _texts(packed)
     entries = manifest.groupBy("id").agg(F.max("relative").alias("relative"))
-    bare = entries.join(known.select("id").distinct(), "id", "left_anti").where(F.col("relative").rlike(_CANDIDATE_PATH)).select("id", "relative", F.lit(None).cast("string").alias("text"))
-    based = known.select("id", "relative", "text").mapInPandas(run, "id string, base double").groupBy("id").agg(F.max("base").alias("base"))
-    based = based.join(entries.select("id"), "id", "left_semi").unionByName(bare.mapInPandas(run, "id string, base double"))
-    return based.join(copied, "id", "left").select("id", (F.col("base") + F.when(F.col("copied") >= 0.5, model.copied_weight).otherwise(0.0)).alias("score"))
+    # which entries have a text is told by the scores, so the texts are not read for it
+    scored = known.select("id", "relative", "text").mapInPandas(run, "id string, score double").groupBy("id").agg(F.max("score").alias("by_text"))
+    bare = entries.where(F.col("relative").rlike(_CANDIDATE_PATH)).select("id", "relative", F.lit(None).cast("string").alias("text")).mapInPandas(run, "id string, score double").withColumnRenamed("score", "by_path")
+    return entries.select("id").join(bare, "id", "left").join(scored, "id", "left").select("id", F.coalesce("by_text", "by_path").alias("score")).where("score IS NOT NULL")
 
 
 def classify(packed: DataFrame, manifest: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """id, score, hand_written for every candidate entry of the manifest."""
-    copied = materialized(copied_share(packed))
-    return score(packed, manifest, copied, fit(packed, copied, sample)).withColumn("hand_written", F.col("score") <= 0)
+    return score(packed, manifest, fit(packed, sample)).withColumn("hand_written", F.col("score") <= 0)
+
+
+def validation(packed: DataFrame, manifest: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Per kind of evidence ('' for none): files of projects the fit has not seen, and how many of
+    them the classifiers call not hand-written."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = [(i, e.kind) for i, root, rel, text in zip(pdf["id"], pdf["root_id"], pdf["relative"], pdf["text"]) if held_out(root) and (e := evidence(rel, text)).candidate]
+            yield pd.DataFrame(rows, columns=["id", "kind"])
+
+    labels = _texts(packed).select("id", "root_id", "relative", "text").mapInPandas(run, "id string, kind string").groupBy("id").agg(F.max("kind").alias("kind"))
+    got = labels.join(score(packed, manifest, fit(packed, sample)), "id")
+    return got.groupBy("kind").agg(F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("score") > 0).alias("n_found"))

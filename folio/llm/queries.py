@@ -30,6 +30,10 @@ def p2_scores(spark: SparkSession, sf: str) -> DataFrame:
     return provenance.classify(_read(spark, sf, "packed_files"), _read(spark, sf, "manifest_entries"))
 
 
+def p2_validation(spark: SparkSession, sf: str) -> DataFrame:
+    return provenance.validation(_read(spark, sf, "packed_files"), _read(spark, sf, "manifest_entries"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.found_lines(_read(spark, sf, "packed_files"))
 
@@ -88,7 +92,7 @@ def p9_masked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_scores, p3_found, p3_masked, p5_found, p5_pieces, p6_record_tokens, p6_totals, p6_cross, p6_batches, p7_found, p7_leaks, p8_mix, p8_shares, p9_found, p9_masked)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_scores, p2_validation, p3_found, p3_masked, p5_found, p5_pieces, p6_record_tokens, p6_totals, p6_cross, p6_batches, p7_found, p7_leaks, p8_mix, p8_shares, p9_found, p9_masked)}
 
 
 def oracle_sql() -> dict[str, str]:

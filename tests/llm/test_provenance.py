@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from folio.llm.provenance import DIM, Example, _blocks, classify, copied_share, evidence, fit_linear_svm
+from folio.llm.provenance import DIM, _plain_lines, classify, evidence, fit_linear_svm, line_vector, validation
 
 MARKED = ["// Code generated by gridc. DO NOT EDIT.", "# @generated by ormloom", "// <auto-generated> by x </auto-generated>", "-- machine-written by x, source: y.dsl", "// Automatically produced from a.schema, do not change", "# Fichier généré par x - ne pas modifier", "// !! output of tsmelt !!", "// Created with x (y.tmpl). Edits get overwritten on the next run.", "/* AUTOGENERATED FILE - do not modify by hand */"]
 PLAIN = ["// The handler was generated by hand from measurements.", "// Do not edit the marker while the marker runs.", "// This module generates the pulley.", "// Helpers around generated fixtures; these were written by us.", 'banner = "@generated"', "// (c) the own-label contributors, released under a licence"]
@@ -67,10 +67,17 @@ def test_svm_separates_what_can_be_separated():
     for k in range(200):
         idx = rnd.choice(np.arange(100, DIM), 30, replace=False)
         idx[0] = 7 if k % 2 else 9
-        rows.append(Example(idx, np.ones(30) / 30**0.5, np.empty(0, np.int64)))
+        rows.append((idx, np.ones(30) / 30**0.5))
         y.append(1 if k % 2 else -1)
     w = fit_linear_svm(rows, np.array(y), c=10)
-    assert all((r.dot(w) > 0) == (t > 0) for r, t in zip(rows, y))
+    assert all((w.score(*r) > 0) == (t > 0) for r, t in zip(rows, y))
+
+
+def test_lines_are_scored_one_by_one():
+    w = fit_linear_svm([line_vector("// code made by a tool"), line_vector("// the loop ends here")], np.array([1, -1]))
+    lines = _plain_lines("// The loop ends here\n\nab\n  // Code made by a tool\n// own-label notice", "own-label/a.rs")
+    got = w.lines(lines)
+    assert np.allclose(got, [w.score(*line_vector(x)) for x in lines]) and got[3] > 0 > got[0] and "own-label" not in lines[4]
 
 
 def body(rnd: random.Random) -> str:
@@ -82,11 +89,13 @@ def test_classify(spark):
     rows, truth = [], {}
     shared = [body(rnd) for _ in range(4)]
     for k in range(240):
-        root = f"r{k % 12}"
+        root = f"r{k // 4 % 12}"
         kind = ("hand", "hand", "gen", "copy")[k % 4]
         text = shared[k % 16 // 4] if kind == "copy" else body(rnd)
         if kind == "gen":
-            text = "# Code generated by gridc. DO NOT EDIT.\n" + text
+            text = "# Code generated by gridc. DO NOT EDIT.\n" + text if k % 8 < 4 else text + "\n# Code generated by gridc. DO NOT EDIT."
+        if kind == "copy":
+            text = "# Copyright (c) the lumpa contributors\n" + text
         path = f"{root}/x/{'vendor/lumpa' if kind == 'copy' else 'src'}/{('n', 'n', 'g_pb2', 'lumpa')[k % 4]}_{k}.py"
         rows.append((f"i{k}", root, path, "extracted", text))
         truth[f"i{k}"] = kind == "hand"
@@ -95,6 +104,6 @@ def test_classify(spark):
     got = {r["id"]: r["hand_written"] for r in classify(packed, manifest).collect()}
     assert sum(got[i] == t for i, t in truth.items()) >= 0.97 * len(truth)
     assert "doc" not in got and "null" not in got and got["empty"] is True
-    assert {r["id"]: r["copied"] for r in copied_share(packed).collect()}["i3"] == 1.0
     assert classify(packed.where("false"), manifest.where("false")).count() == 0
-    assert _blocks("") == set()
+    held = {r["kind"]: (r["n_files"], r["n_found"]) for r in validation(packed, manifest).collect()}
+    assert held["marked"][1] >= 0.9 * held["marked"][0] > 0 and held["vendored"][1] == held["vendored"][0] > 0 and held[""][1] <= 0.05 * held[""][0]
