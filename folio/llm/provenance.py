@@ -10,8 +10,8 @@ Two linear support-vector classifiers on hashed features decide, and nothing els
   the giveaway lines, which some files have as the only difference from hand-written ones.
 
 A file's score is the larger of its own and of its best comment line's.  There are no labels, so
-patterns of evidence label a bounded sample: files with evidence are positives, files with none
-negatives, files with nothing but a giveaway line are left to the second classifier.  Projects are
+patterns of evidence, and paragraphs that several projects of the sample share, label a bounded
+sample: files with evidence are positives, files with none negatives, files with nothing but a giveaway line are left to the second classifier.  Projects are
 split between training and validation by their hash; ``validation`` reports what the classifiers
 find among all files of projects that the fit has not seen, by kind.
 
@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 BITS = 17
 DIM = 1 << BITS
+MIN_ROOTS = 3  # a block in so many projects of the sample is a copy
 SAMPLE, SEED = 6_000, 17  # most labelled files that the fit may see, and their choice
 SAME_LINES, SAMPLE_LINES = 30, 20_000  # most training lines of one wording, and of each label
 
@@ -231,15 +232,16 @@ def _name(feature: str) -> int:
     return xxhash.xxh64_intdigest(feature) & (DIM - 1)
 
 
-def path_vector(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Folders and their words, extensions, words and 4-grams of the name; the project's own folder aside."""
+def path_vector(path: str, weight: float = PATH_WEIGHT) -> tuple[np.ndarray, np.ndarray]:
+    """Folders and their words, extensions, words and 4-grams of the name; the project's own folder
+    aside.  ``weight``: beside the text, or 1 where the path is all there is."""
     parts = [re.sub(r"\d", "0", p) for p in path.lower().split("/")]
     folders, stem = parts[1:-1], parts[-1]
     names = [f"P/{p}" for p in folders] + [f"P/{w}" for p in folders for w in re.split(r"[^a-z0-9]+", p) if w]
     names += [f"F/{x}" for x in stem.split(".")[1:]] + [f"W/{w}" for w in re.split(r"[^a-z0-9]+", stem) if w]
     ended = f"^{stem}$"
     names += [f"G/{ended[i : i + 4]}" for i in range(len(ended) - 3)]
-    return np.array([_name(n) for n in names], np.int32), np.full(len(names), PATH_WEIGHT / max(1, len(names)) ** 0.5, np.float32)
+    return np.array([_name(n) for n in names], np.int32), np.full(len(names), weight / max(1, len(names)) ** 0.5, np.float32)
 
 
 def text_vector(body: str) -> tuple[np.ndarray, np.ndarray]:
@@ -339,9 +341,9 @@ class Model:
 
     def judge(self, path: str, text: str | None, e: Evidence) -> float:
         """Above 0: not written by hand.  Without its text a file is judged by its path."""
-        idx, val = path_vector(path)
         if text is None:
-            return self.files.score(idx, val)
+            return self.files.score(*path_vector(path, 1.0))
+        idx, val = path_vector(path)
         t_idx, t_val = text_vector(e.body)
         best = self.files.score(np.concatenate([idx, t_idx]), np.concatenate([val, t_val]))
         by_line = self.comments.lines(_plain_lines(text, path))
@@ -352,11 +354,32 @@ class Model:
         return best
 
 
+def _blocks(body: str) -> list[int]:
+    """Hashes of the paragraphs of code, comments and short lines aside."""
+    out = set()
+    for block in body.replace("\r", "").split("\n\n"):
+        if len(block) >= 60:
+            lines = map(str.strip, block.split("\n"))
+            solid = "\n".join(x for x in lines if x and x.isascii() and not x.startswith(("//", "#", "--", "/*", "*")))
+            if len(solid) >= 60:
+                out.add(xxhash.xxh64_intdigest(solid) - (1 << 63))
+    return list(out)
+
+
+def _copies(roots: list[str | None], blocks: list[list[int]]) -> list[bool]:
+    """Which files of the sample share most of their blocks with files of other projects in it."""
+    where: dict[int, set[str | None]] = defaultdict(set)
+    for root, own in zip(roots, blocks):
+        for b in own:
+            where[b].add(root)
+    return [bool(own) and sum(len(where[b]) >= MIN_ROOTS for b in own) * 2 >= len(own) for own in blocks]
+
+
 def _examples(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Features, kind and training lines of the sample's files."""
     for pdf in it:
         out = []
-        for i, rel, text in zip(pdf["id"], pdf["relative"], pdf["text"]):
+        for i, root, rel, text in zip(pdf["id"], pdf["root_id"], pdf["relative"], pdf["text"]):
             e = evidence(rel, text)
             if not e.candidate:
                 continue
@@ -366,8 +389,8 @@ def _examples(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rest = [x for k, x in enumerate(lines) if x and k not in e.given_away and xxhash.xxh64_intdigest(x) % ((1 if k < 12 else 8) if _COMMENT.match(x) else 32) == 0]
             p_idx, p_val = path_vector(rel)
             idx, val = text_vector(e.body)
-            out.append((i, e.kind, p_idx, p_val, idx, val, given, rest))
-        yield pd.DataFrame(out, columns=["id", "kind", "p_idx", "p_val", "idx", "val", "given", "rest"])
+            out.append((i, root, e.kind, _blocks(e.body), p_idx, p_val, idx, val, given, rest))
+        yield pd.DataFrame(out, columns=["id", "root_id", "kind", "blocks", "p_idx", "p_val", "idx", "val", "given", "rest"])
 
 
 def fit(packed: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> Model:
@@ -376,8 +399,8 @@ def fit(packed: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> Model:
     share = min(1.0, sample / max(1, n))
     chosen = _texts(packed).where(F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
     known = chosen.select("id", "root_id", "relative", "text").mapInPandas(lambda it: (pdf[[not held_out(r) for r in pdf["root_id"]]] for pdf in it), "id string, root_id string, relative string, text string")
-    schema = "id string, kind string, p_idx array<int>, p_val array<float>, idx array<int>, val array<float>, given array<string>, rest array<string>"
-    got = known.select("id", "relative", "text").mapInPandas(_examples, schema).toArrow().combine_chunks()
+    schema = "id string, root_id string, kind string, blocks array<bigint>, p_idx array<int>, p_val array<float>, idx array<int>, val array<float>, given array<string>, rest array<string>"
+    got = known.mapInPandas(_examples, schema).toArrow().combine_chunks()
 
     def lists(column: str) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and values of a list column, without a copy a row."""
@@ -390,7 +413,8 @@ def fit(packed: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> Model:
         at, values = columns[column]
         return values[at[r] : at[r + 1]]
 
-    ids, kinds = (got[c].to_pylist() for c in ("id", "kind"))
+    ids, kinds, roots, blocks = (got[c].to_pylist() for c in ("id", "kind", "root_id", "blocks"))
+    kinds = ["vendored" if copy and k in ("", "marked") else k for k, copy in zip(kinds, _copies(roots, blocks))]
     order = sorted(range(len(ids)), key=lambda r: ids[r])  # the fit must not depend on how Spark returns the rows
     rows: list[tuple[np.ndarray, np.ndarray]] = []
     labels: list[int] = []
@@ -402,7 +426,7 @@ def fit(packed: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> Model:
         rows.append((np.concatenate([p_idx, cell("idx", r)]), np.concatenate([p_val, cell("val", r)])))
         labels.append(y)
         if xxhash.xxh64_intdigest(ids[r]) % 3 == 0:  # as an entry without packed text
-            rows.append((p_idx, p_val))
+            rows.append((p_idx, p_val / PATH_WEIGHT))
             labels.append(y)
     lines: dict[int, list[str]] = {1: [], -1: []}
     for y, column in ((1, "given"), (-1, "rest")):
