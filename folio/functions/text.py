@@ -106,10 +106,10 @@ def note(status: str | Column, relative: str | Column, kind: str | Column, size:
     return (
         F.when(s == "skipped_binary", F.concat(F.lit("[binary file, "), sz, F.lit(" bytes]")))
         .when(s == "too_large", F.concat(F.lit("[too large: "), sz, F.lit(" bytes; limit "), _col(limit).cast("string"), F.lit(" bytes]")))
-        .when(s == "error", F.concat(F.lit("[error extracting "), _col(relative), F.lit(": "), _col(detail), F.lit("]")))
+        .when(s == "error", F.concat(F.lit("[error extracting "), display_path(relative), F.lit(": "), _col(detail), F.lit("]")))
         .when(s == "unreadable", F.concat(F.lit("["), _col(kind), F.lit(" unreadable: "), _col(detail), F.lit("]")))
         .when(s == "changed", F.concat(F.lit("[changed since scan: "), _col(detail), F.lit("]")))
-        .when(s == "skipped_archive", F.concat(F.lit("[archive "), _col(relative), F.lit(", "), sz, F.lit(" bytes; pass --archives to expand nested archives]")))
+        .when(s == "skipped_archive", F.concat(F.lit("[archive "), display_path(relative), F.lit(", "), sz, F.lit(" bytes; "), F.coalesce(_col(detail), F.lit("pass --archives to expand nested archives")), F.lit("]")))
     )
 
 

@@ -96,8 +96,7 @@ def extract(raw: bytes, kind: str, skip_binaries: bool = True, notebook_outputs:
         if kind in TEXT_LIKE and looks_binary(raw):
             kind = "binary"
         if kind == "binary":
-            note = f"[binary file, {len(raw)} bytes]"
-            return Extracted("skipped_binary" if skip_binaries else "extracted", note)
+            return Extracted("skipped_binary", None) if skip_binaries else Extracted("extracted", f"[binary file, {len(raw)} bytes]")
         why = refusal(raw, kind)
         if why:
             low = contents(raw)

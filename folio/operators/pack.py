@@ -1,8 +1,8 @@
 """Packing: rows of named bytes in, rows of text and status out.
 
-Names are filtered and budgets spent on narrow rows; bytes meet Python only in one Arrow stage,
-where an archive is expanded under one budget and every member read.  Nothing in that stage is
-shuffled, so a row's cost stays where its bytes are.
+Names are filtered and budgets spent on narrow rows, by the sizes the scan found, before any byte is
+read; bytes meet Python only in one Arrow stage, where an archive is expanded under one budget and
+every member read.  Nothing in that stage is shuffled, so a row's cost stays where its bytes are.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from folio.operators.archive import MAX_DEPTH, Budget, members, unsafe_name
 from folio.operators.extract.dispatch import classify_bytes, extract
 from folio.operators.isolate import extract_isolated
 from folio.options import Options
+from folio.sources.files import GONE
 
 SCHEMA = "id string, relative string, kind string, size bigint, text string, status string, status_limit bigint, status_detail string, archive_cut boolean"
 COLUMNS = ["id", "relative", "kind", "size", "text", "status", "status_limit", "status_detail", "archive_cut"]
@@ -64,32 +65,24 @@ class Packer:
             return False
         return archive or not self.want or bool(self.want.match(path) or self.want.match(base))
 
-    def _row(self, id_: str, rel: str, kind: str, size: int, status: str, body: str | None = None, limit: int | None = None, detail: str | None = None, cut: bool = False) -> tuple:
-        if body is None:
-            body = {
-                "too_large": f"[too large: {size} bytes; limit {limit} bytes]",
-                "skipped_binary": f"[binary file, {size} bytes]",
-                "error": f"[error extracting {rel}: {detail}]",
-                "unreadable": f"[{kind} unreadable: {detail}]",
-            }.get(status)
-        return (id_, rel, kind, size, body, status, limit, detail, cut)
-
-    def pack(self, id_: str, rel: str, raw: bytes, depth: int = 0, spent: Budget | None = None, kind: str | None = None) -> list[tuple]:
+    def pack(self, id_: str, rel: str, raw: bytes | None, depth: int = 0, spent: Budget | None = None, kind: str | None = None, size: int | None = None, root: bool = False) -> list[tuple]:
+        """Rows of a file: itself, or the members of an archive.  A note is left to ``text.note``.
+        ``raw`` is null for a file over the cap that was not read, whose ``size`` is given."""
         o = self.opts
-        kind = kind or kind_of_name(rel) or classify_bytes(raw)
-        size = len(raw)
-        if size > o.max_file_size and not (kind in tables.ARCHIVE_KINDS and depth == 0 and o.follow_archives):
-            return [self._row(id_, rel, kind, size, "too_large", limit=o.max_file_size)]
+        kind = kind or kind_of_name(rel) or (classify_bytes(raw) if raw is not None else "unknown")
+        size = len(raw) if raw is not None else size or 0
+        if raw is None or size > o.max_file_size:
+            return [(id_, rel, kind, size, None, "too_large", o.max_file_size, None, False)]
         if kind in tables.ARCHIVE_KINDS:
-            if not o.follow_archives or depth >= MAX_DEPTH:
-                why = f"not expanded: nested more than {MAX_DEPTH} archives deep" if o.follow_archives else None
-                return [self._row(id_, rel, kind, size, "skipped_archive", f"[archive {rel}, {size} bytes; {why or 'pass --archives to expand nested archives'}]")]
-            return self._expand(id_, rel, raw, kind, depth, spent or Budget())
+            if depth < MAX_DEPTH and (o.follow_archives or root):
+                return self._expand(id_, rel, raw, kind, depth, spent or Budget())
+            detail = f"not expanded: nested more than {MAX_DEPTH} archives deep" if o.follow_archives else None
+            return [(id_, rel, kind, size, None, "skipped_archive", None, detail, False)]
         flags = {"skip_binaries": o.skip_binaries, "notebook_outputs": o.notebook_outputs, "source_mode": o.source_mode}
         got = extract_isolated(raw, kind, o.timeout_s, **flags) if o.isolate and kind in tables.HEAVY_KINDS else extract(raw, kind, **flags)
         if got.status == "skipped_binary":
             kind = "binary"
-        return [self._row(id_, rel, kind, size, got.status, got.text, detail=got.detail)]
+        return [(id_, rel, kind, size, got.text, got.status, None, got.detail, False)]
 
     def _expand(self, id_: str, rel: str, raw: bytes, kind: str, depth: int, spent: Budget) -> list[tuple]:
         def want(name: str) -> str:
@@ -115,42 +108,79 @@ class Packer:
                 if m.tag == "file":
                     out += self.pack(new, child, m.data, depth + 1, spent, named)
                 elif m.tag == "too_large":
-                    out.append(self._row(new, child, named, m.size, "too_large", limit=self.opts.max_file_size))
+                    out.append((new, child, named, m.size, None, "too_large", self.opts.max_file_size, None, False))
                 elif m.tag == "unread":
-                    out.append(self._row(new, child, named, m.size, "skipped_binary"))
+                    out.append((new, child, named, m.size, None, "skipped_binary", None, None, False))
                 else:
-                    out.append(self._row(new, child, named, m.size, "unreadable", detail=m.detail))
+                    out.append((new, child, named, m.size, None, "unreadable", None, m.detail, False))
         except Exception as e:  # noqa: BLE001 - an archive its reader rejects keeps a note
-            return [self._row(id_, rel, kind, len(raw), "unreadable", detail=str(e) or type(e).__name__)]
+            if not out:
+                return [(id_, rel, kind, len(raw), None, "unreadable", None, str(e) or type(e).__name__, False)]
+            spent.cut = True  # what was read before stays
         return [(*r[:-1], spent.cut) for r in out] if depth == 0 else out
 
 
+def lasts(status: str) -> bool:
+    """Whether an outcome would be the same next time: errors and changed files are tried again."""
+    return status not in ("error", "changed")
+
+
 def pack_df(files: DataFrame, opts: Options = Options(), owner: bool = False) -> DataFrame:  # noqa: B008
-    """Packs rows (id, relative, bytes): filters, selection, budgets in path order, readers.
+    """Packs rows (id, relative, bytes[, size, root_relative, is_root, gone]): filters, selection,
+    budgets in path order, readers.
 
-    Defined results: null bytes are status 'changed' (no longer there); repeated ids are kept
-    apart by their rows; empty tables give an empty result; extra columns are ignored.  With
-    ``owner`` each row also names the id of the file it came from.
+    Defined results: null bytes are status 'changed' ('gone' says why), or 'too_large' where the size
+    is over the cap; repeated ids are kept apart by their rows; empty tables give an empty result;
+    other columns are ignored.  With ``owner`` each row also names the id of the file it came from
+    and whether all that came from it may be cached.
     """
-    named = files.select("id", "relative", "bytes", F.octet_length("bytes").cast("bigint").alias("size"))
-    named = named.where(paths.keep_path("relative", opts.include, opts.exclude, opts.hidden, opts.default_excludes, unpacking=opts.follow_archives))
+    return read_rows(admitted(files, opts), opts, owner)
+
+
+def admitted(files: DataFrame, opts: Options) -> DataFrame:
+    """The rows that filters, selection and budgets let through, all their columns kept."""
+    return admit(files, opts)[0]
+
+
+def admit(files: DataFrame, opts: Options) -> tuple[DataFrame, int]:
+    """As ``admitted``, and how many files the budgets cut off.
+
+    A size is the column's, if there is one, else that of the bytes.
+    """
+    under = "root_relative" if "root_relative" in files.columns else None
+    named = files.where(paths.keep_path("relative", opts.include, opts.exclude, opts.hidden, opts.default_excludes, under_root=under, unpacking=opts.follow_archives))
     if opts.selection is not None:
         named = _selected(named, opts.selection)
-    if opts.max_entries or opts.max_total_bytes < 1 << 62:
-        named = _within_budget(named, opts)
+    if not (opts.max_entries or opts.max_total_bytes < 1 << 62):
+        return named, 0
+    own = "_size" if "size" not in named.columns else "size"
+    sized = named if own == "size" else named.withColumn("_size", F.octet_length("bytes").cast("bigint"))
+    kept, cut = _within_budget(sized, opts, own)
+    return kept.drop("_size"), cut
+
+
+def read_rows(files: DataFrame, opts: Options, owner: bool = False) -> DataFrame:
+    """Reads admitted rows; one Arrow stage, and the notes are put in by the JVM."""
     packer = Packer(opts)
-    columns = [*COLUMNS, "owner"] if owner else COLUMNS
+    columns = [*COLUMNS, "owner", "lasting"] if owner else COLUMNS
+    wanted = {"size": "bigint", "is_root": "boolean", "gone": "string"}
+    given = [F.col(c) if c in files.columns else F.lit(None).cast(t).alias(c) for c, t in wanted.items()]
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             rows: list[tuple] = []
             held = 0
-            for i, rel, raw in zip(pdf["id"], pdf["relative"], pdf["bytes"]):
-                if raw is None:
-                    got = [(i, rel, kind_of_name(rel) or "unknown", 0, "[changed since scan: no longer there]", "changed", None, "no longer there", False)]
+            for i, rel, raw, size, root, gone in zip(pdf["id"], pdf["relative"], pdf["bytes"], pdf["size"], pdf["is_root"], pdf["gone"]):
+                size = None if pd.isna(size) else int(size)
+                if raw is None and (gone is not None or size is None or size <= opts.max_file_size):
+                    got = [(i, rel, kind_of_name(rel) or "unknown", size or 0, None, "changed", None, gone or GONE, False)]
+                else:
+                    got = packer.pack(i, rel, None if raw is None else bytes(raw), size=size, root=root is True)
+                if owner:
+                    lasting = all(lasts(r[5]) for r in got)
+                    rows += [(*r, i, lasting) for r in got]
                 else:
-                    got = packer.pack(i, rel, bytes(raw))
-                rows += [(*r, i) for r in got] if owner else got
+                    rows += got
                 held += sum(len(r[4] or "") for r in got)
                 if held > FLUSH_CHARS:
                     yield pd.DataFrame(rows, columns=columns)
@@ -158,7 +188,8 @@ def pack_df(files: DataFrame, opts: Options = Options(), owner: bool = False) ->
             if rows:
                 yield pd.DataFrame(rows, columns=columns)
 
-    return named.select("id", "relative", "bytes").mapInPandas(run, f"{SCHEMA}, owner string" if owner else SCHEMA)
+    out = files.select("id", "relative", "bytes", *given).mapInPandas(run, f"{SCHEMA}, owner string, lasting boolean" if owner else SCHEMA)
+    return out.withColumn("text", shown_text())
 
 
 def _selected(named: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -172,22 +203,22 @@ def _selected(named: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return flagged.where("_id OR _rel").select(*named.columns)
 
 
-def _within_budget(named: DataFrame, opts: Options) -> DataFrame:
-    """Rows up to the last one the budget keeps.  What is kept is a prefix of the path order, so
-    one row, its end, decides for all; the bytes are neither sorted nor joined."""
-    fit = budget.apply_budgets(named.select("id", "relative", "size"), opts.max_total_bytes, opts.max_entries, opts.max_file_size)
+def _within_budget(named: DataFrame, opts: Options, size: str) -> tuple[DataFrame, int]:
+    """Rows up to the last one the budget keeps, and how many it cuts.  What is kept is a prefix of
+    the path order, so one row, its end, decides for all; the bytes are neither sorted nor joined."""
+    fit = budget.apply_budgets(named.select("id", "relative", F.col(size).alias("size")), opts.max_total_bytes, opts.max_entries, opts.max_file_size)
     key = F.struct(paths.path_order("relative").alias("p"), F.col("id"))
     got = fit.agg(F.max(F.when(F.col("kept"), key)).alias("last"), F.count_if(~F.col("kept")).alias("cut")).head()
     if not got["cut"]:
-        return named
+        return named, 0
     if got["last"] is None:
-        return named.where(F.lit(False))
+        return named.where(F.lit(False)), got["cut"]
     order, end = paths.path_order("relative"), F.array(*map(F.lit, got["last"]["p"]))
-    return named.where((order < end) | ((order == end) & (F.col("id") <= F.lit(got["last"]["id"]))))
+    return named.where((order < end) | ((order == end) & (F.col("id") <= F.lit(got["last"]["id"])))), got["cut"]
 
 
 def scan_df(files: DataFrame, opts: Options = Options()) -> DataFrame:  # noqa: B008
-    """The manifest of rows (id, relative, size[, head]): kind, language, default_on, oversized.
+    """The manifest of rows (id, relative, size[, head, root_relative]): kind, language, default_on, oversized.
 
     Only rows whose name does not decide the kind are sniffed; they go their own branch, since a
     condition does not keep Spark from evaluating a Python function.
@@ -199,7 +230,7 @@ def scan_df(files: DataFrame, opts: Options = Options()) -> DataFrame:  # noqa:
     else:
         base = base.withColumn("kind", F.coalesce("kind", F.lit("unknown")))
     return (
-        base.where(paths.keep_path("relative", opts.include, opts.exclude, opts.hidden, opts.default_excludes, unpacking=opts.follow_archives))
+        base.where(paths.keep_path("relative", opts.include, opts.exclude, opts.hidden, opts.default_excludes, under_root="root_relative" if "root_relative" in files.columns else None, unpacking=opts.follow_archives))
         .withColumn("language", classify.language("relative", "kind"))
         .withColumn("default_on", classify.default_on("relative", "kind", "size", opts.max_file_size, opts.follow_archives))
         .withColumn("oversized", F.coalesce(F.col("size") > opts.max_file_size, F.lit(False)))

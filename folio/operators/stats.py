@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.text import human_bytes, token_estimate_sum
@@ -35,6 +35,7 @@ def with_summary(stats: DataFrame) -> DataFrame:
     )
 
 
-def warning_lines(total: int, kept: list[Row], shown: int = 10) -> list[str]:
-    lines = [f"warning: {r[0]}" for r in kept[:shown]]
+def warning_lines(total: int, kept: list[str], shown: int = 10) -> list[str]:
+    """The first warnings of a walk and a count of the rest."""
+    lines = [f"warning: {x}" for x in kept[:shown]]
     return lines + ([f"warning: {total - len(lines)} more paths could not be walked"] if total > len(lines) else [])

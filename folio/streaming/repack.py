@@ -2,46 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from folio.incremental import VersionedTable, latest
 from folio.operators.joins import is_settled
-from folio.operators.pack import COLUMNS, pack_df
+from folio.operators.pack import COLUMNS, admitted, pack_df, read_rows
 from folio.options import Options
 
 
-def _may_last(status: Column) -> Column:
-    return F.coalesce(status, F.lit("error")).isin("extracted", "skipped_binary", "too_large", "skipped_archive", "unreadable")
-
-
 def lasting(packed: DataFrame) -> DataFrame:
     """Outcomes that may be cached: errors and changed files are read again next time."""
-    return packed.where(_may_last(F.col("status")))
+    return packed.where(F.coalesce("status", F.lit("error")).isin("extracted", "skipped_binary", "too_large", "skipped_archive", "unreadable"))
 
 
 def repack(spark: SparkSession, files: DataFrame, cache_path: str, opts: Options) -> DataFrame:
-    """Packs files (id, relative, bytes, size, modified), reusing what the cache holds; equal to a
-    fresh pack.  Files modified less than two seconds before the start are not cached."""
-    table = VersionedTable(spark, f"{cache_path.rstrip('/')}/{opts.fingerprint()[:16]}", "id", ["relative", "size", "modified"])
+    """Packs files (id, relative, bytes, size, modified), reusing what the cache holds; the result is
+    that of a fresh pack.
+
+    Filters, selection and budgets are applied to the whole input first, the cache is asked
+    after.  The cache holds one row for each file or archive member, keyed by the file it came from,
+    so no archive is gathered in one row.  Files modified less than two seconds before the start
+    are packed and not cached; rows that repeat an id are packed each for itself and not cached.
+    """
+    table = VersionedTable(spark, f"{cache_path.rstrip('/')}/{opts.fingerprint()[:16]}", "owner", ["path", "size_then", "modified_then"])
     began = F.lit(spark.sql("SELECT current_timestamp()").head()[0])
-    keyed = files.select("id", "relative", "size", "modified")
+    kept = admitted(files.select("id", "relative", "bytes", F.col("size").alias("size_then"), F.col("modified").alias("modified_then")), opts)
+    repeated = kept.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    single = kept.join(repeated, "id", "left_anti").withColumnsRenamed({"id": "owner", "relative": "path"})
 
     def process(changed: DataFrame) -> DataFrame:
-        packed = lasting(pack_df(changed.select("id", "relative", "bytes"), opts)).withColumn("owner", F.split("id", "!")[0])
-        outcome = packed.groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("id", "relative", "kind", "size", "text", "status", "status_limit", "status_detail", "archive_cut"))).alias("outcomes"))
-        settled = changed.where(is_settled("modified", began)).select("id", "relative", "size", "modified")
-        return settled.join(outcome.withColumnRenamed("owner", "id"), "id")
+        settled = changed.where(is_settled("modified_then", began))
+        packed = read_rows(settled.select(F.col("owner").alias("id"), F.col("path").alias("relative"), "bytes"), opts, owner=True)
+        return packed.where("lasting").drop("lasting").join(settled.select("owner", "path", "size_then", "modified_then"), "owner")
 
-    table.run(files, process)
-    state = table.state()
-    assert state is not None
-    hit = keyed.join(state.select("id", "relative", "size", "modified", "outcomes"), ["id", "relative", "size", "modified"], "left")
-    reused = hit.where("outcomes IS NOT NULL").select(F.inline("outcomes"))
-    missing = files.join(hit.where("outcomes IS NULL").select("id"), "id", "left_semi")
-    return reused.unionByName(pack_df(missing.select("id", "relative", "bytes"), opts))
+    table.run(single, process)
+    known = table.rows()
+    assert known is not None
+    newest = latest(known, ["owner"], ["_version"], ["path", "size_then", "modified_then"])
+    versions = known.groupBy("owner").agg(F.max("_version").alias("_version"))
+    hit = single.select("owner", "path", "size_then", "modified_then").join(newest, ["owner", "path", "size_then", "modified_then"], "left_semi").select("owner")
+    reused = known.join(versions, ["owner", "_version"], "left_semi").join(hit, "owner", "left_semi").select(*COLUMNS)
+    missing = kept.join(hit.withColumnRenamed("owner", "id"), "id", "left_anti")
+    return reused.unionByName(read_rows(missing.select("id", "relative", "bytes"), opts))
 
 
 def watch(spark: SparkSession, folder: str, schema: StructType, target: str, checkpoint: str, opts: Options) -> StreamingQuery:
@@ -60,11 +65,9 @@ def watch(spark: SparkSession, folder: str, schema: StructType, target: str, che
 
     def process(changed: DataFrame) -> DataFrame:
         packed = pack_df(changed.select(F.col("owner").alias("id"), F.col("path").alias("relative"), "bytes"), opts, owner=True)
-        outcome = packed.groupBy("owner").agg(F.collect_list(F.struct(*COLUMNS)).alias("outcomes"))
-        joined = changed.select("owner", "path", "digest").join(outcome, "owner", "left")
-        known = F.when(F.forall("outcomes", lambda r: _may_last(r["status"])), F.col("digest")).alias("digest")
-        rows = joined.select("owner", "path", known, F.inline_outer("outcomes"))
-        return rows.withColumns({"id": F.coalesce("id", "owner"), "relative": F.coalesce("relative", "path")})
+        rows = changed.select("owner", "path", "digest").join(packed.withColumnRenamed("owner", "_owner"), F.col("owner") == F.col("_owner"), "left").drop("_owner")
+        known = F.when(F.col("lasting"), F.col("digest"))
+        return rows.withColumns({"digest": known, "id": F.coalesce("id", "owner"), "relative": F.coalesce("relative", "path")}).drop("lasting")
 
     def publish(batch: DataFrame, _number: int) -> None:
         keyed = batch.withColumnsRenamed({"id": "owner", "relative": "path"}).withColumn("digest", F.sha2("bytes", 256))

@@ -9,7 +9,9 @@ import pytest
 
 from folio.incremental import VersionedTable, latest, pending_files
 from folio.options import Options
-from folio.sources.files import labels, open_beneath, rules, ignored, scan, with_bytes
+from folio.operators.pack import pack_df
+from folio.operators.stats import warning_lines
+from folio.sources.files import ignored, labels, open_beneath, read_file, rules, scan, scan_all, warnings, with_bytes
 from folio.streaming.repack import repack, watch, watched
 
 
@@ -29,12 +31,75 @@ def test_walk_ignores_and_labels(spark, tmp_path):
     os.mkfifo(a / "pipe")
     got = scan(spark, Options(roots=(str(a), str(b)))).orderBy("id").collect()
     assert [r["id"] for r in got] == ["0:p/src/_u.txt", "0:p/src/keep.log", "1:q/src/_u.txt"]
-    bytes_ = {r["id"]: bytes(r["bytes"]) for r in with_bytes(scan(spark, Options(roots=(str(a),))), 1).collect()}
-    assert bytes_["keep.log"] == b"ke"
+    rows = {r["id"]: r for r in with_bytes(scan(spark, Options(roots=(str(a),))), 1).collect()}
+    assert rows["keep.log"]["bytes"] is None and rows["keep.log"]["size"] == 8 and bytes(rows["_u.txt"]["bytes"]) == b"u"
     with pytest.raises(ValueError):
         scan(spark, Options(roots=(str(tmp_path / "none"),)))
 
 
+def tree(base, files: dict[str, str]) -> None:
+    for name, body in files.items():
+        (base / name).parent.mkdir(parents=True, exist_ok=True)
+        (base / name).write_text(body)
+
+
+def names(spark, root, **given) -> list[str]:
+    return [r["relative"] for r in scan(spark, Options(roots=(str(root),), **given)).orderBy("relative").collect()]
+
+
+def test_ignore_files_above_and_beside(spark, tmp_path, monkeypatch):
+    tree(tmp_path, {"home/.config/git/ignore": "*.user\n", "repo/.gitignore": "/pkg/a.txt\n*.tmp\n", "repo/.git/info/exclude": "*.ex\n", "repo/.ignore": "!k.tmp\n"})
+    tree(tmp_path / "repo" / "pkg", {"a.txt": "", "b.txt": "", "c.tmp": "", "k.tmp": "", "d.ex": "", "e.user": "", "own/.git/x": "", "own/z.tmp": "", "own/y.ex": ""})
+    monkeypatch.setenv("HOME", str(tmp_path / "home"))
+    monkeypatch.delenv("XDG_CONFIG_HOME", raising=False)
+    assert names(spark, tmp_path / "repo" / "pkg") == ["b.txt", "k.tmp", "own/y.ex", "own/z.tmp"]
+    assert "c.tmp" in names(spark, tmp_path / "repo" / "pkg", gitignore=False)
+    tree(tmp_path / "bare", {".gitignore": "*.tmp\n", ".ignore": "*.no\n", "a.tmp": "", "a.no": ""})
+    assert names(spark, tmp_path / "bare") == ["a.tmp"]  # no repository: only .ignore holds
+
+
+def test_partitions_and_warnings(spark, tmp_path):
+    tree(tmp_path, {f"d{k}/{n}.txt": "x" for k in range(5) for n in "ab"} | {"top.txt": "t"})
+    os.symlink(tmp_path, tmp_path / "d0" / "loop")
+    os.symlink(tmp_path / "nowhere", tmp_path / "d1" / "broken")
+    rows = scan_all(spark, Options(roots=(str(tmp_path),), follow_links=True))
+    assert rows.rdd.getNumPartitions() == 6
+    assert rows.where("warning IS NULL").count() == 11
+    n, kept = warnings(rows, keep=1)
+    assert n == 2 and len(kept) == 1 and "d0/loop" in kept[0]
+    assert warning_lines(n, kept, 1) == [f"warning: {kept[0]}", "warning: 1 more paths could not be walked"]
+
+
+def test_why_a_file_changed(tmp_path):
+    tree(tmp_path, {"f": "abc", "g": "x"})
+    at = lambda name: str(tmp_path / name)
+    assert read_file(at("f"), "f", False, 9) == (b"abc", 3, None) and read_file(at("f"), "f", False, 2) == (None, 3, None)
+    assert read_file(at("none"), "none", False, 9)[2] == "no longer there"
+    os.symlink(at("f"), at("l"))
+    os.mkfifo(at("p"))
+    assert read_file(at("l"), "l", False, 9)[2] == "replaced by a symlink" and read_file(at("f"), "f", True, 9)[2] == "no longer a symlink"
+    assert read_file(at("p"), "p", False, 9)[2] == "no longer a regular file" and read_file(at("l"), "l", True, 9)[0] == b"abc"
+
+
+def test_big_files_keep_their_size(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "big.txt").write_bytes(b"a" * (9 << 20))
+    with zipfile.ZipFile(tmp_path / "r" / "big.zip", "w", zipfile.ZIP_STORED) as z:
+        z.writestr("x.bin", b"b" * (12 << 20))
+    opts = Options(roots=(str(tmp_path / "r"),), follow_archives=True)
+    got = {r["id"]: r for r in pack_df(with_bytes(scan(spark, opts), opts.max_file_size), opts).collect()}
+    assert got["big.txt"]["text"] == f"[too large: {9 << 20} bytes; limit {8 << 20} bytes]"
+    assert got["big.zip"]["status"] == "too_large" and got["big.zip"]["size"] > 12 << 20
+
+
+def test_a_root_archive_is_expanded(spark, tmp_path):
+    (tmp_path / "z.zip").write_bytes(bytes(zipped(a="1")))
+    opts = Options(roots=(str(tmp_path / "z.zip"),))
+    assert [r["text"] for r in pack_df(with_bytes(scan(spark, opts), 1 << 20), opts).collect()] == ["1"]
+    opts = Options(roots=(str(tmp_path),))
+    assert [r["status"] for r in pack_df(with_bytes(scan(spark, opts), 1 << 20), opts).collect()] == ["skipped_archive"]
+
+
 def test_open_beneath_refuses_links(tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "f").write_text("x")
@@ -108,6 +173,58 @@ def test_versions_are_published_once(spark, tmp_path):
         t._publish(number, "data/x")
 
 
+def test_a_key_with_two_versions_is_processed_once(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"), "id", ["v"])
+    src = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), (None, 1)], "id string, v int")
+    seen: list[list] = []
+
+    def process(changed):
+        seen.append(sorted((r["id"] or "", r["v"]) for r in changed.collect()))
+        return changed
+
+    for _ in range(3):
+        t.run(src, process)
+    assert seen[0] == [("", 1), ("a", 2), ("b", 1)] and seen[1] == seen[2] == [("", 1)]
+
+
+def test_order_decides_which_row_is_newest(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"), "id", ["v"], order=["at"])
+    t.run(spark.createDataFrame([("a", 5, 1), ("a", 3, 2)], "id string, v int, at int"), lambda c: c)
+    assert [(r["v"], r["at"]) for r in t.state().collect()] == [(3, 2)]
+    assert t.changed(spark.createDataFrame([("a", 3, 9), ("c", None, 1)], "id string, v int, at int")).select("id").collect() == [("c",)]
+
+
+def test_a_death_while_publishing_leaves_no_marker(spark, tmp_path, monkeypatch):
+    t = VersionedTable(spark, str(tmp_path / "t"), "id", ["v"])
+    src = spark.createDataFrame([("a", 1)], "id string, v int")
+    with monkeypatch.context() as m:
+        m.setattr(os, "link", lambda *_: (_ for _ in ()).throw(OSError("died")))
+        with pytest.raises(OSError):
+            t.run(src, lambda c: c)
+    assert t.published() == [] and t.run(src, lambda c: c) == 1 and t.state().count() == 1
+
+
+def test_compacted_versions_replace_those_before(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"), "id", ["v"])
+    assert t.compact() is None
+    for rows in ([("a", 1), ("b", 1)], [("a", 2)], [("c", 1)]):
+        t.run(spark.createDataFrame(rows, "id string, v int"), lambda c: c)
+    before = sorted(map(tuple, t.state().collect()))
+    assert t.compact() == 4 and len(t.published()) == 1 and sorted(map(tuple, t.state().collect())) == before
+    assert t.changed(spark.createDataFrame([("a", 2), ("b", 2)], "id string, v int")).collect() == [("b", 2)]
+
+
+@pytest.mark.parametrize("given", [{"max_entries": 2}, {"selection": ("a.txt",)}, {"max_total_bytes": 7}, {"include": ("*.txt",)}, {}])
+def test_repack_equals_fresh_under_budgets_and_selection(spark, tmp_path, given):
+    schema = "id string, relative string, bytes binary, size bigint, modified timestamp"
+    files = spark.createDataFrame([(n, n, bytearray(b), len(b), T) for n, b in (("a.txt", b"one"), ("b!b.txt", b"two"), ("c.txt", b"three"), ("z.zip", bytes(zipped(x="1", y="2"))))] + [("d.txt", "d.txt", bytearray(b"new"), 3, None)], schema)
+    opts = Options(follow_archives=True, **given)
+    fresh = sorted(map(str, pack_df(files, opts).collect()))
+    repack(spark, files, str(tmp_path / "cache"), Options(follow_archives=True, include=opts.include)).count()
+    for _ in range(2):
+        assert sorted(map(str, repack(spark, files, str(tmp_path / "cache"), opts).collect())) == fresh
+
+
 def test_repack_equals_fresh(spark, tmp_path):
     schema = "id string, relative string, bytes binary, size bigint, modified timestamp"
     files = spark.createDataFrame([("a", "a.csv", bytearray(b"x\n1\n"), 4, T), ("b", "b.txt", bytearray(b"hi"), 2, T), ("c", "c.pdf", bytearray(b"%PDF-1"), 6, T)], schema)
