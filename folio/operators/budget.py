@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.paths import path_order
-from folio.plans.shared import running
+from folio.plans.shared import ranked, running
 
 
 def apply_budgets(files: DataFrame, max_total_bytes: int = 1 << 30, max_entries: int = 0, max_file_size: int = 8 << 20) -> DataFrame:
@@ -21,8 +21,6 @@ def apply_budgets(files: DataFrame, max_total_bytes: int = 1 << 30, max_entries:
 
 
 def unique_ids(files: DataFrame, order: str) -> DataFrame:
-    """Adds unique_id: the first of equal ids keeps it, the others get '#2', '#3' and so on."""
-    from pyspark.sql.window import Window
-
-    n = F.row_number().over(Window.partitionBy("id").orderBy(order))
-    return files.withColumn("unique_id", F.when(n == 1, F.col("id")).otherwise(F.concat("id", F.lit("#"), n.cast("string"))))
+    """Adds unique_id: the first of equal ids keeps it, the others get '#2', '#3' and so on; null stays null."""
+    n = F.col("_rank")
+    return ranked(files, "id", [F.col(order)], "_rank").withColumn("unique_id", F.when(n == 1, F.col("id")).otherwise(F.concat("id", F.lit("#"), n.cast("string")))).drop("_rank")

@@ -8,10 +8,11 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folio.functions.classify import fence_language
 from folio.functions.text import display_path, fence_width, xml_escape
-from folio.plans.shared import numbered
+from folio.plans.shared import running
 
 RULE = "=" * 48
 
@@ -38,9 +39,22 @@ def dumped(packed: DataFrame) -> DataFrame:
     return packed.where("status IS NULL OR status <> 'skipped_binary'")
 
 
+def in_dump_order(packed: DataFrame) -> DataFrame:
+    """Adds ordinal, the place in the dump (by path, then id, then text).
+
+    Paths and ids alone are ordered; the texts are shuffled once, when they meet their number.
+    """
+    names = packed.groupBy("relative", "id").agg(F.count(F.lit(1)).alias("_n"))
+    places = running(names, [F.col("relative"), F.col("id")], {"_last": F.col("_n")}).select(F.col("relative").alias("_r"), F.col("id").alias("_i"), "_n", "_last")
+    rows = packed.join(places, F.col("relative").eqNullSafe(F.col("_r")) & F.col("id").eqNullSafe(F.col("_i")))
+    inside = F.row_number().over(Window.partitionBy("_r", "_i").orderBy("text"))
+    return rows.withColumn("ordinal", (F.col("_last") - F.col("_n") + inside).cast("bigint")).drop("_r", "_i", "_n", "_last")
+
+
 def sections(packed: DataFrame, fmt: str = "plain", source_mode: bool = False) -> DataFrame:
     """ordinal (dump order), id, section of every shown file."""
-    rows = numbered(dumped(packed).withColumn("text", F.coalesce("text", F.lit(""))), [F.col("relative"), F.col("id")])
+    columns = [c for c in ("id", "relative", "kind", "text") if c in packed.columns]
+    rows = in_dump_order(dumped(packed).select(*columns).withColumn("text", F.coalesce("text", F.lit(""))))
     section = {"plain": plain_section(), "markdown": markdown_section(source_mode=source_mode), "xml": xml_section()}[fmt]
     return rows.select("ordinal", "id", section.alias("section"))
 

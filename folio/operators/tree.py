@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions.text import display_path
 
-MAX_DEPTH = 64
+MAX_DEPTH, SALTS = 64, 16
 
 
 def components(path: str | Column) -> Column:
@@ -21,7 +21,9 @@ def tree_lines(files: DataFrame, path_col: str = "relative") -> DataFrame:
     """One row a line of the map: key (components in order), depth, line.
 
     A path that is also a folder is a folder.  The last sibling is found by a grouped maximum,
-    not a window, so a folder with very many files is combined before the shuffle.
+    not a window, so a folder with very many files is combined before the shuffle.  Only folders are
+    above anything; each is repeated ``SALTS`` times, so that the many nodes below one folder
+    meet it in as many tasks.
     """
     paths = files.select(components(path_col).alias("p"), F.col(path_col).endswith("/").alias("d")).where(F.size("p") > 0)
     nodes = (
@@ -36,7 +38,8 @@ def tree_lines(files: DataFrame, path_col: str = "relative") -> DataFrame:
     marked = nodes.join(last, "parent").select("key", "is_dir", "depth", (F.element_at("key", -1) == F.col("last_name")).alias("is_last"))
     # the bars before a name say which of its ancestors were last
     above = marked.where("depth > 1").select("key", F.explode(F.sequence(F.lit(1), F.col("depth") - 1)).alias("k")).select("key", "k", F.slice("key", F.lit(1), F.col("k")).alias("a"))
-    bars = above.join(marked.select(F.col("key").alias("a"), F.col("is_last").alias("a_last")), "a").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", F.when(F.col("a_last"), "    ").otherwise("│   ").alias("bar")))).alias("bars"))
+    folders = marked.where("is_dir").select(F.col("key").alias("a"), F.col("is_last").alias("a_last"), F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt"))
+    bars = above.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS))).join(folders, ["a", "salt"]).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", F.when(F.col("a_last"), "    ").otherwise("│   ").alias("bar")))).alias("bars"))
     out = marked.join(bars, "key", "left")
     prefix = F.coalesce(F.array_join(F.transform("bars", lambda b: b["bar"]), ""), F.lit(""))
     line = F.concat(prefix, F.when(F.col("is_last"), "└── ").otherwise("├── "), display_path(F.element_at("key", -1)), F.when(F.col("is_dir"), "/").otherwise(""))
