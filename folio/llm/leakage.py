@@ -123,18 +123,31 @@ def item_texts(items: DataFrame, item_id: str, text_col: str, min_words: int, k:
     return rows.mapInPandas(run, f"item_id {items.schema[item_id].dataType.simpleString()}, variant int, words binary, prints array<bigint>, places array<bigint>")
 
 
+_FOLD = 29  # a fingerprint's second bit is named by its bits from here on
+
+
 def bitmap(prints: DataFrame) -> np.ndarray:
-    """One bit for each fingerprint, by its low bits; collected as at most ``MAX_FILTER_BITS`` / 64 rows."""
+    """Two bits for each fingerprint, 256 in all while there is room; collected as at most
+    ``MAX_FILTER_BITS`` / 64 rows."""
     n = prints.count()
-    bits = min(MAX_FILTER_BITS, 1 << max(16, (16 * n - 1).bit_length() if n else 0))
-    place = F.col("print").bitwiseAND(F.lit(bits - 1))
-    cells = prints.groupBy(F.shiftrightunsigned(place, 6).cast("int").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(print & 63L as int))")).alias("mask"))
+    bits = min(MAX_FILTER_BITS, 1 << max(16, (256 * n - 1).bit_length() if n else 0))
+    place = F.explode(F.array(F.col("print").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("print", _FOLD).bitwiseAND(F.lit(bits - 1)))).alias("place")
+    cells = prints.select(place).groupBy(F.shiftrightunsigned("place", 6).cast("int").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63L as int))")).alias("mask"))
     out = np.zeros(bits // 64, np.int64)
     got = cells.toArrow()
     out[got["cell"].to_numpy()] = got["mask"].to_numpy()
     return out.view(np.uint64)
 
 
+def _may_be_known(cells: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Places of the fingerprints whose bits are set."""
+    low = np.uint64(len(cells) * 64 - 1)
+    hit = np.ones(len(f), bool)
+    for place in (f & low, (f >> np.uint64(_FOLD)) & low):
+        hit &= (cells[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return np.flatnonzero(hit)
+
+
 def chains(h: np.ndarray, known: np.ndarray, min_words: int, k: int) -> Iterator[tuple[int, int]]:
     """Borders of the stretches that hold every run shared with an item, from the sorted places
     of a text's known fingerprints."""
@@ -152,7 +165,6 @@ def passages(docs: DataFrame, filled: np.ndarray, doc_id: str, text_col: str, mi
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cells = shared.value
-        low = np.uint64(len(cells) * 64 - 1)
         for pdf in it:
             ids, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
             for begin in range(0, len(texts), 512):
@@ -168,8 +180,7 @@ def passages(docs: DataFrame, filled: np.ndarray, doc_id: str, text_col: str, mi
                 # the texts of a batch are fingerprinted as one array; what crosses a border is dropped
                 h = np.fromiter(map(_hashes.__getitem__, flat), np.uint64, len(flat))
                 f, at = winnow(h, k, min_words - k + 1)
-                place = f & low
-                known = np.flatnonzero(cells[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1))
+                known = _may_be_known(cells, f)
                 edges = np.array(bounds)
                 text_of = np.searchsorted(edges, at[known], "right") - 1
                 inside = at[known] + k <= edges[text_of + 1]
