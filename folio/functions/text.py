@@ -5,6 +5,8 @@ Null text gives null, but counts as 0 in the aggregates built on these.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,6 +63,32 @@ def fence_width(text: str | Column) -> Column:
     return (F.greatest(F.lit(2), F.coalesce(F.array_max(runs), F.lit(0))) + 1).cast("bigint")
 
 
+def report_fence(text: str | Column) -> Column:
+    """The fence around a text in a report."""
+    return F.repeat(F.lit("`"), fence_width(text).cast("int"))
+
+
+def from_base64(text: str | Column) -> Column:
+    """Bytes of a base64 text, white space aside; null if it is none."""
+    return F.try_to_binary(F.regexp_replace(_col(text), r"\s+", ""), F.lit("base64"))
+
+
+def expand_home(path: str, home: str | None = None) -> str:
+    """'~' and '~/...' with the home folder put in; any other path as it is."""
+    home = home if home is not None else os.environ.get("HOME")
+    if home and (path == "~" or path.startswith("~/")):
+        return home if path == "~" else os.path.join(home, path[2:])
+    return path
+
+
+def shorten_home(path: str, home: str | None) -> str:
+    """The reverse, for paths in the home folder, unless that is the root of all."""
+    home = (home or "").rstrip("/")
+    if not home:
+        return path
+    return "~" if path == home else "~" + path[len(home) :] if path.startswith(home + "/") else path
+
+
 def human_bytes(n: str | Column) -> Column:
     """Bytes for a person, one decimal, halves to even."""
     x = _col(n).cast("double")

@@ -156,3 +156,9 @@ def tar_members(data: bytes, max_size: int, budget: Budget, want: Want = _everyt
 
 def members(data: bytes, kind: str, max_size: int, budget: Budget, want: Want = _everything) -> Iterator[Member]:
     return zip_members(data, max_size, budget, want) if kind == "zip" else tar_members(data, max_size, budget, want, kind == "targz")
+
+
+def plain_members(data: bytes, kind: str, max_size: int, budget: Budget | None = None) -> list[tuple[str, bytes]]:
+    """(name, bytes) of the files an archive of kind zip, tar or targz holds, in its order; what is too
+    large or cannot be read is left out."""
+    return [(m.name, m.data) for m in members(data, kind, max_size, budget or Budget()) if m.tag == "file"]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import io
+import os
 import re
+import tempfile
 import zipfile
 import zlib
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,13 +41,50 @@ def safe_name(name: str) -> str:
     return clean or "dump"
 
 
-def zip_parts(named: list[tuple[str, str]]) -> bytes:
-    """A stored zip of the parts."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-        for name, body in named:
-            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), body.encode())
-    return out.getvalue()
+def cut_stream(chunks: Iterator[str], limit: int = LIMIT, slack: int = SLACK) -> Iterator[str]:
+    """The parts of a dump that comes in chunks, by the rule of ``parts``; one part is held at a time."""
+    raw = b""
+    for chunk in chunks:
+        raw += chunk.encode()
+        at = 0
+        while len(raw) - at > limit:
+            end = at + limit
+            line = raw.rfind(b"\n", max(at, end - slack), end)
+            if line >= 0:
+                end = line + 1
+            else:
+                while raw[end] & 0xC0 == 0x80:
+                    end -= 1
+            yield raw[at:end].decode()
+            at = end
+        raw = raw[at:]
+    if raw:
+        yield raw.decode()
+
+
+def zip_parts(target: str, filename: str, chunks: Iterator[str], limit: int = LIMIT, slack: int = SLACK) -> int:
+    """Writes a dump as a stored zip of numbered parts, beside the target and then in its place.
+
+    The numbers need as many digits as there are parts, so the parts wait in a file; returns how many.
+    """
+    with tempfile.TemporaryFile() as spool:
+        sizes = []
+        for part in cut_stream(chunks, limit, slack):
+            raw = part.encode()
+            spool.write(raw)
+            sizes.append(len(raw))
+        spool.seek(0)
+        name = safe_name(filename)
+        temp = f"{target}.part"
+        with zipfile.ZipFile(temp, "w", zipfile.ZIP_STORED) as z:
+            for k, n in enumerate(sizes, 1):
+                raw = spool.read(n)
+                entry = zipfile.ZipInfo(part_name(name, k, len(sizes)), (1980, 1, 1, 0, 0, 0))
+                z.writestr(entry, raw)
+                if z.getinfo(entry.filename).CRC != crc32(raw):
+                    raise OSError(f"{entry.filename} was not written as it is")
+    os.replace(temp, target)
+    return len(sizes)
 
 
 def crc32(data: bytes) -> int:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -12,6 +13,7 @@ from pyspark.sql.window import Window
 
 from folio.functions.classify import fence_language
 from folio.functions.text import display_path, fence_width, xml_escape
+from folio.operators.tree import tree_lines, tree_text
 from folio.plans.shared import running
 
 RULE = "=" * 48
@@ -66,11 +68,33 @@ def tree_block(tree: str, fmt: str) -> str:
     if fmt == "plain":
         return f"Directory structure:\n{tree}"
     if fmt == "markdown":
-        return f"# Directory structure\n\n```\n{tree}```\n"
+        fence = "`" * max(3, 1 + max(map(len, re.findall("`+", tree)), default=0))
+        return f"# Directory structure\n\n{fence}\n{tree}{fence}\n"
     escaped = tree.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
     return f"<document_tree>\n{escaped}\n</document_tree>\n"
 
 
+def directory_map(files: DataFrame, label: str, fmt: str = "plain", path_col: str = "relative") -> str:
+    """The map alone, in a dump's format."""
+    return tree_block(tree_text(tree_lines(files, path_col), label), fmt)
+
+
+def in_chunks(parts: Iterator[str], size: int = 8 << 20) -> Iterator[str]:
+    """A dump in chunks of about ``size`` characters; a long section is handed on in slices."""
+    held: list[str] = []
+    n = 0
+    for part in parts:
+        for a in range(0, len(part), size):
+            piece = part[a : a + size]
+            held.append(piece)
+            n += len(piece)
+            if n >= size:
+                yield "".join(held)
+                held, n = [], 0
+    if held:
+        yield "".join(held)
+
+
 def chunks(packed: DataFrame, fmt: str = "plain", tree: str = "", source_mode: bool = False) -> Iterator[str]:
     """A dump in order, one section at a time; a partition at most is on the driver."""
     head = tree_block(tree, fmt)

@@ -22,6 +22,13 @@ def pack_stats(packed: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def finished(packed: DataFrame, cut: int = 0, cancelled: bool = False) -> DataFrame:
+    """The totals of a whole pack with truncated (budgets, archives or a cancel cut something off) and cancelled."""
+    totals = pack_stats(packed)
+    truncated = packed.agg(F.coalesce(F.bool_or("archive_cut"), F.lit(False)).alias("archive_cut"))
+    return totals.join(truncated).select(*totals.columns, (F.col("archive_cut") | F.lit(cut > 0 or cancelled)).alias("truncated"), F.lit(cancelled).alias("cancelled"))  # a row each
+
+
 def with_summary(stats: DataFrame) -> DataFrame:
     """Adds the summary line of each row of totals."""
     skipped = F.col("files_skipped") - F.col("files_unreadable")
@@ -31,6 +38,7 @@ def with_summary(stats: DataFrame) -> DataFrame:
             F.format_string("packed %d files (", "files_extracted"), human_bytes("bytes_read"), F.format_string(" read, %d chars, ~%d tokens)", "chars_emitted", "tokens_est"),
             F.when(F.col("files_unreadable") > 0, F.format_string(", %d unreadable", "files_unreadable")).otherwise(""),
             F.when(skipped > 0, F.format_string(", %d skipped", skipped)).otherwise(""),
+            *(F.when(F.col(c), F.lit(f", {c}")).otherwise("") for c in ("truncated", "cancelled") if c in stats.columns),
         ),
     )
 

@@ -276,6 +276,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         assert isinstance(partition, _Root)
         single = os.path.isfile(partition.path)
+        named = {os.path.realpath(r) for r in self.roots if os.path.isfile(r)}  # files that are roots themselves
         for f in walk(partition.path, self.opts, partition.only, self.user):
             if f.stat is None:
                 yield (None, None, f.relative, None, partition.index, None, None, None, None, None, None, f.warning)
@@ -284,7 +285,7 @@ class _Reader(DataSourceReader):
             id_ = f"{partition.index}:{shown}" if partition.several else shown
             absolute = partition.path if single else os.path.join(partition.path, f.relative)
             st = f.stat
-            yield (id_, shown, f.relative, absolute, partition.index, st.st_size, st.st_mtime_ns, f.is_link, st.st_dev, st.st_ino, single, None)
+            yield (id_, shown, f.relative, absolute, partition.index, st.st_size, st.st_mtime_ns, f.is_link, st.st_dev, st.st_ino, single or (bool(named) and os.path.realpath(absolute) in named), None)
 
 
 class FolioFiles(DataSource):
