@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import re
 
 # White space as Unicode counts it (the ASCII separators 1C-1F are none).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -36,7 +37,7 @@ def wide_guess(data: bytes) -> str | None:
 
 
 def decode(data: bytes) -> str:
-    """Text of bytes: by mark, by layout, as strict UTF-8, else as a Western code page."""
+    """Text of bytes: by mark, by layout, as strict UTF-8, else by the legacy page they look most like."""
     for mark, name in ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF32_LE, "utf-32-le"), (codecs.BOM_UTF32_BE, "utf-32-be"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be")):
         if data.startswith(mark):
             return data[len(mark) :].decode(name, "replace")
@@ -46,15 +47,53 @@ def decode(data: bytes) -> str:
         return data.decode("utf-8")
     except UnicodeDecodeError:
         pass
-    try:
-        import charset_normalizer
+    return data.decode(legacy_guess(data), "replace")
 
-        best = charset_normalizer.from_bytes(data).best()
-        if best:
-            return str(best)
-    except ImportError:
-        pass
-    return data.decode("cp1252", "replace")
+
+_RUNS = re.compile(rb"[\x80-\xff]+")
+
+
+def legacy_guess(data: bytes) -> str:
+    """The page of text that is no UTF-8, by the runs of its high bytes; the same on every machine.
+
+    Western text has them one at a time between ASCII letters, Cyrillic and other scripts have whole
+    words of them, East Asian text decodes strictly into its everyday characters.
+    """
+    sample = data[: 64 << 10]
+    runs = [len(r) for r in _RUNS.findall(sample)]
+    high = sum(runs)
+    if not runs or high < 3 * len(runs):
+        return "cp1252"
+    best, most = "cp1252", 0.0
+    for name in ("shift_jis", "euc_jp", "gb18030", "euc_kr", "big5"):
+        try:
+            text = sample[: len(sample) - len(sample) % 2].decode(name) if len(data) > len(sample) else sample.decode(name)
+        except UnicodeDecodeError:
+            continue
+        common = sum("\u3041" <= c <= "\u30fe" or "\u4e00" <= c <= "\u9fff" or "\uac00" <= c <= "\ud7a3" for c in text)
+        kana = sum("\u3041" <= c <= "\u30fe" for c in text)
+        if name in ("shift_jis", "euc_jp") and kana * 10 < common:
+            continue  # Japanese is hardly written without
+        score = 2.0 * common / high * (1.05 if kana * 10 >= common else 1.0)
+        if score > max(most, 0.8):
+            best, most = name, score
+    if most and not _cyrillic(sample):
+        return best
+    return _cyrillic(sample) or best
+
+
+def _cyrillic(sample: bytes) -> str | None:
+    """Windows-1251 or KOI8-R, whichever has the commoner letters in lower case; neither if few are letters."""
+    scores = {}
+    for name in ("cp1251", "koi8_r"):
+        text = sample.decode(name, "replace")
+        letters = [c for c in text if "\u0400" <= c <= "\u04ff"]
+        wide = sum(not c.isascii() for c in text) or 1
+        if len(letters) < 0.9 * wide:
+            continue
+        scores[name] = sum(c in "оеаинтсрвлкмдпу" for c in letters) / len(letters)
+    best = max(scores, key=lambda k: scores[k], default=None)
+    return best if best and scores[best] > 0.5 else None
 
 
 def looks_binary(data: bytes) -> bool:

@@ -17,6 +17,9 @@ _MAGIC = (
     (b"\x89PNG\r\n\x1a\n", "a PNG image"), (b"\xff\xd8\xff", "a JPEG image"), (b"GIF87a", "a GIF image"), (b"GIF89a", "a GIF image"), (b"BM", "a BMP image"), (b"%PDF", "a PDF"),
     (b"PK\x03\x04", "a zip archive"), (b"\x1f\x8b", "gzip data"), (b"BZh", "bzip2 data"), (b"\xfd7zXZ\x00", "xz data"), (b"7z\xbc\xaf\x27\x1c", "a 7z archive"), (b"Rar!\x1a\x07", "a RAR archive"),
     (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", "an OLE document"), (b"\x7fELF", "an ELF executable"), (b"MZ", "a Windows executable"), (b"{\\rtf", "an RTF document"), (b"ID3", "an MP3 audio file"), (b"OggS", "an Ogg audio file"), (b"fLaC", "a FLAC audio file"),
+    (b"II*\x00", "a TIFF image"), (b"MM\x00*", "a TIFF image"), (b"\x00\x00\x01\x00", "an icon"), (b"8BPS", "a Photoshop image"), (b"\x28\xb5\x2f\xfd", "zstd data"), (b"\x04\x22\x4d\x18", "LZ4 data"), (b"\x5d\x00\x00", "LZMA data"),
+    (b"\xca\xfe\xba\xbe", "a Java class or Mach-O file"), (b"\xcf\xfa\xed\xfe", "a Mach-O executable"), (b"\x00asm", "a WebAssembly module"), (b"!<arch>\n", "a library archive"), (b"SQLite format 3\x00", "a SQLite database"), (b"PAR1", "a Parquet file"),
+    (b"ARROW1", "an Arrow file"), (b"\x89HDF\r\n\x1a\n", "HDF5 data"), (b"SIMPLE  =", "a FITS file"), (b"wOFF", "a web font"), (b"wOF2", "a web font"), (b"OTTO", "a font"), (b"\x00\x01\x00\x00\x00", "a font"), (b"\x1a\x45\xdf\xa3", "a Matroska video"), (b"FLV\x01", "a Flash video"), (b"MThd", "a MIDI file"), (b"\x93NUMPY", "a NumPy array"),
 )
 
 
@@ -40,11 +43,15 @@ def sniff(head: bytes) -> str | None:
         return "zip"
     if head[257:262] == b"ustar":
         return "tar"
+    if head[:4] == b"RIFF" and head[8:12] in (b"WAVE", b"WEBP", b"AVI ") or head[4:8] == b"ftyp":
+        return "binary"
     low = head[:256].lstrip().lower()
     if low.startswith((b"<!doctype html", b"<html")):
         return "html"
     if low.startswith(b"<?xml"):
         return "xml"
+    if head.startswith(b"\x93NUMPY"):
+        return "npy"
     return "binary" if any(head.startswith(m) for m, _ in _MAGIC) else None
 
 

@@ -135,7 +135,14 @@ def _raw_end(low: str, name: str, at: int) -> int:
 
 
 def html_text(data: bytes) -> str:
-    return strip_tags(decode(data))
+    """A page laid out as text; its tags stripped where it nests too deep for that."""
+    from folio.operators.extract import page as layout
+
+    source = decode(data)
+    try:
+        return layout.render(source)
+    except (layout.TooDeep, RecursionError):
+        return strip_tags(source)
 
 
 _XML_BREAKS = frozenset("p para div br tr li h1 h2 h3 h4 h5 h6".split())

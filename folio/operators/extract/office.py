@@ -13,6 +13,7 @@ from xml.parsers import expat
 from folio.operators.extract.common import WHITE, Unreadable
 from folio.operators.extract.markup import html_text
 
+MAX_CELLS = 5_000_000
 MAX_MEMBER, MAX_SLIDES, MAX_CHAPTERS, MAX_COLUMNS = 32 << 20, 200, 500, 24
 MAX_SPACES, MAX_ALL_SPACES = 256, 64 << 10
 
@@ -219,35 +220,59 @@ def xlsx_text(data: bytes) -> str:
 
 
 def ods_text(data: bytes) -> str:
-    """Tables of an OpenDocument sheet; without tables its paragraphs."""
+    """Tables of an OpenDocument sheet; without tables its paragraphs.
+
+    Repeated cells and rows are written out; those without text only if text follows them.  A
+    sheet may come to ``MAX_CELLS`` cells.
+    """
     tables: list[tuple[str, list[list[str]]]] = []
     cell: list[str] = []
-    st = {"repeat": 1, "in": False}
+    st = {"repeat": 1, "in": False, "rows": 1, "cells": 0, "blank_rows": 0, "blank_cells": 0}
+
+    def spent(n: int) -> None:
+        st["cells"] += n
+        if st["cells"] > MAX_CELLS:
+            raise Unreadable(f"the sheets have more than {MAX_CELLS} cells")
 
     def start(n: str, a: dict[str, str]) -> None:
         at = {k.rsplit(":", 1)[-1]: v for k, v in a.items()}
         if n == "table":
             tables.append((at.get("name", ""), []))
+            st["blank_rows"] = 0
         elif n == "table-row" and tables:
             tables[-1][1].append([])
+            st["rows"] = int(at.get("number-rows-repeated", "1") or 1)
+            st["blank_cells"] = 0
         elif n in ("table-cell", "covered-table-cell"):
             cell.clear()
-            st["repeat"] = min(int(at.get("number-columns-repeated", "1") or 1), 1024)
+            st["repeat"] = int(at.get("number-columns-repeated", "1") or 1)
             st["in"] = True
 
     def end(n: str) -> None:
         if n in ("table-cell", "covered-table-cell") and tables and tables[-1][1]:
-            tables[-1][1][-1] += ["".join(cell)] * st["repeat"]
+            row, text = tables[-1][1][-1], "".join(cell)
+            if text:
+                spent(st["blank_cells"] + st["repeat"])
+                row += [""] * st["blank_cells"] + [text] * st["repeat"]
+                st["blank_cells"] = 0
+            else:
+                st["blank_cells"] += st["repeat"]
             st["in"] = False
+        elif n == "table-row" and tables and tables[-1][1]:
+            rows = tables[-1][1]
+            row = rows.pop()
+            if row:
+                spent(st["blank_rows"] + (st["rows"] - 1) * len(row))
+                rows += [[] for _ in range(st["blank_rows"])] + [row] * st["rows"]
+                st["blank_rows"] = 0
+            else:
+                st["blank_rows"] += st["rows"]
 
     walk_xml(_member(_open(data), "content.xml"), start, end, lambda s: cell.append(s) if st["in"] else None)
     if not tables:
         return opendocument_text(data)
     out = []
     for name, rows in tables:
-        rows = [r[: max((k + 1 for k, c in enumerate(r) if c), default=0)] for r in rows]
-        while rows and not rows[-1]:
-            rows.pop()
         out.append(f"## {name}\n" + _sheet(rows))
     return "\n".join(out).strip(WHITE)
 
@@ -283,4 +308,4 @@ def epub_text(data: bytes) -> str:
     chapters = [c for c in chapters if c in names] or sorted(n for n in names if n.lower().endswith((".html", ".htm", ".xhtml")))
     if not chapters:
         raise Unreadable("no chapters")
-    return "\n\n".join(f"# {c}\n{html_text(_member(book, c))}" for c in chapters[:MAX_CHAPTERS]).strip(WHITE)
+    return "\n\n".join(f"# {c}\n{html_text(_member(book, c)).strip(WHITE)}" for c in chapters[:MAX_CHAPTERS]).strip(WHITE)

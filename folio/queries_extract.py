@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import text
 from folio.operators import parts
+from folio.operators.extract import markup
 from folio.operators.extract.dispatch import extract
 from folio.operators.pack import pack_df, scan_df
 from folio.options import Options
@@ -53,8 +54,15 @@ def _bytes(c: Column) -> Column:
 
 @query(f"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[{WS}]+', ' ', 'g'), '^ | $', '', 'g')) AS text_md5 FROM documents")
 def html_strip(spark: SparkSession, sf: str) -> DataFrame:
+    """The tag stripper, which reads what is not laid out."""
+
+    @F.pandas_udf("string")
+    def stripped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda t: markup.strip_tags(t) if t is not None else None)
+
     page = F.concat(F.lit("<!doctype html><html><head><style>p { x }</style></head><body><script>'</p>'</script><!-- <p>no</p> --><div><p>"), text.xml_escape("text"), F.lit("</p></div></body></html>"))
-    return _read(spark, sf, "documents").select("doc_id", F.md5(extracted(_bytes(page), "html")).alias("text_md5"))
+    return _read(spark, sf, "documents").select("doc_id", F.md5(stripped(page)).alias("text_md5"))
 
 
 @query(f"SELECT doc_id, md5(regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^[{WS}]+|[{WS}]+$', '', 'g')) AS text_md5 FROM documents")
