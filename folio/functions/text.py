@@ -124,7 +124,7 @@ def is_unsafe_member(name: str | Column) -> Column:
 def cap_utf8(text: str | Column, limit: int = 32_768) -> Column:
     """The longest prefix of whole characters within ``limit`` bytes."""
     raw = F.decode(F.encode(_col(text), "UTF-8"), "ISO-8859-1")
-    cut = F.regexp_replace(F.substring(raw, 1, limit + 1), r"(?s).[\x80-\xBF]*$", "")
+    cut = F.regexp_replace(F.substring(raw, 1, limit + 1), r"(?s).[\x80-\xBF]*\z", "")
     return F.when(F.octet_length(_col(text)) <= limit, _col(text)).otherwise(F.decode(F.encode(cut, "ISO-8859-1"), "UTF-8"))
 
 

@@ -24,6 +24,7 @@ _FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u"
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SCOPE = frozenset("html table td th caption template button object marquee applet".split())
 _TABLE_PARTS = {"tr": ("tr", "td", "th", "caption", "colgroup"), "td": ("td", "th", "caption"), "th": ("td", "th", "caption"), "tbody": ("tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"), "thead": ("tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"), "tfoot": ("tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup")}
+_CELLS = frozenset("table tbody thead tfoot tr td th caption".split())
 _UNSEEN = frozenset("head link meta hr script style template iframe noembed noframes title".split())
 _LINE_BLOCKS = _CLOSES_P - _HEADINGS - frozenset("p ul ol dl pre blockquote table".split()) | frozenset(("html", "body", "fieldset", "legend", "option", "tr", "caption"))
 _MARKS = {"em": "*", "i": "*", "ins": "*", "strong": "**", "b": "**", "code": "`"}
@@ -142,7 +143,8 @@ class Builder:
                 return
             del self.stack[at:]
             return
-        if self.in_scope(names, _SCOPE - set(names)):
+        stop = frozenset(("html", "table", "template")) if tag in _CELLS else _SCOPE
+        if self.in_scope(names, stop - set(names)):
             self.pop_through(names)
 
     def _without_last(self, tag: str) -> list[Node]:

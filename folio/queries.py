@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio import incremental, queries_extract
+from folio import incremental, queries_extract, queries_more
 from folio.functions import classify, paths, tables, text
 from folio.operators import budget, joins, render, stats, tree
 from folio.plans.shared import numbered
@@ -188,14 +188,8 @@ def skip_set_anti(spark: SparkSession, sf: str) -> DataFrame:
     return paths.skip_files(now, w.where("scan_no = 1")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT CASE WHEN min(split_part(relative, '/', 1)) = max(split_part(relative, '/', 1)) AND min(length(relative) - length(replace(relative, '/', ''))) > 0 THEN min(split_part(relative, '/', 1)) END AS root FROM manifest_entries WHERE root_id = 'r0007'")
-def grant_root(spark: SparkSession, sf: str) -> DataFrame:
-    return joins.shared_root(_read(spark, sf, "manifest_entries").where("root_id = 'r0007'"))
-
-
 @query("SELECT root_id, CASE WHEN min(split_part(relative, '/', 1)) = max(split_part(relative, '/', 1)) AND min(length(relative) - length(replace(relative, '/', ''))) > 0 THEN min(split_part(relative, '/', 1)) END AS root FROM manifest_entries GROUP BY root_id")
 def grant_roots(spark: SparkSession, sf: str) -> DataFrame:
-    """grant_root for every project."""
     return joins.shared_root(_read(spark, sf, "manifest_entries"), by=["root_id"])
 
 
@@ -246,16 +240,11 @@ def default_selected(spark: SparkSession, sf: str) -> DataFrame:
     return _manifest(spark, sf).select("id", classify.default_selected("relative", "kind").alias("selected"), classify.default_on("relative", "kind", "size", 8 << 20).alias("ticked"))
 
 
-@query(f"WITH {_P} SELECT id, (length(h) - length(regexp_replace(h, '[\\x00-\\x08\\x0E-\\x1A\\x1C-\\x1F]', '', 'g'))) * 32 > length(h) AS binary_like FROM (SELECT id, left(regexp_replace(text, '[^\\x00-\\x7F]', '??', 'g'), 100000) AS h FROM p WHERE strlen(text) <= 8192 AND strlen(text) > 0)")
-def looks_binary(spark: SparkSession, sf: str) -> DataFrame:
-    return _packed(spark, sf).where("octet_length(text) BETWEEN 1 AND 8192").select("id", classify.looks_binary(F.encode("text", "UTF-8")).alias("binary_like"))
-
-
 # byte by byte in hexadecimal, so the cut at byte 8192 is exact for every text
 @query(f"""WITH {_P}, b AS (SELECT id, regexp_replace(left(hex(encode(text)), 16384), '(..)', '\\1 ', 'g') AS h FROM p)
 SELECT id, coalesce((length(h) - length(regexp_replace(h, '(0[0-8EF]|1[0-9AC-F]) ', '', 'g'))) * 32 > length(h), false) AS binary_like FROM b""")
 def looks_binary_all(spark: SparkSession, sf: str) -> DataFrame:
-    """looks_binary for every packed record: texts of any length, empty and null ones too."""
+    """Every packed record: texts of any length, empty and null ones too."""
     return _packed(spark, sf).select("id", classify.looks_binary(F.encode("text", "UTF-8")).alias("binary_like"))
 
 
@@ -380,8 +369,8 @@ def tree_lines(spark: SparkSession, sf: str) -> DataFrame:
     return tree.tree_lines(_manifest(spark, sf)).select(F.array_join("key", "/").alias("path"), "depth", "line")
 
 
-QUERIES |= queries_extract.QUERIES
-SQL |= queries_extract.SQL
+QUERIES |= queries_extract.QUERIES | queries_more.QUERIES
+SQL |= queries_extract.SQL | queries_more.SQL
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -50,6 +50,7 @@ LAID_OUT = [
     ("<p><b>x<p>y</b> z", "**x**\n\n**y** z\n"),
     ("<head><title>no</title></head><body>a<br>b<hr><img alt='pic'><script>1</script></body>", "a\nb[pic]\n"),
     ("<dl><dt>k<dd>v</dl>", "*k*\n  v\n"),
+    ("<table><tr><td>1</table>after<p>x", "─\n1\n─\n\nafter\n\nx\n"),
     ("a < b &amp; c", "a < b & c\n"), ("", ""),
 ]
 

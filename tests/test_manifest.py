@@ -170,6 +170,7 @@ def test_parts_of_a_stream(spark, tmp_path):
 
 
 def test_small_ones(spark):
+    assert spark.createDataFrame([("abc\ndef",)], "t string").select(text.cap_utf8("t", 3)).head()[0] == "abc"
     row = spark.createDataFrame([("a ``` b", "aGk=\n", "!")], "t string, b string, x string").select(text.report_fence("t"), text.from_base64("b"), text.from_base64("x")).head()
     assert row[0] == "````" and bytes(row[1]) == b"hi" and row[2] is None
     assert text.expand_home("~/x", "/h") == "/h/x" and text.expand_home("~", "/h") == "/h" and text.expand_home("a~", "/h") == "a~"
