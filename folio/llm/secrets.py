@@ -52,6 +52,7 @@ _GRAMMAR: list[tuple[str, str, bool]] = [
     ("header", r"authorization\"?'?\]? ?[:=,] ?[\"'`]?(basic|bearer|token|apikey) ", True),
     ("command", _B + r"(sshpass|docker login|mysql|mysqldump|curl|wget|psql|login) ", True),
     ("assign", rf"({_WORDS})[^a-z0-9]", True),
+    ("pass_line", r":[0-9*]+:", False),
 ]
 
 
@@ -84,6 +85,10 @@ _FIRST_CELL = re.compile(r"\s*\"?")
 _CODE_VALUE = re.compile(r"^[A-Za-z_][\w.]*[\[(]|^[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+$|^&|^\*\w|^function|^lambda|^new$")
 
 
+# single words that settings about credentials have for values
+_NO_SECRETS = frozenset("disabled enabled inherit prompt string boolean number object username unknown internal external private public hashed plain plaintext encrypted rotated expired manual automatic bcrypt argon scrypt pbkdf keychain keyring vault stdin interactive session cookie header oauth openid bearer digest static dynamic".split())
+
+
 def _placeholder(value: str) -> bool:
     bare = value.strip("\"'`")
     return bool(_PLACEHOLDER.match(bare)) or len(set(bare)) <= 2 or "EXAMPLE" in bare or "${" in bare or "{{" in bare
@@ -115,7 +120,7 @@ def _usable(value: str, quoted: bool, name: str) -> bool:
     if any(c.isspace() for c in value):
         return False
     if quoted:
-        return not re.fullmatch(r"[a-z]+(?:[-_. ][a-z]+)*|[A-Z]+(?:[_ ][A-Z]+)*|[A-Z]?[a-z]+|\d{1,5}|[\d.]+", value)
+        return not re.fullmatch(r"[a-z]+(?:[-_. ][a-z]+)+|[A-Z]+(?:[_ ][A-Z]+)+|\d{1,5}|[\d.]+", value) and value.lower() not in _NO_SECRETS
     if _CODE_VALUE.match(value):
         return False
     return _random_like(value) and not re.fullmatch(r"[\d.,]+|[A-Z][a-z]+|[A-Z]+(?:_[A-Z0-9]+)+|[a-z]+(?:[A-Z][a-z]+)+", value)
@@ -307,10 +312,13 @@ def _resolve(kind: str, text: str, at: int, relative: str, known: tuple[int, int
                 if len(value) >= 5 and not _placeholder(value) and not value.startswith("$"):
                     return *spans[k], "command"
         return None
+    if kind == "pass_line":  # host:port:database:user:password, in the files that are made of such lines
+        m = _PASSWORD_LINE.match(text, _line(text, at - 1)[0]) if "pgpass" in relative.rsplit("/", 1)[-1] else None
+        return (*m.span(1), "password_file") if m and len(m[1]) >= 4 and not _placeholder(m[1]) else None
     return _assign(text, at, known)
 
 
-_PASSWORD_FILE = re.compile(r"(?m)^[^\s:#]+:[\d*]+:[^\s:]+:[^\s:]+:(\S+)")
+_PASSWORD_LINE = re.compile(r"[^\s:#]+:[\d*]+:[^\s:]+:[^\s:]+:(\S+)")
 
 
 @lru_cache(maxsize=64)
@@ -345,11 +353,6 @@ def find_in_texts(texts: list[str | None], relatives: list[str | None]) -> list[
                     raw[k].setdefault(got[:2], got[2])
             mask >>= 1
             bit += 1
-    for k, rel in enumerate(relatives):
-        if rel and texts[k] and "pgpass" in rel.rsplit("/", 1)[-1]:  # host:port:database:user:password
-            for m in _PASSWORD_FILE.finditer(texts[k]):
-                if len(m[1]) >= 4 and not _placeholder(m[1]):
-                    raw[k][m.span(1)] = "password_file"
     out = []
     for spans in raw:
         merged: list[list] = []

@@ -110,3 +110,18 @@ def test_tables(spark):
     out = {r["id"]: r for r in scan(df).collect()}
     assert out["d"]["masked"] == "ok\nпароль; password='[ASSIGNED_SECRET]'"
     assert scan(df.where("false")).count() == 0
+
+
+def test_plain_words_in_quotes_are_secrets_where_a_name_says_so():
+    for line, value in (('dbPassword: "correcthorse"', "correcthorse"), ('password="sunshine"', "sunshine"), ("token = 'QWERTYUIOP'", "QWERTYUIOP")):
+        (spans,) = find_in_texts([line], ["a.yml"])
+        assert [line[a:b] for a, b, _ in spans] == [value], line
+    for line in ('password_policy: "disabled"', 'password = "plaintext"', 'secret: "use-the-vault"', 'token: "MY_TOKEN"'):
+        assert find_in_texts([line], ["a.yml"]) == [[]], line
+
+
+def test_password_files():
+    text = "# host\ndb.example:5432:app:svc:s3cr-tpw\r\n*:*:x:y:z9q8\nno line"
+    (spans,) = find_in_texts([text], ["home/.pgpass"])
+    assert [text[a:b] for a, b, _ in spans] == ["s3cr-tpw", "z9q8"]
+    assert find_in_texts([text], ["home/notes.txt"]) == [[]]
