@@ -5,11 +5,13 @@ from __future__ import annotations
 import io
 import posixpath
 import re
+import struct
 import zipfile
 from collections.abc import Callable
 from urllib.parse import unquote
 from xml.parsers import expat
 
+from folio.operators.extract import workbook
 from folio.operators.extract.common import WHITE, Unreadable
 from folio.operators.extract.markup import html_text
 
@@ -150,6 +152,8 @@ def xlsx_text(data: bytes) -> str:
     names = {i.filename.replace("\\", "/") for i in book.infolist()}
     if "content.xml" in names:
         return ods_text(data)
+    if "xl/workbook.bin" in names:
+        return _xlsb(book, names)
     if "xl/workbook.xml" not in names:
         raise Unreadable("no workbook")
     shared: list[str] = []
@@ -210,12 +214,33 @@ def xlsx_text(data: bytes) -> str:
                 grid[st["row"], st["col"]] = raw
 
         walk_xml(_member(book, path), c_start, c_end, lambda s, st=st, buf=buf: buf.append(s) if st["on"] else None)
-        rows: list[list[str]] = []
-        if grid:
-            r0, c0 = min(r for r, _ in grid), min(c for _, c in grid)
-            r1, c1 = max(r for r, _ in grid), max(c for _, c in grid)
-            rows = [[grid.get((r, c), "") for c in range(c0, c1 + 1)] for r in range(r0, r1 + 1)]
-        out.append(f"## {title}\n" + _sheet(rows))
+        out.append(f"## {title}\n" + _sheet(_filled(grid)))
+    return "\n".join(out).strip(WHITE)
+
+
+def _filled(grid: dict[tuple[int, int], str]) -> list[list[str]]:
+    """The rows of the smallest range that holds all cells."""
+    if not grid:
+        return []
+    r0, c0 = min(r for r, _ in grid), min(c for _, c in grid)
+    r1, c1 = max(r for r, _ in grid), max(c for _, c in grid)
+    if (r1 - r0 + 1) * (c1 - c0 + 1) > MAX_CELLS:
+        raise Unreadable(f"the sheets have more than {MAX_CELLS} cells")
+    return [[grid.get((r, c), "") for c in range(c0, c1 + 1)] for r in range(r0, r1 + 1)]
+
+
+def _xlsb(book: zipfile.ZipFile, names: set[str]) -> str:
+    """Sheets of a workbook of binary parts."""
+    shared = workbook.xlsb_strings(_member(book, "xl/sharedStrings.bin")) if "xl/sharedStrings.bin" in names else []
+    rels: dict[str, str] = {}
+    if "xl/_rels/workbook.bin.rels" in names:
+        walk_xml(_member(book, "xl/_rels/workbook.bin.rels"), lambda n, a: rels.update({a.get("Id", ""): a.get("Target", "")}) if n == "Relationship" else None, lambda n: None, lambda s: None)
+    out = []
+    for k, (title, rid) in enumerate(workbook.xlsb_names(_member(book, "xl/workbook.bin"))):
+        target = rels.get(rid, f"worksheets/sheet{k + 1}.bin")
+        path = target.lstrip("/") if target.startswith("/") else posixpath.normpath("xl/" + target)
+        if path in names:
+            out.append(f"## {title}\n" + _sheet(_filled(workbook.xlsb_cells(_member(book, path), shared))))
     return "\n".join(out).strip(WHITE)
 
 
@@ -279,7 +304,10 @@ def ods_text(data: bytes) -> str:
 
 def sheet_text(data: bytes) -> str:
     if data.startswith(b"\xd0\xcf\x11\xe0"):
-        raise Unreadable("binary workbooks are not supported")
+        try:
+            return "\n".join(f"## {title}\n" + _sheet(_filled(grid)) for title, grid in workbook.xls_sheets(data)).strip(WHITE)
+        except (struct.error, IndexError) as e:
+            raise Unreadable(f"the workbook is damaged: {e}") from None
     return xlsx_text(data)
 
 
