@@ -118,7 +118,28 @@ def _write(out: Output, parts: Iterator[str]) -> None:
         pass
 
 
+def ui(argv: list[str]) -> int:
+    """python -m folio ui [--port N]: serves the HTTP layer until it is interrupted."""
+    from folio.serve import serve
+
+    p = argparse.ArgumentParser(prog="folio ui", description="Serve scans and packs on this machine.")
+    p.add_argument("--port", type=int, default=0)
+    a = p.parse_args(argv)
+    spark = SparkSession.builder.master("local[*]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    spark.sparkContext.setLogLevel("ERROR")
+    server, session = serve(spark, a.port)
+    print(f"http://127.0.0.1:{server.server_address[1]} (X-Folio-Secret: {session.secret})", file=sys.stderr)
+    try:
+        server.serve_forever()
+    except KeyboardInterrupt:
+        server.shutdown()
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
+    argv = sys.argv[1:] if argv is None else argv
+    if argv[:1] == ["ui"] and not os.path.exists("ui"):
+        return ui(argv[1:])
     a = parser().parse_args(argv)
     began = time.time()
     fmt = {"txt": "plain", "md": "markdown"}.get(a.format, a.format)

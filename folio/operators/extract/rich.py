@@ -13,7 +13,7 @@ MAX_DEPTH = 1024
 # Destinations whose text is no part of the document.
 _SKIPPED = frozenset(
     """fonttbl colortbl stylesheet listtable listoverridetable rsidtbl generator info pict object objdata themedata colorschememapping latentstyles
-datastore xmlnstbl filetbl revtbl header headerl headerr headerf footer footerl footerr footerf ftnsep ftnsepc aftnsep aftnsepc pntext pntxta pntxtb
+datastore xmlnstbl filetbl revtbl header headerl headerr headerf footer footerl footerr footerf ftnsep ftnsepc aftnsep aftnsepc pntxta pntxtb
 bkmkstart bkmkend fldinst nonshppict shpinst sp mmathPr wgrffmtfilter template passwordhash""".split()
 )
 _WORDS = {"par": "\n", "line": "\n", "sect": "\n", "page": "\n", "row": "\n", "nestrow": "\n", "tab": "\t", "cell": "\t", "nestcell": "\t", "emdash": "—", "endash": "–", "bullet": "•", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”", "emspace": " ", "enspace": " ", "qmspace": " "}
@@ -23,6 +23,8 @@ _RTF = re.compile(rb"\\([a-zA-Z]{1,32})(-?\d{1,10})? ?|\\'([0-9a-fA-F]{2})|\\([^
 
 
 def _page(number: int) -> str:
+    if number == -2:  # pictures for letters
+        return "symbol"
     name = {10000: "mac_roman", 65001: "utf-8"}.get(number, f"cp{number}")
     try:
         return codecs.lookup(name).name
@@ -37,7 +39,7 @@ def rtf_text(data: bytes) -> str:
     out: list[str] = []
     notes: list[str] = []
     fonts: dict[int, int] = {}
-    state = {"skip": False, "uc": 1, "page": "cp1252", "note": None, "dest": None, "font": 0}
+    state = {"skip": False, "uc": 1, "page": "cp1252", "note": None, "marker": False, "dest": None, "font": 0}
     stack: list[dict] = []
     default, pending, fresh, drop, star = "cp1252", bytearray(), False, 0, False
     buffers: list[list[str]] = [out]
@@ -45,7 +47,8 @@ def rtf_text(data: bytes) -> str:
     def flush() -> None:
         if pending:
             if not state["skip"]:
-                buffers[-1].append(bytes(pending).decode(state["page"], "replace"))
+                symbols = "•" * len(pending) if state["marker"] else ""
+                buffers[-1].append(symbols if state["page"] == "symbol" else bytes(pending).decode(state["page"], "replace"))
             pending.clear()
 
     at = 0
@@ -65,6 +68,10 @@ def rtf_text(data: bytes) -> str:
                 break
             closed = state
             state = stack.pop()
+            if closed["marker"] and not state["marker"]:  # a list item's number or bullet, as words and a blank
+                words = "".join(buffers.pop()).split()
+                if words and not state["skip"]:
+                    buffers[-1].append(" ".join(words) + " ")
             if closed["note"] is not None and state["note"] is None:
                 body = "".join(buffers.pop()).strip()
                 notes.append(f"[{closed['note']}] {body}")
@@ -81,6 +88,10 @@ def rtf_text(data: bytes) -> str:
                 if name == "fonttbl":
                     state["dest"] = "fonts"
                 state["skip"] = True
+            elif fresh and name in ("listtext", "pntext"):
+                flush()
+                state["marker"] = True
+                buffers.append([])
             elif name == "footnote":
                 flush()
                 state["note"] = len(notes) + 1 + sum(1 for b in buffers[1:])
@@ -92,7 +103,7 @@ def rtf_text(data: bytes) -> str:
                 if state["dest"] != "fonts" and n in fonts:
                     state["page"] = _page(fonts[n])
             elif name == "fcharset" and n is not None and state["dest"] == "fonts":
-                fonts[state["font"]] = _CHARSETS.get(n, 1252)
+                fonts[state["font"]] = -2 if n == 2 else _CHARSETS.get(n, 1252)
             elif name == "ansicpg" and n:
                 flush()
                 default = state["page"] = _page(n)

@@ -80,6 +80,11 @@ def test_legacy_pages_are_guessed_alike_everywhere():
         assert common.decode(text.encode(name)) == text, name
 
 
+def test_list_markers_come_as_words():
+    rtf = rb"{\rtf1\ansi{\fonttbl{\f0\fcharset0 A;}{\f1\fcharset2 Symbol;}}\f0 Pick:\par {\listtext\f0 1.\tab}early plums\par {\listtext\f1\'b7\tab}\f0 late plums\par {\pntext\f0 b)\tab}{\*\pn x}\f0 pears\par}"
+    assert rich.rtf_text(rtf) == "Pick:\n1. early plums\n• late plums\nb) pears"
+
+
 def test_raw_bytes_and_long_streams():
     assert rich.rtf_text(b"{\\rtf1 a\\bin5 {}}\\xb\\par}") == "ab"
     big = zlib.compress(b" " * ((32 << 20) + 9))
