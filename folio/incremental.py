@@ -155,8 +155,16 @@ class VersionedTable:
                 os.unlink(local)
             return
         stream = fs.create(temp, False)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        fs_package = self._jvm.org.apache.hadoop.fs
-        options = self.spark.sparkContext._gateway.new_array(getattr(fs_package, "Options$Rename"), 0)
-        fs_package.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(temp, fs_package.Path(name), options)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        self._rename(fs, hidden, name)
+
+    def _rename(self, fs, old: str, new: str) -> None:  # noqa: ANN001
+        """Fails if the new name is taken; atomic where the file system's rename is."""
+        hadoop = self._jvm.org.apache.hadoop.fs
+        keep = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        keep[0] = getattr(hadoop, "Options$Rename").NONE
+        context = hadoop.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(hadoop.Path(old), hadoop.Path(new), keep)

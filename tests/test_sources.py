@@ -204,6 +204,17 @@ def test_a_death_while_publishing_leaves_no_marker(spark, tmp_path, monkeypatch)
     assert t.published() == [] and t.run(src, lambda c: c) == 1 and t.state().count() == 1
 
 
+def test_a_rename_never_replaces(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path), "id", ["v"])
+    tree(tmp_path, {"a": "1", "b": "2", "c": "3"})
+    fs, _ = t._fs(f"file://{tmp_path}/a")
+    t._rename(fs, f"file://{tmp_path}/a", f"file://{tmp_path}/d")
+    assert (tmp_path / "d").read_text() == "1" and not (tmp_path / "a").exists()
+    with pytest.raises(Exception, match="exist"):
+        t._rename(fs, f"file://{tmp_path}/b", f"file://{tmp_path}/c")
+    assert (tmp_path / "c").read_text() == "3"
+
+
 def test_compacted_versions_replace_those_before(spark, tmp_path):
     t = VersionedTable(spark, str(tmp_path / "t"), "id", ["v"])
     assert t.compact() is None
