@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import tarfile
 import uuid
 import zipfile
@@ -15,11 +16,13 @@ from pyspark.sql import functions as F
 
 from folio import incremental
 from folio.functions import classify, tables, text
+from folio.functions import paths as predicates
 from folio.operators import archive, joins, manifest, pack, stats
 from folio.operators.extract import markup
 from folio.operators.extract.dispatch import extract
 from folio.options import Options
 from folio.plans.shared import materialized
+from folio.sources import files
 from folio.streaming.repack import repack
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -249,8 +252,8 @@ def tar_expand(spark: SparkSession, sf: str) -> DataFrame:
         return s.map(_tar)
 
     name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
-    files = _read(spark, sf, "documents").select(name.alias("id"), F.concat(F.lit("x/"), name, F.lit(".tar.gz")).alias("relative"), packed("text").alias("bytes"))
-    return pack.pack_df(files, Options(follow_archives=True, max_total_bytes=1 << 62)).select("id", F.md5("text").alias("text_md5"), "status")
+    tars = _read(spark, sf, "documents").select(name.alias("id"), F.concat(F.lit("x/"), name, F.lit(".tar.gz")).alias("relative"), packed("text").alias("bytes"))
+    return pack.pack_df(tars, Options(follow_archives=True, max_total_bytes=1 << 62)).select("id", F.md5("text").alias("text_md5"), "status")
 
 
 @query("""WITH s AS (SELECT doc_id, strlen(text) AS n FROM documents), a AS (SELECT *, n <= 6000 AS a FROM s), b AS (SELECT *, CASE WHEN a THEN 6000 - n ELSE 6000 END AS l FROM a),
@@ -466,10 +469,10 @@ def repack_equals_fresh(spark: SparkSession, sf: str) -> DataFrame:
     """A first pack of half the documents fills the cache; the second pack of all of them uses it."""
     name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
     raw = F.encode("text", "UTF-8")
-    files = _read(spark, sf, "documents").select("doc_id", name.alias("id"), F.concat(F.lit("x/"), name, F.lit(".txt")).alias("relative"), raw.alias("bytes"), F.octet_length("text").cast("bigint").alias("size"), F.expr("TIMESTAMP '2024-01-01 00:00:00'").alias("modified"))
+    docs = _read(spark, sf, "documents").select("doc_id", name.alias("id"), F.concat(F.lit("x/"), name, F.lit(".txt")).alias("relative"), raw.alias("bytes"), F.octet_length("text").cast("bigint").alias("size"), F.expr("TIMESTAMP '2024-01-01 00:00:00'").alias("modified"))
     cache, opts = _shared_folder(spark), Options(max_total_bytes=1 << 62)
-    repack(spark, files.where("doc_id % 2 = 0"), cache, opts).agg(F.count(F.lit(1))).collect()
-    return repack(spark, files, cache, opts).select("id", F.md5("text").alias("text_md5"), "status")
+    repack(spark, docs.where("doc_id % 2 = 0"), cache, opts).agg(F.count(F.lit(1))).collect()
+    return repack(spark, docs, cache, opts).select("id", F.md5("text").alias("text_md5"), "status")
 
 
 @query(f"WITH {_M}, k AS (SELECT *, row_number() OVER (ORDER BY string_split(relative, '/'), id) AS n FROM m) SELECT id, kind FROM k WHERE n <= 900")
@@ -478,3 +481,73 @@ def admitted_scan(spark: SparkSession, sf: str) -> DataFrame:
     m = _manifest(spark, sf).select("id", "relative", "size", "kind")
     return pack.admitted(m, Options(hidden=True, default_excludes=False, max_entries=900, max_total_bytes=1 << 62)).select("id", "kind")
 
+
+
+# ---- folders -------------------------------------------------------------------------------------
+
+
+def _written(spark: SparkSession, sf: str, name: str = "tree") -> str:
+    """The nations as files below a new folder that all executors share, with files a walk leaves out."""
+    root = f"{_shared_folder(spark)}/{name}".removeprefix("file:")
+    root = "/" + root.lstrip("/")
+    for r in _read(spark, sf, "nation").toLocalIterator():  # 25 rows
+        made_of = {f"r{r['n_regionkey']}/n{r['n_nationkey']}.txt": r["n_name"], f"r{r['n_regionkey']}/.n{r['n_nationkey']}": "hidden", f"node_modules/n{r['n_nationkey']}.js": "left out", f"r{r['n_regionkey']}/n{r['n_nationkey']}.tmp": "ignored"}
+        for path, body in made_of.items():
+            os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)
+            with open(f"{root}/{path}", "w") as f:
+                f.write(body)
+    with open(f"{root}/.ignore", "w") as f:
+        f.write("*.tmp\n!n7.tmp\n/r3/\n")
+    return root
+
+
+@query("SELECT 'r' || n_regionkey || '/n' || n_nationkey || '.txt' AS id, n_name AS text, 'extracted' AS status FROM nation WHERE n_regionkey <> 3 UNION ALL SELECT 'r' || n_regionkey || '/n7.tmp', 'ignored', 'extracted' FROM nation WHERE n_nationkey = 7 AND n_regionkey <> 3")
+def walk_and_pack(spark: SparkSession, sf: str) -> DataFrame:
+    """A folder walked, filtered, read and packed: ignore files, hidden and default names."""
+    opts = Options(roots=(_written(spark, sf),), max_total_bytes=1 << 62)
+    return pack.read_rows(files.with_bytes(pack.admitted(files.scan(spark, opts), opts), opts.max_file_size), opts).select("id", "text", "status")
+
+
+@query("SELECT k || ':' || l || '/r' || n_regionkey || '/n' || n_nationkey || '.txt' AS id, l || '/r' || n_regionkey || '/n' || n_nationkey || '.txt' AS relative, 'r' || n_regionkey || '/n' || n_nationkey || '.txt' AS root_relative, CAST(length(n_name) AS BIGINT) AS size FROM nation, (VALUES (0, 'one'), (1, 'two')) AS t(k, l)")
+def walk_two_roots(spark: SparkSession, sf: str) -> DataFrame:
+    """Two roots at once: labels, ids and paths under each root, ignore files not asked."""
+    opts = Options(roots=(_written(spark, sf, "one"), _written(spark, sf, "two")), gitignore=False, exclude=("*.tmp",))
+    return files.scan(spark, opts).select("id", "relative", "root_relative", "size")
+
+
+@query("""SELECT 'r' || n_regionkey || '/n' || n_nationkey || '.txt' AS id, CASE n_nationkey % 3 WHEN 0 THEN 'extracted' ELSE 'changed' END AS status,
+CASE n_nationkey % 3 WHEN 0 THEN n_name WHEN 1 THEN '[changed since scan: no longer there]' ELSE '[changed since scan: replaced by a symlink]' END AS text FROM nation""")
+def changed_since_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that vanish or become links between the scan and the pack."""
+    root = _written(spark, sf)
+    opts = Options(roots=(root,), gitignore=False, include=("*.txt",), max_total_bytes=1 << 62)
+    found = materialized(files.scan(spark, opts))
+    for r in _read(spark, sf, "nation").where("n_nationkey % 3 > 0").toLocalIterator():
+        path = f"{root}/r{r['n_regionkey']}/n{r['n_nationkey']}.txt"
+        os.unlink(path)
+        if r["n_nationkey"] % 3 == 2:
+            os.symlink("/etc/hostname", path)
+    return pack.read_rows(files.with_bytes(pack.admitted(found, opts), opts.max_file_size), opts).select("id", "status", "text")
+
+
+@query("SELECT count(*) AS n_warnings, least(count(*), 10) AS n_kept FROM nation")
+def walk_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    """Links that lead nowhere, each a warning; the first are kept."""
+    root = _written(spark, sf)
+    for r in _read(spark, sf, "nation").toLocalIterator():
+        os.symlink("nowhere", f"{root}/r{r['n_regionkey']}/broken{r['n_nationkey']}")
+    n, kept = files.warnings(files.scan_all(spark, Options(roots=(root,), follow_links=True, gitignore=False)), keep=10)
+    return spark.createDataFrame([(n, len(kept))], "n_warnings bigint, n_kept bigint")
+
+
+@query("SELECT 'r' || n_regionkey AS folder, count(*) AS n_files FROM nation GROUP BY ALL")
+def walk_skips_the_output(spark: SparkSession, sf: str) -> DataFrame:
+    """A dump that stands in the folder it is made of, and a second name for it, are left out."""
+    root = _written(spark, sf)
+    with open(f"{root}/r0/dump.txt", "w") as f:
+        f.write("the dump")
+    os.link(f"{root}/r0/dump.txt", f"{root}/r1/other.txt")
+    walked = files.scan(spark, Options(roots=(root,), gitignore=False, include=("*.txt",), exclude=("*.tmp",)))
+    st = os.stat(f"{root}/r0/dump.txt")
+    skip = spark.createDataFrame([(f"{root}/r0/dump.txt", st.st_dev, st.st_ino)], "absolute string, dev bigint, ino bigint")
+    return predicates.skip_files(walked, skip).groupBy(F.split_part("relative", F.lit("/"), F.lit(1)).alias("folder")).agg(F.count(F.lit(1)).alias("n_files"))
