@@ -1,13 +1,14 @@
 """Which source files were not written by hand: generated, minified, vendored, data as code.
 
-Two linear support-vector classifiers on hashed features decide, and nothing else does:
+Linear support-vector classifiers on hashed features decide, and nothing else does:
 
 * one judges a file by the character 4-grams of its text, as they are and with all letters of a
   case alike (which shows random and minified text by its shape), and the components, words and character
   4-grams of its path; giveaway lines (tool markers, notices) are masked in its text, in training
   and in scoring alike, so it finds what the text itself and its place show;
 * one judges comment lines by their character 4-grams, the own project's name replaced, and finds
-  the giveaway lines, which some files have as the only difference from hand-written ones.
+  the giveaway lines, which some files have as the only difference from hand-written ones;
+* one judges an entry that has no text by its path alone.
 
 A file's score is the larger of its own and of its best comment line's.  There are no labels, so
 patterns of evidence, and paragraphs that several projects of the sample share, label a bounded
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 
 BITS = 17
 DIM = 1 << BITS
-MIN_ROOTS = 3  # a block in so many projects of the sample is a copy
+MIN_ROOTS = 2  # a paragraph in so many projects of the sample is a copy
 SAMPLE, SEED = 6_000, 17  # most labelled files that the fit may see, and their choice
 SAME_LINES, SAMPLE_LINES = 30, 20_000  # most training lines of one wording, and of each label
 
@@ -338,11 +339,12 @@ def held_out(root: str | None) -> bool:
 class Model:
     files: Weights
     comments: Weights
+    paths: Weights
 
     def judge(self, path: str, text: str | None, e: Evidence) -> float:
         """Above 0: not written by hand.  Without its text a file is judged by its path."""
         if text is None:
-            return self.files.score(*path_vector(path, 1.0))
+            return self.paths.score(*path_vector(path, 1.0))
         idx, val = path_vector(path)
         t_idx, t_val = text_vector(e.body)
         best = self.files.score(np.concatenate([idx, t_idx]), np.concatenate([val, t_val]))
@@ -418,15 +420,15 @@ def fit(packed: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> Model:
     order = sorted(range(len(ids)), key=lambda r: ids[r])  # the fit must not depend on how Spark returns the rows
     rows: list[tuple[np.ndarray, np.ndarray]] = []
     labels: list[int] = []
+    path_rows: list[tuple[np.ndarray, np.ndarray]] = []
+    path_labels: list[int] = []
     for r in order:
-        if kinds[r] == "marked":
-            continue
         y = 1 if kinds[r] else -1
         p_idx, p_val = cell("p_idx", r), cell("p_val", r)
-        rows.append((np.concatenate([p_idx, cell("idx", r)]), np.concatenate([p_val, cell("val", r)])))
-        labels.append(y)
-        if xxhash.xxh64_intdigest(ids[r]) % 3 == 0:  # as an entry without packed text
-            rows.append((p_idx, p_val / PATH_WEIGHT))
+        path_rows.append((p_idx, p_val / PATH_WEIGHT))
+        path_labels.append(y)
+        if kinds[r] != "marked":
+            rows.append((np.concatenate([p_idx, cell("idx", r)]), np.concatenate([p_val, cell("val", r)])))
             labels.append(y)
     lines: dict[int, list[str]] = {1: [], -1: []}
     for y, column in ((1, "given"), (-1, "rest")):
@@ -436,7 +438,8 @@ def fit(packed: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> Model:
             times[line] += 1
             if times[line] <= SAME_LINES and len(lines[y]) < SAMPLE_LINES:
                 lines[y].append(line)
-    return Model(_fitted(rows, labels), _fitted([line_vector(x) for y in lines for x in lines[y]], [y for y in lines for _ in lines[y]], 2.0))
+    of_lines = _fitted([line_vector(x) for y in lines for x in lines[y]], [y for y in lines for _ in lines[y]], 2.0)
+    return Model(_fitted(rows, labels), of_lines, _fitted(path_rows, path_labels))
 
 
 def _fitted(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], c: float = 1.0) -> Weights:
