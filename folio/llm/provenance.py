@@ -40,6 +40,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.plans.shared import materialized
+
 BITS = 17
 DIM = 1 << BITS
 MIN_ROOTS = 2  # a paragraph in so many projects of the sample is a copy
@@ -463,10 +465,10 @@ def score(packed: DataFrame, manifest: DataFrame, model: Model) -> DataFrame:
 
     known = _texts(packed)
     entries = manifest.groupBy("id").agg(F.max("relative").alias("relative"))
-    # which entries have a text is told by the scores, so the texts are not read for it
-    scored = known.select("id", "relative", "text").mapInPandas(run, "id string, score double").groupBy("id").agg(F.max("score").alias("by_text"))
-    bare = entries.where(F.col("relative").rlike(_CANDIDATE_PATH)).select("id", "relative", F.lit(None).cast("string").alias("text")).mapInPandas(run, "id string, score double").withColumnRenamed("score", "by_path")
-    return entries.select("id").join(bare, "id", "left").join(scored, "id", "left").select("id", F.coalesce("by_text", "by_path").alias("score")).where("score IS NOT NULL")
+    # which entries have no text is told by the scores, written once, so the texts are not read for it
+    scored = materialized(known.select("id", "relative", "text").mapInPandas(run, "id string, score double").groupBy("id").agg(F.max("score").alias("score")))
+    bare = entries.where(F.col("relative").rlike(_CANDIDATE_PATH)).join(scored, "id", "left_anti").select("id", "relative", F.lit(None).cast("string").alias("text"))
+    return scored.join(entries, "id", "left_semi").unionByName(bare.mapInPandas(run, "id string, score double"))
 
 
 def classify(packed: DataFrame, manifest: DataFrame, sample: int = SAMPLE) -> DataFrame:
