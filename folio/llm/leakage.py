@@ -26,14 +26,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.plans.shared import materialized
 
 MIN_WORDS, K = 10, 5
 MAX_FILTER_BITS = 1 << 27  # of the bitmap every executor gets: 16 MB; with more items it only filters less
-HOT_ITEMS, SALTS = 256, 8  # items of a fingerprint in one group; groups of a passage's fingerprints and of its documents
+HOT_ITEMS, HOT_ROWS = 256, 100_000  # items, and passages or documents, that one key may bring into one task
+MAX_HOT = 100_000  # keys that can be hot at most: a key is hot only above its share of 1 / MAX_HOT of the rows
 _WORD = re.compile(r"\w+")
 # Unicode's format characters (category Cf) outside the tag block.
 _FORMAT = re.compile("[­؀-؅؜۝܏࢐࢑࣢᠎​-‏‪-‮⁠-⁤⁦-⁯﻿￹-￻]")
@@ -230,6 +231,28 @@ def _extend(it: Iterator[pd.DataFrame], min_words: int) -> Iterator[pd.DataFrame
         yield pd.DataFrame(out, columns=["key", "item_id", "n_words", "at", "item_share"])
 
 
+def hot(rows: DataFrame, key: str, least: int, name: str) -> DataFrame:
+    """Keys with more than ``least`` rows and how many parts each is to be split into; never more
+    than ``MAX_HOT`` keys, which is what makes it fit to be broadcast."""
+    limit = max(least, rows.count() // MAX_HOT)
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(key, F.ceil(F.col("_n") / limit).cast("int").alias(name))
+
+
+def _parts(rows: DataFrame, key: str, *tables: tuple[DataFrame, str]) -> DataFrame:
+    """Adds how many parts a key is split into, 1 for keys that are not hot."""
+    for table, name in tables:
+        rows = rows.join(F.broadcast(table), key, "left").withColumn(name, F.coalesce(name, F.lit(1)))
+    return rows
+
+
+def _own(owner: str, parts: str) -> Column:
+    return F.pmod(F.xxhash64(owner), F.col(parts)).cast("int")
+
+
+def _every(parts: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", min_words: int = MIN_WORDS, k: int = K) -> DataFrame:
     """Each leaked pair once: doc_id, item_id, n_words (longest shared run), first_word, item_share."""
     known = materialized(item_texts(items, item_id, text_col, min_words, k))
@@ -237,22 +260,20 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     found = materialized(passages(docs, bitmap(prints), doc_id, text_col, min_words, k).withColumn("key", F.sha2("words", 256)))
     once = found.groupBy("key").agg(F.max(F.struct("words", "prints", "places")).alias("p")).select("key", "p.*")
 
-    # the fingerprint join: hot fingerprints are split by their items, every fingerprint by its passages
-    groups = prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ITEMS).select("print", F.ceil(F.col("n") / HOT_ITEMS).cast("int").alias("n_groups"))
-
-    def grouped(rows: DataFrame) -> DataFrame:
-        return rows.join(groups, "print", "left").withColumn("n_groups", F.coalesce("n_groups", F.lit(1)))
-
-    left = grouped(once.select("key", F.explode(F.arrays_zip("prints", "places")).alias("p")).select("key", F.col("p.prints").alias("print"), F.col("p.places").alias("here")))
-    left = left.select("key", "print", "here", F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt"), F.explode(F.sequence(F.lit(0), F.col("n_groups") - 1)).alias("g"))
-    right = grouped(prints).select("item_id", "variant", "print", "there", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt"), F.pmod(F.xxhash64("item_id"), F.col("n_groups")).cast("int").alias("g"))
-    hits = left.join(right, ["print", "salt", "g"]).groupBy("key", "item_id", "variant").agg(F.collect_set(F.col("here") - F.col("there")).alias("shifts"))
+    # the fingerprint join: a hot fingerprint is split by its items and by its passages
+    places = once.select("key", F.explode(F.arrays_zip("prints", "places")).alias("p")).select("key", F.col("p.prints").alias("print"), F.col("p.places").alias("here"))
+    splits = (hot(prints, "print", HOT_ITEMS, "by_item"), "by_item"), (hot(found.select(F.explode("prints").alias("print")), "print", HOT_ROWS, "by_passage"), "by_passage")
+    left = _parts(places, "print", *splits).withColumn("q", _own("key", "by_passage")).select("key", "print", "here", "q", _every("by_item").alias("g"))
+    right = _parts(prints, "print", *splits).withColumn("g", _own("item_id", "by_item")).select("item_id", "variant", "print", "there", "g", _every("by_passage").alias("q"))
+    hits = left.join(right, ["print", "q", "g"]).groupBy("key", "item_id", "variant").agg(F.collect_set(F.col("here") - F.col("there")).alias("shifts"))
 
     pairs = hits.join(once.select("key", F.col("words").alias("doc_words")), "key").join(known.select("item_id", "variant", F.col("words").alias("item_words")), ["item_id", "variant"])
     id_type = items.schema[item_id].dataType.simpleString()
     runs = pairs.select("key", "item_id", "doc_words", "item_words", "shifts").mapInPandas(lambda it: _extend(it, min_words), f"key string, item_id {id_type}, n_words bigint, at bigint, item_share double")
-    runs = runs.select("*", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt"))
-    members = found.select("doc_id", "reading", "first", "key", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    # back to the documents: a passage that very many of them hold is split by document
+    split = hot(found, "key", HOT_ROWS, "by_doc"), "by_doc"
+    runs = _parts(runs, "key", split).select("key", "item_id", "n_words", "at", "item_share", _every("by_doc").alias("q"))
+    members = _parts(found.select("doc_id", "reading", "first", "key"), "key", split).withColumn("q", _own("doc_id", "by_doc"))
     first = F.col("first") + F.col("at")
-    best = members.join(runs, ["key", "salt"]).groupBy("doc_id", "item_id").agg(F.max(F.struct("n_words", (-F.col("reading")).alias("r"), (-first).alias("f"), "item_share")).alias("b"))
+    best = members.join(runs, ["key", "q"]).groupBy("doc_id", "item_id").agg(F.max(F.struct("n_words", (-F.col("reading")).alias("r"), (-first).alias("f"), "item_share")).alias("b"))
     return best.select("doc_id", "item_id", "b.n_words", (-F.col("b.f")).alias("first_word"), "b.item_share")

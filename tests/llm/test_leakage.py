@@ -38,7 +38,8 @@ def test_every_shared_run_of_ten_words_is_found(spark, monkeypatch):
     want = {(t, k) for t, d in enumerate(docs) for k, i in items if brute(d, i)}
     assert pairs(spark, docs, items) == want
     monkeypatch.setattr(leakage, "MAX_FILTER_BITS", 64)  # every fingerprint passes the bitmap
-    monkeypatch.setattr(leakage, "HOT_ITEMS", 2)  # and many are split
+    monkeypatch.setattr(leakage, "HOT_ITEMS", 2)  # and many keys are split
+    monkeypatch.setattr(leakage, "HOT_ROWS", 3)
     assert pairs(spark, docs, items) == want
 
 
@@ -60,6 +61,13 @@ def test_wording_that_all_items_share(spark):
     assert len(pairs(spark, [f"x {common} y", f"x {common} z", "none"], items)) == 1400
 
 
+def test_a_passage_that_most_documents_hold(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "HOT_ROWS", 20)
+    common = " ".join(WORDS[:12])
+    docs = [f"{common}" if k % 3 else f"a{k} b{k} {common} c{k}" for k in range(300)]
+    assert pairs(spark, docs, [(1, f"{common} more"), (2, "none " * 12)]) == {(k, 1) for k in range(300)}
+
+
 ITEM = "show that the lexer cannot observe the parser twice before noon"
 
 
