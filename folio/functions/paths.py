@@ -81,7 +81,7 @@ def globs_regex(patterns: Sequence[str]) -> str | None:
         parts.append(glob_regex(p))
         if not p.startswith("**/") and (bare := p.lstrip("/")):
             parts.append(glob_regex(f"**/{bare}"))
-    return "^(?s:" + "|".join(dict.fromkeys(parts)) + ")$" if parts else None
+    return "^(?s:" + "|".join(dict.fromkeys(parts)) + r")(?!\n)$" if parts else None
 
 
 def matches_globs(path: str | Column, patterns: Sequence[str]) -> Column:

@@ -20,6 +20,7 @@ from folio.operators.archive import MAX_DEPTH, Budget, members, unsafe_name
 from folio.operators.extract.dispatch import classify_bytes, extract
 from folio.operators.isolate import extract_isolated
 from folio.options import Options
+from folio.plans.shared import materialized, ranked
 from folio.sources.files import GONE
 
 SCHEMA = "id string, relative string, kind string, size bigint, text string, status string, status_limit bigint, status_detail string, archive_cut boolean"
@@ -137,6 +138,21 @@ def pack_df(files: DataFrame, opts: Options = Options(), owner: bool = False) ->
     return read_rows(admitted(files, opts), opts, owner)
 
 
+def with_unique_ids(files: DataFrame) -> DataFrame:
+    """Rows that repeat an id get '#2', '#3' and so on, in path order; all other rows pass untouched.
+
+    Which ids repeat is found on the ids alone, so the bytes of rows that do not are never moved.
+    A null id is left as it is.
+    """
+    again = materialized(files.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 AND id IS NOT NULL").select("id"))
+    if again.isEmpty():
+        return files
+    order = F.struct(paths.path_order("relative").alias("p"), F.xxhash64("bytes").alias("h")) if "bytes" in files.columns else F.struct(paths.path_order("relative").alias("p"))
+    repeated = ranked(files.join(again, "id", "left_semi"), "id", [order], "_rank")
+    renamed = repeated.withColumn("id", F.when(F.col("_rank") == 1, F.col("id")).otherwise(F.concat("id", F.lit("#"), F.col("_rank").cast("string")))).drop("_rank")
+    return files.join(again, "id", "left_anti").unionByName(renamed.select(*files.columns))
+
+
 def admitted(files: DataFrame, opts: Options) -> DataFrame:
     """The rows that filters, selection and budgets let through, all their columns kept."""
     return admit(files, opts)[0]

@@ -14,7 +14,7 @@ from folio.operators.archive import Budget, tar_members, zip_members
 from folio.operators import archive, isolate
 from folio.operators.extract import common, data, dispatch, markup, office, page, rich
 from folio.operators.isolate import extract_isolated
-from folio.operators.pack import pack_df
+from folio.operators.pack import pack_df, with_unique_ids
 from folio.options import Options
 
 
@@ -264,6 +264,14 @@ def test_pack_expands_nested_archives_to_depth_three(spark):
     assert pack_df(files, Options(selection=())).count() == 0
 
 
+def test_repeated_ids_get_numbers(spark):
+    rows = [("a", "b.txt", bytearray(b"2")), ("a", "a.txt", bytearray(b"1")), ("a", "b.txt", bytearray(b"3")), ("c", "c.txt", bytearray(b"4")), (None, "n.txt", bytearray(b"5")), (None, "n.txt", bytearray(b"6"))]
+    files = spark.createDataFrame(rows, "id string, relative string, bytes binary")
+    got = {(r["id"], r["text"]) for r in pack_df(with_unique_ids(files), Options()).collect()}
+    assert {i for i, _ in got} == {"a", "a#2", "a#3", "c", None} and ("a", "1") in got and len(got) == 6
+    assert with_unique_ids(files.where("id = 'c'")).collect() == files.where("id = 'c'").collect()
+
+
 def test_pack_budget_is_a_prefix_of_the_path_order(spark):
     files = spark.createDataFrame([(f"{k}", n, bytearray(b"x" * 40)) for k, n in enumerate(("a-c.txt", "a/b.txt", "a.txt", "B.txt", "a/a/z.txt"))], "id string, relative string, bytes binary")
     kept = lambda **o: [r["relative"] for r in pack_df(files, Options(**o)).orderBy("relative").collect()]
