@@ -21,6 +21,7 @@ from __future__ import annotations
 import heapq
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -123,6 +124,7 @@ _WEIGHTED += (
 )
 # Letters that are seldom in running text of their script; they only decide between equally cheap texts.
 _SELDOM = re.compile("[\u0444\u0446\u0448-\u044a\u044d\u044e\u0445\u0436\u0451-\u045f\u0490-\u052f\u0424\u0426\u0428-\u042a\u042d\u042e\u0402-\u040f\u0100-\u024f\u0370-\u03ff\u0590-\u06ff\u2100-\u214f\u3200-\u33ff]")
+_SIGNS = re.compile("[\u00a1-\u00bf\u2013-\u20cf\u2100-\u25ff]")
 _PAIR = re.compile(f"(?<![{_CYR}])[{_CYR}]{{2}}(?![\\w\u0080-\u00bf\u2010-\u2122])")
 _ACCENT_RUN = re.compile("[\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]{3,}")
 _MARK_IN_WORD = re.compile(f"(?<=[{_LATIN}])[\u00a3\u00b1\u00b3\u00b6\u00b9\u00bf\u00a1\u00bc\u00be\u00af](?=[^\\S]|[.,;:)\"']|$)|(?:(?<=\\s)|(?<=^))[\u00b3\u00b6\u00b1\u00b9\u00bc\u00be\u00af](?=[{_LATIN}])")
@@ -150,8 +152,8 @@ def _implausible(text: str) -> float:
 
 
 def oddity(state: tuple[str, ...]) -> int:
-    """Letters of the state that are seldom in their script, capitals inside words counted twice."""
-    return sum(len(_SELDOM.findall(t)) + 2 * sum(a.islower() and b.isupper() for a, b in zip(t, t[1:])) for t in state)
+    """Letters of the state that are seldom in their script, capitals inside words and signs counted twice."""
+    return sum(len(_SELDOM.findall(t)) + 2 * len(_SIGNS.findall(t)) + 2 * sum(a.islower() and b.isupper() for a, b in zip(t, t[1:])) for t in state)
 
 
 def _to_bytes(token: str, codec: str) -> bytes | None:
@@ -197,47 +199,63 @@ _SELDOM_READER = {"cp1252": 0.0, "latin-1": 0.0, "cp1251": 0.0, "koi8_r": 0.0, "
 _FAR_STEPS = tuple((b, a, _SELDOM_PAGE.get(a, 0.0) + _SELDOM_READER.get(b, 0.3)) for b in (*_READ_AS, "gbk", *_READ_AS_WIDE[1:]) for a in _LEGACY if a != b)
 
 
-def _apply(state: tuple[str, ...], step: tuple[str, str, float]) -> tuple[str, ...] | None:
-    """The state with the step undone in every token where that is possible.
+def _apply(state: tuple[str, ...], weights: tuple[int, ...], step: tuple[str, str, float], limit: float) -> tuple[tuple[str, ...], float] | None:
+    """The state with the step undone in every token where that is possible, and how implausible it
+    is then; null if nothing changes or that is over the limit.
 
     A step into UTF-8 or out of references is taken even where a token looks worse for it, since
     the next step may need it: few wrong readings survive a strict decoder.  A legacy page decodes
     anything, so there a token must not look worse.
     """
     read_as, really, _ = step
-    out, changed = [], False
+    out, changed, now = [], False, 0.0
     if read_as == "unescape" and not any("&" in t for t in state):
         return None
     strict = really != "utf-8"
-    for token in state:
+    for token, n in zip(state, weights):
         if read_as == "unescape":
             new = html.unescape(token)
         else:
             new = None if token.isascii() else _step(token, read_as, really)
         if new is not None and new != token and (read_as == "unescape" or _fits(token, new, strict)) and "\n" not in new:
-            out.append(new)
             changed = True
         else:
-            out.append(token)
-    return tuple(out) if changed else None
+            new = token
+        out.append(new)
+        now += n * implausibility(new)
+        if now > limit:
+            return None
+    return (tuple(out), now) if changed else None
 
 
 def _fits(token: str, new: str, strict: bool) -> bool:
     return implausibility(new) <= implausibility(token) + (0.0 if strict or "\ufffd" in new else len(new) * 3.0 if _SHAPE.search(new) else 0.0)
 
 
+def _undominated(here: tuple[str, ...], reached: list) -> list:
+    """Without the steps that do only a part of what another one does."""
+    kept: list = []
+    for one in sorted(reached, key=lambda r: -sum(a is not b for a, b in zip(r[2], here))):
+        if not any(other[1] <= one[1] and all(a is c or a == b for a, b, c in zip(one[2], other[2], here)) for other in kept):
+            kept.append(one)
+    return kept
+
+
 @lru_cache(maxsize=1 << 15)
-def repair_tokens(state: tuple[str, ...]) -> tuple[tuple[str, ...], float, tuple[str, ...]]:
+def repair_tokens(state: tuple[str, ...], weights: tuple[int, ...]) -> tuple[tuple[str, ...], float, tuple[str, ...]]:
     """Cheapest reachable tokens, the gain in plausibility and the steps that lead there.
 
-    Steps into UTF-8 are cheap and expanded with their state; steps between legacy pages are
-    dear, so each state enters the frontier a second time at their price and is expanded with
-    them only if nothing cheaper is left.  The search ends when the frontier is empty or all that
-    is left in it has paid as much as the best text costs; it has no other limit.  It is finite:
-    every step into UTF-8 or out of references makes the text shorter, and a legacy step has to
-    make it more plausible, each time by more than the one before it on the path.
+    The state is a passage's distinct tokens, most implausible first; ``weights`` say how often
+    each occurs.  Steps into UTF-8 are cheap and expanded with their state; steps between legacy
+    pages are dear, so each state enters the frontier a second time at their price and is expanded
+    with them only if nothing cheaper is left.  The search ends when the frontier is empty or all
+    that is left in it has paid as much as the best text costs; it has no other limit.  It is
+    finite: every step into UTF-8 or out of references makes the text shorter, and a legacy step
+    has to undo half of what can be undone (a token with a lost mark keeps one) and to beat the
+    best text found so far.
     """
-    start = sum(map(implausibility, state))
+    start = sum(n * implausibility(t) for t, n in zip(state, weights))
+    lost = sum(3.0 * n for t, n in zip(state, weights) if "\ufffd" in t)
     best, best_cost, best_path, best_odd = state, start, (), oddity(state)
     serial, seen = 0, {state: 0.0}
     frontier: list[tuple] = [(start, 0, 0.0, state, (), start, _PRICE_LEGACY, _NEAR_STEPS), (start + _PRICE_LEGACY, -1, 0.0, state, (), start, _PRICE_LEGACY, _FAR_STEPS)]
@@ -248,19 +266,21 @@ def repair_tokens(state: tuple[str, ...]) -> tuple[tuple[str, ...], float, tuple
             odd = oddity(here)
             if looks + price < best_cost - 1e-9 or odd < best_odd:
                 best, best_cost, best_path, best_odd = here, looks + price, path, odd
-        if price + (least if far else _PRICE_UTF8) > best_cost + 1e-9:
+        if price + lost + (least if far else _PRICE_UTF8) > best_cost + 1e-9:
             continue
+        reached: list[tuple[tuple[str, float, float], float, tuple[str, ...], float]] = []
         for step in steps:
-            there = _apply(here, step)
-            if there is None:
-                continue
             paid = price + step[2] + (least if far else 0.0)
+            if paid + lost > best_cost + 1e-9:
+                continue
+            limit = min(lost + (looks - lost) / 2, looks - least, best_cost - paid) if far else float("inf")
+            got = _apply(here, weights, step, limit)
+            if got is not None and paid < seen.get(got[0], float("inf")):
+                reached.append((step, paid, *got))
+        for step, paid, there, now in reached if far else _undominated(here, reached):
             if paid >= seen.get(there, float("inf")):
                 continue
             seen[there] = paid
-            now = sum(map(implausibility, there))
-            if far and looks - now < least:
-                continue
             serial += 1
             after = least * 2 if far else least
             way = (*path, f"{step[0]}>{step[1]}".rstrip(">"))
@@ -273,21 +293,24 @@ def repair_tokens(state: tuple[str, ...]) -> tuple[tuple[str, ...], float, tuple
 def repair_line(line: str) -> tuple[str, bool, tuple[str, ...]]:
     """The repaired line, whether it holds a wrongly decoded passage, and the steps used."""
     spans = [m.span() for m in _TOKEN.finditer(line) if not m.group().isascii() or ("&" in m.group() and _ENTITY.search(m.group()))]
-    state = tuple(line[a:b] for a, b in spans)
-    joined = " ".join(state)
+    tokens = [line[a:b] for a, b in spans]
+    times = Counter(tokens)
+    state = tuple(sorted(times, key=lambda t: -implausibility(t) * times[t]))
+    joined = " ".join(tokens)
     if not state or (sum(map(implausibility, state)) == 0.0 and implausibility(joined) == 0.0):
         return line, False, ()
-    best, gain, path = repair_tokens(state)
+    best, gain, path = repair_tokens(state, tuple(times[t] for t in state))
     legacy = any(not p.endswith("utf-8") and p != "unescape" for p in path)
     if path and gain >= (_GAIN_LEGACY if legacy else _GAIN_UTF8):
         out, at = [], 0
-        for (a, b), new in zip(spans, best):
-            out += [line[at:a], new]
+        repaired = dict(zip(state, best))
+        for (a, b), old in zip(spans, tokens):
+            out += [line[at:a], repaired[old]]
             at = b
         return "".join(out) + line[at:], True, path
     if "\ufffd" in line and not _NAMES_MARK.search(line) and "\ufffd" in _QUOTED_MARK.sub("", line):
         return line, True, ("lost",)
-    left = sum(map(implausibility, state))
+    left = sum(map(implausibility, tokens))
     if re.search("[\x80-\x84\x86-\x9f]", line) or (left >= _BEYOND_DOUBT and left >= _BEYOND_DOUBT_EACH * sum(not c.isascii() for c in joined)):
         return line, True, ("unknown",)
     return line, False, ()

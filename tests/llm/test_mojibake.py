@@ -65,6 +65,25 @@ def test_pairs_of_legacy_pages(text, really, read):
     assert repair_text(f"x {bad} y")[0] == f"x {text} y"
 
 
+def test_letters_are_preferred_to_signs():
+    text = "// Буфер хранит проверка и ошибка."
+    assert repair_text(text.encode("koi8_r").decode("cp1251"))[0] == text
+
+
+def test_hopeless_lines_take_bounded_time():
+    import random
+    import time
+
+    rnd = random.Random(5)
+    line = " ".join("".join(rnd.choice("aéöñжш漢") for _ in range(8)) for _ in range(60))
+    for _ in range(3):
+        line = line.encode().decode("latin-1")
+    began = time.time()
+    repair_text("".join(c if rnd.random() > 0.05 else "\ufffd" for c in line))
+    repair_text("".join(chr(rnd.randrange(0x80, 0x250)) for _ in range(3_000)))
+    assert time.time() - began < 15
+
+
 def test_damage_that_nothing_undoes_is_reported_and_kept():
     bad = "ÃƒxÃ¢y Â¬Ã½ÂzÐ¿ÑÑÂ Ã±Ãç"
     new, n, _ = repair_text(f"ok\n{bad}\nok")
