@@ -294,11 +294,11 @@ def repair_line(line: str) -> tuple[str, bool, tuple[str, ...]]:
     """The repaired line, whether it holds a wrongly decoded passage, and the steps used."""
     spans = [m.span() for m in _TOKEN.finditer(line) if not m.group().isascii() or ("&" in m.group() and _ENTITY.search(m.group()))]
     tokens = [line[a:b] for a, b in spans]
-    times = Counter(tokens)
-    state = tuple(sorted(times, key=lambda t: -implausibility(t) * times[t]))
     joined = " ".join(tokens)
-    if not state or (sum(map(implausibility, state)) == 0.0 and implausibility(joined) == 0.0):
+    if not tokens or (not any(map(implausibility, tokens)) and implausibility(joined) == 0.0):
         return line, False, ()
+    times = Counter(tokens)
+    state = tuple(sorted(times, key=lambda t: -implausibility(t) * times[t]))
     best, gain, path = repair_tokens(state, tuple(times[t] for t in state))
     legacy = any(not p.endswith("utf-8") and p != "unescape" for p in path)
     if path and gain >= (_GAIN_LEGACY if legacy else _GAIN_UTF8):
