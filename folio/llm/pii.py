@@ -112,6 +112,7 @@ _NUMBER_NEAR_RIGHT = re.compile(r"[ \t\r\n>#*|/\u00a0-]{1,12}\d")
 # ---- names ------------------------------------------------------------------------------
 _TITLES = ("mr", "mrs", "ms", "miss", "dr", "prof", "professor", "herr", "frau", "mme", "mlle", "monsieur", "madame", "mademoiselle", "sr", "sra", "srta", "señor", "señora", "don", "doña", "sir", "herrn", "m.")
 _TITLE_RX = re.compile(rf"(?<![\w@])(?:Mrs?|Ms|Miss|Drs?|Prof|Professor|Herrn?|Frau|Mme|Mlle|Monsieur|Madame|Mademoiselle|M|Sra?|Srta|Señora?|Don|Doña|Sir|MRS?|MS|DR|HERR|FRAU|MME)\b\.?{_GAP}")
+_TITLE_BEFORE = re.compile(_TITLE_RX.pattern + "$")
 _CUES = ("signed-off-by:", "co-developed-by:", "co-authored-by:", "reviewed-by:", "reported-by:", "tested-by:", "acked-by:", "suggested-by:", "assigned to:", "fn:", "author = {name = \"", "\"name\": \"", "contact ", "contact: ", "author: ", "authors: ", "maintainer: ", "reviewer: ", "approver: ", "kontakt: ", "contacto: ", "auteur: ", "auteur : ", "autor: ", "autorin: ", "ansprechpartner: ", "reported by: ", "requested by: ")
 _SAID = ("wrote:", "writes:", "schrieb:", "écrit :", "écrit:", "escribió:", "said:", "wrote\n", "wrote ")
 _ROLES = frozenset("team teams support group list department office desk service services sales security help info project core platform bot admin administrator owner owners maintainer maintainers developer developers engineering operations ops contributors authors community committee board staff us me them him her you everyone anyone".split())
@@ -256,8 +257,8 @@ class Finder:
         if not t[a].isupper():
             return
         m = _TITLE_RX.match(t, a)
-        if not m:
-            return
+        if not m or _TITLE_BEFORE.search(t, max(0, a - 24), a):
+            return  # none, or read with the title before it
         at = m.end()
         while n := _TITLE_RX.match(t, at):
             at = n.end()

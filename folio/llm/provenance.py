@@ -65,7 +65,7 @@ _HASH = frozenset("py pyi rb sh bash zsh ps1 php pl pm r jl ex exs".split())
 _DASH = frozenset("sql lua hs lean".split())
 _HEREDOC = frozenset("sh bash zsh rb php pl pm".split())
 _OPEN_QUOTES = frozenset("sh bash zsh rb php pl pm ps1 r jl ex exs rs sql lua".split())  # "..." may hold line breaks
-_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]+-----.*?-----END [A-Z0-9 ]+-----", re.S)
+_PEM_BEGIN, _PEM_END = re.compile(r"-----BEGIN [A-Z0-9 ]+-----"), re.compile(r"-----END [A-Z0-9 ]+-----")
 _ANYWHERE = re.compile(r"(?i)edits get overwritten|changes will be lost|\bdo not (?:edit|modify|change)\b|\bne pas modifier\b|\bnicht (?:bearbeiten|ändern|editieren)\b|\bno (?:editar|modificar)\b|\bnão (?:editar|modificar)\b")
 _NOTICE = re.compile(
     r"""(?ix) \(c\)\ (?:\d{4}[\d,\ -]*)?the\ (?P<a>[\w.-]+)\ (?:contributors|authors|project|developers|team)\b | copyright\ (?:\(c\)\ )?(?:\d{4}[\d,\ -]*)?(?:by\ )?(?:the\ )?(?P<b>[\w.-]+)\ (?:contributors|authors|project|developers)\b
@@ -153,6 +153,15 @@ def _comment_lines(text: str, ext: str) -> set[int]:
     return out
 
 
+def _without_keys(text: str) -> str:
+    """The text without what stands between BEGIN and END lines; one pass."""
+    out, at = [], 0
+    while (m := _PEM_BEGIN.search(text, at)) and (end := _PEM_END.search(text, m.end())):
+        out.append(text[at : m.start()])
+        at = end.end()
+    return "".join(out) + text[at:]
+
+
 def evidence(path: str, text: str) -> Evidence:
     tool_file = bool(_TOOL_FILES.search(path))
     ext = extension(path)
@@ -198,7 +207,7 @@ def evidence(path: str, text: str) -> Evidence:
     minified = False
     if code:
         if "-----BEGIN" in text:
-            lines = _PEM.sub("", text).split("\n")
+            lines = _without_keys(text).split("\n")
         sizes = list(map(len, lines))
         solid = sum(sizes) or 1
         data = sum(n for n, x in zip(sizes, lines) if n > 20 and (x.count(",") > 5 or "\\x" in x or x.strip("\"' \t\\+;,").count(" ") == 0) and _DATA_LINE.match(x)) / solid

@@ -77,6 +77,7 @@ def test_many_items_take_linear_time():
 
     began = time.time()
     assert len(FINDER.find("a.b@c.example x\n" * 40_000)) == 40_000
+    assert FINDER.find("Dr. " * 50_000) == []
     assert time.time() - began < 20
 
 
